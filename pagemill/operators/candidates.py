@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import rules
+from pagemill.functions.plan import once
 from pagemill.operators.spans import closed_tags
 from pagemill.operators.tokens import token_arrays, token_text
 
@@ -205,15 +206,18 @@ def page_candidates(
         span["level"].alias("level"),
         _span_text(span, F.col("tokens")).alias("text"),
     )
-    return arrays.join(plans, "page_id", "left").select(
-        "page_id",
-        "title",
-        "language",
-        F.coalesce("recovery", F.lit(False)).alias("recovery"),
-        F.coalesce(F.transform("spans", block), F.array().cast(f"array<{BLOCK_TYPE}>")).alias(
-            "blocks"
-        ),
-        F.coalesce("candidates", F.array(*empty)).alias("candidates"),
+    return once(
+        arrays.join(plans, "page_id", "left"),
+        ["page_id"],
+        [
+            F.col("title"),
+            F.col("language"),
+            F.coalesce("recovery", F.lit(False)).alias("recovery"),
+            F.coalesce(
+                F.transform("spans", block), F.array().cast(f"array<{BLOCK_TYPE}>")
+            ).alias("blocks"),
+            F.coalesce("candidates", F.array(*empty)).alias("candidates"),
+        ],
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.functions.text import ascii_lower
+from pagemill.functions.plan import once
 from pagemill.operators.candidates import page_candidates
 
 
@@ -120,8 +121,10 @@ def decide(shared: DataFrame) -> DataFrame:
             lambda c: F.struct(c["score"].alias("score"), (-c["priority"]).alias("order")),
         )
     )
-    decisions = shared.withColumn("candidates", F.transform("candidates", measured)).withColumn(
-        "candidates", F.transform("candidates", scored)
+    decisions = once(
+        shared.withColumn("candidates", F.transform("candidates", measured)),
+        ["page_id", "title", "language", "recovery", "blocks"],
+        [F.transform("candidates", scored).alias("candidates")],
     )
     return decisions.withColumn("winner", -best["order"])
 
