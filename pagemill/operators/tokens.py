@@ -114,3 +114,37 @@ def language_of(token: Column) -> Column:
     """Language attribute of an html tag when it has the shape of a language tag, else null."""
     value = F.concat(*(F.regexp_extract(token, _LANG_RX, i) for i in (1, 2, 3)))
     return F.when(value.rlike(_LANGUAGE_TAG_RX), value)
+
+
+def enforce_limits(
+    pages: DataFrame,
+    max_input_bytes: int = rules.MAX_INPUT_BYTES,
+    max_dom_nodes: int = rules.MAX_DOM_NODES,
+) -> DataFrame:
+    """(page_id, n_nodes, parse_failure); the failure is resource_limit or null.
+
+    Bytes are tested before a page is cut into tokens. Nodes are the document, its elements (html,
+    head and body exist even when unwritten), text, comments and the doctype. A narrow job.
+    """
+    fits = F.octet_length("html") <= max_input_bytes
+    tokens = F.when(fits, F.regexp_extract_all("html", F.lit(TOKEN_RX), F.lit(1)))
+    nodes = F.filter(
+        "tokens", lambda t: token_kind(t).isin("start", "raw", "text", "comment", "doctype")
+    )
+    raw = F.filter(
+        "tokens", lambda t: t.rlike(rf"(?i)^<(?:{_RAW})[\s/>]") & (raw_content(t) != "")
+    )
+
+    def unwritten(name: str) -> Column:
+        return F.when(F.exists("tokens", lambda t: t.rlike(rf"(?i)^<{name}[\s/>]")), 0).otherwise(1)
+
+    implied = unwritten("html") + unwritten("head") + unwritten("body")
+    count = F.size(nodes) + F.size(raw) + implied + 1
+    return (
+        pages.select("page_id", tokens.alias("tokens"))
+        .select("page_id", F.when(F.col("tokens").isNotNull(), count).alias("n_nodes"))
+        .withColumn(
+            "parse_failure",
+            F.when(F.coalesce(F.col("n_nodes") > max_dom_nodes, F.lit(True)), "resource_limit"),
+        )
+    )
