@@ -65,7 +65,7 @@ def write_documents(spark, sf):
 def upsert_facts(spark, sf):
     calls = fixture(spark, sf, "completions").select(
         F.concat_ws("-", "run_id", "attempt").alias("fetch_id"), "run_id", "result",
-        "at", "attempt",
+        F.col("finished_at").alias("at"), "attempt",
     )
     early = F.col("attempt") <= 3
     merged = facts.upsert_facts(
@@ -660,7 +660,8 @@ def intake_inbox(spark, sf):
 
 def terminal_state(spark, sf):
     return ledger.terminal_state(
-        fixture(spark, sf, "runs"), fixture(spark, sf, "completions")
+        fixture(spark, sf, "runs"),
+        fixture(spark, sf, "completions").withColumnRenamed("finished_at", "at"),
     ).select(
         "run_id", "status_before", "status", "last_error_class",
         _micros("completed_at").alias("completed_us"), "applied", "duplicates", "invalid_state",

@@ -91,7 +91,7 @@ FIXTURES = {
         from pages""",
     # Completion calls of runs: up to seven per run, in shipping order.
     "completions": """
-        select l_orderkey as run_id, l_shipdate as at, l_linenumber as attempt,
+        select l_orderkey as run_id, l_shipdate as finished_at, l_linenumber as attempt,
                case when l_returnflag = 'R' then 'failed' else 'succeeded' end as result,
                case when l_returnflag = 'R' then 'fetch' end as error_class
         from lineitem""",

@@ -233,7 +233,7 @@ _PROCESSED = """processed as (
         from runs_f r join pages p using (page_id) left join winners w using (page_id)
         where r.status = 'running'))"""
 _MESSAGES = """messages as (
-  select event_id as message_id, ts as at, cast(floor(value * 100) as bigint) as bytes from events)"""
+  select event_id as message_id, ts as sent_at, cast(floor(value * 100) as bigint) as bytes from events)"""
 
 
 def _facts(scope: str, values: str) -> str:
@@ -372,8 +372,8 @@ def oracle_sql() -> dict[str, str]:
         "upsert_facts": _with("completions") + """
           select run_id, arg_min(run_id || '-' || attempt, rank) as fetch_id,
                  arg_max(result, rank) as result, arg_max(attempt, rank) as attempt,
-                 epoch_us(arg_max(at, rank)) as at_us
-          from (select *, row_number() over (order by attempt > 3, at, attempt,
+                 epoch_us(arg_max(finished_at, rank)) as at_us
+          from (select *, row_number() over (order by attempt > 3, finished_at, attempt,
                   run_id || '-' || attempt, result) as rank from completions_f)
           group by run_id""",
         "upsert_sources": _with("capture_commands", _URLS, _DELIVERIES) + """
@@ -691,10 +691,10 @@ def oracle_sql() -> dict[str, str]:
                  epoch_us(received_at) as received_us from applied""",
         "terminal_state": _with("runs", "completions") + """
           , c as (select run_id, arg_min(result, rank) as first_result,
-              arg_min(coalesce(error_class, ''), rank) as first_error, arg_min(at, rank) as first_at,
+              arg_min(coalesce(error_class, ''), rank) as first_error, arg_min(finished_at, rank) as first_at,
               count(*) filter (where result = 'succeeded') as good,
               count(*) filter (where result = 'failed') as bad
-            from (select *, row_number() over (order by at, attempt, result desc) as rank
+            from (select *, row_number() over (order by finished_at, attempt, result desc) as rank
                   from completions_f) group by 1),
           j as (select r.run_id, r.status as status_before, c.*, r.status = 'running'
                   and c.run_id is not null as applies,
@@ -753,8 +753,8 @@ def oracle_sql() -> dict[str, str]:
         # Retention, outbox pass
         "retained": _with(_MESSAGES) + """
           , r as (select message_id, row_number() over w as n, sum(bytes) over w as size from messages
-                  where at >= timestamp '2024-01-31 00:00:00' - interval 400 hour
-                  window w as (order by at desc, message_id))
+                  where sent_at >= timestamp '2024-01-31 00:00:00' - interval 400 hour
+                  window w as (order by sent_at desc, message_id))
           select message_id from r where n <= 4000 and size <= 15000000""",
         "outbox_pass": _with("outbox", _OUTBOX, _DUE_OUTBOX) + f"""
           select o.outbox_id, case when failed then o.attempts + 1 else o.attempts end as attempts,
@@ -768,7 +768,7 @@ def oracle_sql() -> dict[str, str]:
                 from ob left join due using (outbox_id)) o""",
         # Derived
         "host_strategy": _with("fetch_log", _OUTCOME) + """
-          , o as (select host, fetched_at as at, fetch_id, case fetch_id % 3 when 0 then 'semantic'
+          , o as (select host, fetched_at as seen_at, fetch_id, case fetch_id % 3 when 0 then 'semantic'
               when 1 then 'readability' else 'density' end as strategy, fetch_id * 37 % 1001 as score,
               cast(floor(duration_s * 1000) as bigint) as ms, fetch_id % 4 = 0 as escalated, failure
             from outcome),
@@ -781,17 +781,17 @@ def oracle_sql() -> dict[str, str]:
             quantile_cont(score, 0.5) filter (where failure is null) as median_quality,
             quantile_cont(ms, 0.5) as p50_ms, quantile_cont(ms, 0.95) as p95_ms,
             arg_max(failure, fetch_id) filter (where failure is not null) as last_failure_class,
-            epoch_us(max(at) + interval 24 hour) as expires_us
+            epoch_us(max(seen_at) + interval 24 hour) as expires_us
           from o left join v using (host) group by host, v.strategy""",
         "unchanged_content": """
-          with c as (select source as source_id, doc_id as capture_id, doc_id // 3 as at,
+          with c as (select source as source_id, doc_id as capture_id, doc_id // 3 as slot,
               case when doc_id % 4 = 0 then sha256(text) else cast(doc_id & 8 as varchar) end as digest
             from documents),
-          p as (select source_id, at, arg_max(digest, capture_id) as digest from c group by 1, 2),
-          q as (select source_id, at, lag(digest) over (partition by source_id order by at) as previous
+          p as (select source_id, slot, arg_max(digest, capture_id) as digest from c group by 1, 2),
+          q as (select source_id, slot, lag(digest) over (partition by source_id order by slot) as previous
                 from p)
           select source_id, capture_id, coalesce(digest = previous, false) as unchanged
-          from c join q using (source_id, at)""",
+          from c join q using (source_id, slot)""",
         "derived_views": _with(*_DOCS) + """
           , s as (select page_id, block_pos, text, sum(strlen(text) + 1) over (partition by page_id
                     order by block_pos) - 1 as upto from blocks),
