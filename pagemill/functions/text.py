@@ -6,10 +6,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Unicode White_Space set; the Java class \s alone is ASCII only.
-WHITESPACE = (
-    r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# The Unicode White_Space set: the Java class \s is ASCII only, \p{Z} holds the separators and
+# U+0085 is neither.
+WHITESPACE = r"[\s\p{Z}\x85]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

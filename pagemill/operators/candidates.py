@@ -176,7 +176,7 @@ def page_plans(arrays: DataFrame) -> DataFrame:
 def _span_text(span: Column, tokens: Column) -> Column:
     size = F.coalesce(span["end_pos"], F.size(tokens)) - span["pos"] - 1
     inner = F.slice(tokens, span["pos"] + 2, F.greatest(size, F.lit(0)))
-    words = F.filter(F.transform(inner, token_text), lambda text: text != "")
+    words = F.filter(F.transform(inner, lambda token: token_text(token)), lambda text: text != "")
     return F.array_join(words, " ")
 
 

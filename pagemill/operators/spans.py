@@ -43,14 +43,12 @@ def _upto(partition: list, order: Column | list) -> Window:
 def counted_tags(arrays: DataFrame) -> DataFrame:
     """Tag rows that matter for spans, each with running element counts and page totals."""
     token = F.col("token")
-    kind, name = token_kind(token), token_name(token)
-    typed = explode_tokens(arrays).select(
-        "page_id", "pos", "token", kind.alias("kind"),
-        F.when(kind.isin("start", "raw", "end"), name).alias("name"),
+    typed = explode_tokens(arrays).withColumn("kind", token_kind(token)).withColumn(
+        "name", F.when(F.col("kind").isin("start", "raw", "end"), token_name(token))
     )
     started = F.col("kind").isin("start", "raw")
     counted = started & ~F.col("name").isin("html", "head", "body")
-    text = token_text(token)
+    text = token_text(token, F.col("kind"))
     rows = typed.select(
         "page_id", "pos", "kind", "name",
         F.when(counted, 1).otherwise(0).alias("is_element"),

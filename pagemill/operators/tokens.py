@@ -57,14 +57,12 @@ def raw_content(token: Column) -> Column:
     return F.regexp_extract(token, _RAW_CONTENT_RX, 1)
 
 
-def token_text(token: Column) -> Column:
+def token_text(token: Column, kind: Column | None = None) -> Column:
     """Normalized text of a text or raw token, null for tags, empty for blanks."""
-    kind = token_kind(token)
-    decodes = ~token.startswith("<") | (kind == "text") | token.rlike(_DECODED_RAW_RX)
+    kind = token_kind(token) if kind is None else kind
+    decodes = token.contains("&") & ((kind == "text") | token.rlike(_DECODED_RAW_RX))
     source = F.when(kind == "text", token).when(kind == "raw", raw_content(token))
-    return collapse_whitespace(
-        F.when(decodes & token.contains("&"), decode_references(source)).otherwise(source)
-    )
+    return collapse_whitespace(F.when(decodes, decode_references(source)).otherwise(source))
 
 
 def token_arrays(
@@ -78,7 +76,11 @@ def token_arrays(
     no shuffle is added.
     """
     html = F.col("html")
-    arrays = pages.where(F.octet_length(html) <= max_input_bytes).select(
+    # The key test is what a join on page_id would infer; stating it here keeps the two readers of
+    # this exchange identical, so that it runs once.
+    arrays = pages.where(
+        F.col("page_id").isNotNull() & (F.octet_length(html) <= max_input_bytes)
+    ).select(
         "page_id", F.regexp_extract_all(html, F.lit(TOKEN_RX), F.lit(1)).alias("tokens")
     )
     return arrays if partitioned else arrays.repartition("page_id")
@@ -96,17 +98,18 @@ def explode_tokens(arrays: DataFrame) -> DataFrame:
 def tokenize(pages: DataFrame, max_input_bytes: int = rules.MAX_INPUT_BYTES) -> DataFrame:
     """(page_id, pos, kind, name, attrs, text), one row per token and no shuffle."""
     token = F.col("token")
-    rows = explode_tokens(token_arrays(pages, max_input_bytes, partitioned=True))
-    kind = token_kind(token)
+    arrays = token_arrays(pages, max_input_bytes, partitioned=True)
+    rows = explode_tokens(arrays).withColumn("kind", token_kind(token))
+    kind = F.col("kind")
     tag = kind.isin("start", "end", "raw")
     attrs = F.trim(F.regexp_extract(token, rf"(?is)^</?[a-z][^\s/>]*+({_ATTRS})>", 1))
     return rows.select(
         "page_id",
         "pos",
-        kind.alias("kind"),
+        "kind",
         F.when(tag, token_name(token)).alias("name"),
         F.when(kind.isin("start", "raw"), attrs).alias("attrs"),
-        token_text(token).alias("text"),
+        token_text(token, kind).alias("text"),
     )
 
 

@@ -15,6 +15,9 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Call sites per column expression cost more than small queries take.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PAGEMILL_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
