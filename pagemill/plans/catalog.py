@@ -17,9 +17,11 @@ from pagemill.operators import (
 )
 from pagemill.plans.fixtures import fixture, table
 from pagemill.schemas import FACTS
+from pagemill.session import ensure_checkpoint_dir
 from pagemill.sources import commands as command_source
 from pagemill.sources import documents as document_sink
 from pagemill.sources import facts
+from pagemill.streaming import jobs
 
 _NOW_TEXT = "2000-01-01 00:00:00"
 
@@ -451,9 +453,23 @@ def command_outcomes(spark, sf):
     return metrics.command_outcomes(outcomes)
 
 
-def _processed(spark, sf) -> DataFrame:
+def _run_decisions(spark, sf) -> DataFrame:
+    """Decisions for the pages of runs, one page in six without its article.
+
+    Several fact tables read them, so they are computed once and kept in the checkpoint folder, as a
+    ledger job would read them from the decisions table.
+    """
+    bare = F.substring_index("html", "<article>", 1)
+    pages = _pages(spark, sf).withColumn(
+        "html", F.when(F.col("page_id") % 6 == 0, bare).otherwise(F.col("html"))
+    )
+    ensure_checkpoint_dir(spark)
+    return quality.page_decisions(pages).checkpoint()
+
+
+def _processed(spark, sf, decisions: DataFrame) -> DataFrame:
     """Running runs with one processing result each; page quality comes from the pages."""
-    winners = _decisions(spark, sf).select("page_id", "winner")
+    winners = decisions.select("page_id", "winner")
     runs = fixture(spark, sf, "runs").where(F.col("status") == "running").drop("status")
     return ledger.run_outcomes(_faults(runs).join(winners, "page_id"))
 
@@ -472,7 +488,9 @@ def _faults(runs: DataFrame) -> DataFrame:
 
 def run_outcome_counts(spark, sf):
     return metrics.run_outcome_counts(
-        _processed(spark, sf).withColumnRenamed("error_class", "last_error_class")
+        _processed(spark, sf, _run_decisions(spark, sf)).withColumnRenamed(
+            "error_class", "last_error_class"
+        )
     )
 
 
@@ -589,8 +607,8 @@ def due_outbox(spark, sf):
 
 
 # --- Set operations, ledger -----------------------------------------------------------------
-def _finished(spark, sf) -> DataFrame:
-    processed = _processed(spark, sf)
+def _finished(spark, sf, decisions: DataFrame) -> DataFrame:
+    processed = _processed(spark, sf, decisions)
     return processed.select(
         "run_id", F.col("run_id").alias("command_id"), F.col("run_id").alias("operation_id"),
         "owner_id", F.concat(F.lit("operation:"), F.col("run_id")).alias("correlation_id"),
@@ -604,17 +622,15 @@ def _finished(spark, sf) -> DataFrame:
     )
 
 
-def _terminal(spark, sf) -> dict[str, DataFrame]:
-    pages = _pages(spark, sf)
-    decisions = quality.page_decisions(pages)
+def _terminal(spark, sf, decisions: DataFrame) -> dict[str, DataFrame]:
     return ledger.terminal_facts(
-        _finished(spark, sf), quality.candidate_rows(decisions), documents.documents_of(decisions),
-        documents.source_blobs(pages),
+        _finished(spark, sf, decisions), quality.candidate_rows(decisions),
+        documents.documents_of(decisions), documents.source_blobs(_pages(spark, sf)),
     )
 
 
 def terminal_events(spark, sf):
-    events = _terminal(spark, sf)["outbox"]
+    events = _terminal(spark, sf, _run_decisions(spark, sf))["outbox"]
     return events.select(
         F.col("causation_command_id").alias("command_id"), "subject", "message_id",
         F.coalesce(
@@ -669,8 +685,9 @@ def terminal_state(spark, sf):
 
 
 def _fact_counts(status: str, error: str | None, spark, sf) -> DataFrame:
-    finished = _finished(spark, sf)
-    made = _terminal(spark, sf)
+    decisions = _run_decisions(spark, sf)
+    finished = _finished(spark, sf, decisions)
+    made = _terminal(spark, sf, decisions)
     scope = finished.where(F.col("status") == status)
     if error is not None:
         scope = scope.where(
@@ -692,6 +709,23 @@ def _fact_counts(status: str, error: str | None, spark, sf) -> DataFrame:
     return counted.na.fill(0)
 
 
+def run_states(spark, sf):
+    """Event logs of runs: queued at the order date, claimed and ended by their lines."""
+    queued = fixture(spark, sf, "runs").select(
+        "run_id", F.col("queued_at").alias("at"), F.lit("queued").alias("event")
+    )
+    calls = fixture(spark, sf, "completions").select(
+        "run_id", F.col("finished_at").alias("at"),
+        F.when(F.col("attempt") <= 3, "claimed").otherwise(F.col("result")).alias("event"),
+    )
+    states = jobs.run_states(queued.unionByName(calls), _now(), 86400 * 30)
+    return states.select(
+        "run_id", "status", _micros("queued_at").alias("queued_us"),
+        _micros("started_at").alias("started_us"), _micros("completed_at").alias("completed_us"),
+        "deliveries", "eligible",
+    )
+
+
 def fetch_outcome(spark, sf):
     return _outcomes(spark, sf).select("fetch_id", "outcome", "failure")
 
@@ -884,7 +918,7 @@ def _all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fetch_failures, outbox_report, run_counts, validate_candidate_sets, content_dedup,
         attempts_per_fetch, mark_duplicates, first_deliveries, retry_schedule, concurrency_audit,
         due_runs, due_outbox, terminal_events, commands_without_runs, runs_without_end, intake_runs,
-        intake_inbox, terminal_state, fetch_outcome, retry_delay, outbox_backoff, envelope,
+        intake_inbox, terminal_state, run_states, fetch_outcome, retry_delay, outbox_backoff, envelope,
         retained, outbox_pass, host_strategy, unchanged_content, derived_views, block_citations,
         escalation_flags, page_features, shadow_comparison,
     ]

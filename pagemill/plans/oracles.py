@@ -229,7 +229,8 @@ _PROCESSED = """processed as (
   from (select r.run_id, r.owner_id, r.page_id, r.queued_at, case
           when run_id % 7 = 0 or run_id % 11 = 0 then 'fetch'
           when run_id % 5 = 0 then 'unsupported_media' when run_id % 13 = 0 then 'artifact'
-          when run_id % 17 = 0 then 'parse' when w.page_id is null then 'quality' end as error_class
+          when run_id % 17 = 0 then 'parse'
+          when w.page_id is null or r.page_id % 6 = 0 then 'quality' end as error_class
         from runs_f r join pages p using (page_id) left join winners w using (page_id)
         where r.status = 'running'))"""
 _MESSAGES = """messages as (
@@ -711,6 +712,25 @@ def oracle_sql() -> dict[str, str]:
             cast(applies as bigint) as applied,
             more_bad + case when status = 'succeeded' then more_good else 0 end as duplicates,
             case when status <> 'succeeded' then more_good else 0 end as invalid_state from k""",
+        "run_states": _with("runs", "completions") + f"""
+          , e as (select run_id, queued_at as seen_at, 'queued' as event from runs_f
+            union all select run_id, finished_at, case when attempt <= 3 then 'claimed' else result end
+            from completions_f),
+          s as (select run_id, min(seen_at) filter (where event = 'queued') as queued,
+              min(seen_at) filter (where event = 'claimed') as started,
+              max(seen_at) filter (where event = 'claimed') as last_claim,
+              count(*) filter (where event = 'claimed') as deliveries,
+              min(seen_at) filter (where event in ('succeeded', 'failed')) as ended,
+              min(epoch_us(seen_at)::varchar || event) filter (where event in ('succeeded', 'failed'))
+                as first_end
+            from e where seen_at <= {_NOW} group by 1),
+          t as (select *, coalesce(started is not null and ended is not null, false) as done from s)
+          select run_id, case when done then case when first_end like '%failed' then 'failed'
+              else 'succeeded' end when started is not null then 'running' else 'queued' end as status,
+            epoch_us(queued) as queued_us, epoch_us(started) as started_us,
+            case when done then epoch_us(ended) end as completed_us, deliveries,
+            not done and not coalesce(last_claim + interval 30 day > {_NOW}, false)
+              and deliveries < 12 as eligible from t""",
         "complete_runs": _facts(
             "status = 'succeeded'", "1 as fetches, 2 as artifacts, 3 as candidates, 1 as selected, 2 as events"
         ),
