@@ -100,9 +100,14 @@ def fetch_outcome(
 def _http_date(value: Column) -> Column:
     """The three date forms of HTTP; the weekday is dropped because its pattern is not portable."""
     bare = F.regexp_replace(value, "^[A-Za-z]+,? +", "")
+    # Two-digit years from 70 on belong to the last century.
+    short = r"^(\d{2}-[A-Za-z]{3}-)"
+    full = F.regexp_replace(
+        F.regexp_replace(bare, short + r"([7-9]\d) ", "$119$2 "), short + r"(\d{2}) ", "$120$2 "
+    )
     return F.coalesce(
         F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss 'GMT'")),
-        F.try_to_timestamp(bare, F.lit("dd-MMM-yy HH:mm:ss 'GMT'")),
+        F.try_to_timestamp(full, F.lit("dd-MMM-yyyy HH:mm:ss 'GMT'")),
         F.try_to_timestamp(F.regexp_replace(bare, " +", " "), F.lit("MMM d HH:mm:ss yyyy")),
     )
 
