@@ -75,8 +75,26 @@ def _decode_piece(piece: Column) -> Column:
     )
 
 
+# The references that pages use most, '&' last so that nothing is decoded twice.
+_COMMON = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", "\u00a0"), ("&amp;", "&"),
+)
+_UNCOMMON_RX = "&(?!(?:lt|gt|quot|nbsp|amp);)[#A-Za-z]"
+
+
 def decode_references(text: Column) -> Column:
-    """Replace HTML character references; text without ``&`` is returned untouched."""
+    """Replace HTML character references.
+
+    Text without ``&`` is returned untouched and text with only the common references takes plain
+    replacements; the piecewise form is for the rest.
+    """
+    common = text
+    for reference, char in _COMMON:
+        common = F.replace(common, F.lit(reference), F.lit(char))
     pieces = F.regexp_extract_all(text, F.lit(f"({_PIECES_RX})"), F.lit(1))
     decoded = F.array_join(F.transform(pieces, _decode_piece), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return (
+        F.when(~text.contains("&"), text)
+        .when(~text.rlike(_UNCOMMON_RX), common)
+        .otherwise(decoded)
+    )

@@ -14,6 +14,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.execution.useObjectHashAggregateExec", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # Call sites per column expression cost more than small queries take.
