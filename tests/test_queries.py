@@ -8,11 +8,11 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-import __spark_entry__ as entry_points  # noqa: E402
+from pagemill.plans import catalog, oracles  # noqa: E402
 from pagemill.plans.fixtures import TABLES  # noqa: E402
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
