@@ -4,7 +4,7 @@ Level 1 holds the sorted 64-bit hashes of all training words; a word's number is
 holds, per first word, the second words; level 3, per known pair, the third word as its rank among
 the successors of the middle word (context-relative). A level is a sorted list of contexts, monotone
 pointers to their ranges, and one monotone sequence of children. Probabilities and the mass left for
-shorter contexts are stored as 8-bit logarithms.
+shorter contexts are stored as 16-bit logarithms.
 
 Smoothing is absolute discounting with interpolation. Pairs and triples seen once are not stored;
 what is discounted or not stored stays with the shorter context, so every level is estimated from
@@ -45,8 +45,8 @@ DISCOUNT = 0.75
 MIN_COUNT = 2
 NGRAMS_PER_BUCKET = 3_000_000
 CHUNK = 12_000_000
-#: One step of an 8-bit and of a 16-bit logarithm.
-STEP8, STEP16 = 1 / 32, 1 / 4096
+#: One step of a 16-bit logarithm.
+STEP = 1 / 4096
 #: Amounts of mass are whole numbers of 1 / SCALE.
 SCALE = 1024
 
@@ -55,8 +55,9 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def coded(values: np.ndarray, step: float, kind: type) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(values, 1e-300)) / step), 0, np.iinfo(kind).max).astype(kind)
+def coded(values: np.ndarray) -> np.ndarray:
+    """Quantised logarithms; what is not positive gets the smallest value, 1e-16."""
+    return np.clip(np.rint(-np.log10(np.maximum(values, 1e-300)) / STEP), 0, 0xFFFF).astype(np.uint16)
 
 
 def spread(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -217,7 +218,7 @@ class Level:
             here = level["context"].find(contexts[rows])
             rows, here = rows[here >= 0], here[here >= 0]
             if codes is not None:
-                left[rows] = 10.0 ** (-STEP8 * codes[number]["left"][here])
+                left[rows] = 10.0 ** (-STEP * codes[number]["left"][here])
             width = int(arrays["width"][0])
             known = (children[rows] >= 0) & (children[rows] < width)
             rows, here = rows[known], here[known]
@@ -225,7 +226,7 @@ class Level:
             rows, place = rows[place >= 0], place[place >= 0]
             places[rows] = place + self.base[number]
             if codes is not None:
-                gain[rows] = 10.0 ** (-STEP8 * codes[number]["gain"][place])
+                gain[rows] = 10.0 ** (-STEP * codes[number]["gain"][place])
         return places, gain, left
 
     def located(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +332,7 @@ def finish(level: Level, folder: str, taken: DataFrame, totals: Callable[[np.nda
         gain = rest / np.maximum(np.repeat(whole, sizes), 1)
         left = 1.0 - np.add.reduceat(rest, start) / np.maximum(whole, 1)
         name = f"codes-{uuid.uuid4().hex}"
-        ef.save(folder, name, {"gain": coded(gain, STEP8, np.uint8), "left": coded(left, STEP8, np.uint8)})
+        ef.save(folder, name, {"gain": coded(gain), "left": coded(left)})
         rows = [(number, name, 0, None, None, None)]
         if words is not None:
             width = int(arrays["width"][0])
@@ -358,7 +359,7 @@ def finish_words(words: Words, folder: str, taken: DataFrame, rest: float) -> di
         keys, amounts = _gathered(table)
         left[keys.astype(np.int64) - words.base[number]] -= amounts / SCALE
         name = f"codes-{uuid.uuid4().hex}"
-        ef.save(folder, name, {"code": coded((np.maximum(left, 0) + 1) / rest, STEP16, np.uint16)})
+        ef.save(folder, name, {"code": coded((np.maximum(left, 0) + 1) / rest)})
         return pa.table({"part": pa.array([number], pa.int32()), "file": [name]})
 
     return {r[0]: r[1] for r in taken.union(every).groupBy("part").applyInArrow(close, "part int, file string").collect()}
@@ -405,7 +406,7 @@ class Model:
         part = self.words.part(ids)
         for number in np.unique(part[part >= 0]):
             rows = np.flatnonzero(part == number)
-            out[rows] = 10.0 ** (-STEP16 * self.word_codes[int(number)]["code"][ids[rows] - self.words.base[int(number)]])
+            out[rows] = 10.0 ** (-STEP * self.word_codes[int(number)]["code"][ids[rows] - self.words.base[int(number)]])
         return out
 
     def logs(self, ids: np.ndarray) -> np.ndarray:
