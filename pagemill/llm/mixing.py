@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import once
 from pagemill.llm.store import work_folder, written
 from pagemill.llm.text import WORD, boxed, text_of, unboxed
 
@@ -103,5 +104,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows taken twice stand twice, rows not taken are left out."""
-    taken = mix(docs, **options).filter("times > 0")
+    taken = once(mix(docs, **options), ["row"], [F.col("times")]).filter("times > 0")
     return unboxed(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)

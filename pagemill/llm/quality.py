@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.plan import once
 from pagemill.llm.text import SPACE, boxed, text_of, unboxed, words_of
 
 #: Frequent function words of each language.
@@ -156,4 +157,4 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, with their own columns."""
-    return unboxed(assess(docs).filter("kept"), docs.columns)
+    return unboxed(once(assess(docs), ["row"], [F.col("kept")]).filter("kept"), docs.columns)
