@@ -194,9 +194,11 @@ def test_leaks_are_those_of_a_brute_search(spark, sf):
         words = decontam.terms_of(row["text"].encode())
         joined = b" ".join([b"", *words, b""])
         expect |= {(row["doc_id"], k) for k, run in items.items() if b" ".join([b"", *run, b""]) in joined}
-    found = {(r["id"], r["item_id"]) for r in decontam.find_leaks(docs, benchmark).collect()}
-    assert expect and len(expect & found) >= 0.9 * len(expect)
-    assert len(found - expect) <= 0.1 * len(expect)
+    rows = decontam.find_leaks(docs, benchmark).collect()
+    found = {(r["id"], r["item_id"]): r["share"] for r in rows}
+    assert expect and len(expect & {*found}) >= 0.9 * len(expect)
+    # What is no whole copy holds most of the item in order.
+    assert all(share >= decontam.LIKELY_SHARE for share in found.values())
 
 
 def test_paraphrases_leak_with_their_answer_only(spark):
