@@ -60,7 +60,7 @@ ROW_RULES = {
     },
     "outbox": {
         "subject_is_known": f"subject in ('{rules.DOCUMENT_SUBJECT}', '{rules.REPORT_SUBJECT}')",
-        "payload_is_an_object": "left(ltrim(payload), 1) = '{'",
+        "payload_is_an_object": "payload is null or json_object_keys(payload) is not null",
         "attempts_is_non_negative": "attempts >= 0",
         **_CLAIM,
         "last_error_is_safe": (

@@ -53,14 +53,15 @@ def duration_histogram(fetches: DataFrame, seconds: str = "duration_s") -> DataF
 
 
 def fetch_failures(fetches: DataFrame) -> DataFrame:
-    """A5: failed fetches by bounded class; the output has no URL, host or address."""
+    """A5: failed fetches by bounded class, ``other`` for failures outside the list; the output has
+    no URL, host or address."""
     (failure, name), *rest = rules.FAILURE_CLASSES
     bounded = F.when(F.col("failure") == failure, name)
     for failure, name in rest:
         bounded = bounded.when(F.col("failure") == failure, name)
     return (
         fetches.where(F.col("failure").isNotNull())
-        .groupBy(bounded.alias("failure_class"))
+        .groupBy(bounded.otherwise("other").alias("failure_class"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -79,6 +80,7 @@ def validate_candidate_sets(candidates: DataFrame, runs: DataFrame, key: str = "
     selected (succeeded) or none (failed)."""
     wanted = F.when(F.col("status") == "succeeded", 1).otherwise(0)
     ok = (F.col("candidates") == 3) & (F.col("selected") == wanted)
-    return run_counts(candidates, key).join(runs.select(key, "status"), key).select(
+    # A run without any decision has no counts, which is not ok either.
+    return runs.select(key, "status").join(run_counts(candidates, key), key, "left").select(
         key, F.when(ok, "ok").otherwise("invalid_run_state").alias("state")
     )

@@ -7,7 +7,8 @@ from pagemill.functions.net import address_hex, address_ranges
 
 
 def classify_addresses(addresses: DataFrame) -> DataFrame:
-    """Add ``address_hex`` and ``blocked_class`` (null when allowed or not an address).
+    """Add ``address_hex`` and ``blocked_class``: null when allowed, ``unparsed`` for text that
+    is no address in full form, so that policy fails closed. A missing address is ``unparsed`` too.
 
     The ordered rules are a fixed list of about forty ranges, so first-match-wins is one CASE over
     the fixed-width digits: no join, no shuffle.
@@ -19,7 +20,7 @@ def classify_addresses(addresses: DataFrame) -> DataFrame:
     for low, high, name in ranges[1:]:
         matched = matched.when(digits.between(low, high), F.lit(name).cast("string"))
     return addresses.withColumn("address_hex", address_hex("address")).withColumn(
-        "blocked_class", matched
+        "blocked_class", F.when(digits.isNull(), "unparsed").otherwise(matched)
     )
 
 

@@ -719,12 +719,13 @@ def oracle_sql() -> dict[str, str]:
           s as (select run_id, min(seen_at) filter (where event = 'queued') as queued,
               min(seen_at) filter (where event = 'claimed') as started,
               max(seen_at) filter (where event = 'claimed') as last_claim,
-              count(*) filter (where event = 'claimed') as deliveries,
-              min(seen_at) filter (where event in ('succeeded', 'failed')) as ended,
-              min(epoch_us(seen_at)::varchar || event) filter (where event in ('succeeded', 'failed'))
-                as first_end
+              count(*) filter (where event = 'claimed') as deliveries
             from e where seen_at <= {_NOW} group by 1),
-          t as (select *, coalesce(started is not null and ended is not null, false) as done from s)
+          f as (select run_id, min(seen_at) as ended,
+              min(lpad(epoch_us(seen_at)::varchar, 20, '0') || event) as first_end
+            from e join s using (run_id)
+            where event in ('succeeded', 'failed') and seen_at between started and {_NOW} group by 1),
+          t as (select s.*, ended, first_end, ended is not null as done from s left join f using (run_id))
           select run_id, case when done then case when first_end like '%failed' then 'failed'
               else 'succeeded' end when started is not null then 'running' else 'queued' end as status,
             epoch_us(queued) as queued_us, epoch_us(started) as started_us,

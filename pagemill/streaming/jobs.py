@@ -90,8 +90,16 @@ def run_states(
         F.min(F.when(is_event("claimed"), F.col("at"))).alias("started_at"),
         F.max(F.when(is_event("claimed"), F.col("at"))).alias("last_claim"),
         F.count_if(is_event("claimed")).alias("deliveries"),
-        F.min(F.when(is_event("succeeded", "failed"), F.struct("at", "event"))).alias("end"),
     )
+    # An end counts only after the first claim: the side with the claims has one row per run.
+    ends = (
+        past.where(is_event("succeeded", "failed"))
+        .join(folded.select("run_id", "started_at"), "run_id")
+        .where(F.col("at") >= F.col("started_at"))
+        .groupBy("run_id")
+        .agg(F.min(F.struct("at", "event")).alias("end"))
+    )
+    folded = folded.join(ends, "run_id", "left")
     ended = F.col("started_at").isNotNull() & F.col("end").isNotNull()
     held = F.col("last_claim") + F.make_dt_interval(secs=F.lit(lease_seconds)) > now
     status = (

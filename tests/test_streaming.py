@@ -58,7 +58,7 @@ def test_run_state_stream_equals_batch(spark, tmp_path):
     log = [
         ("a", 0, "queued"), ("a", 10, "claimed"), ("a", 20, "succeeded"), ("a", 30, "failed"),
         ("b", 0, "queued"), ("b", 5, "claimed"), ("c", 0, "queued"), ("d", 0, "queued"),
-        ("d", 3590, "claimed"),
+        ("d", 3590, "claimed"), ("e", 0, "queued"), ("e", 5, "succeeded"), ("e", 10, "claimed"),
     ]
     frame = spark.createDataFrame(
         [(r, T0 + timedelta(seconds=s), e) for r, s, e in log],
@@ -69,6 +69,7 @@ def test_run_state_stream_equals_batch(spark, tmp_path):
     assert (batch["b"].status, batch["b"].eligible) == ("running", True)
     assert (batch["c"].status, batch["c"].eligible) == ("queued", True)
     assert (batch["d"].status, batch["d"].eligible) == ("running", False)
+    assert (batch["e"].status, batch["e"].completed_at) == ("running", None)
     stream = _stream(spark, frame, f"{tmp_path}/in", 3)
     jobs.run_state_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", now).awaitTermination()
     states = jobs.latest_states(read_committed(spark, f"{tmp_path}/out", "states"))

@@ -81,7 +81,7 @@ ADDRESSES = {
     "2001:db8:1::": "documentation", "3fff::1": "documentation", "2001:2:0:9::": "benchmarking",
     "100::1": "reserved", "64:ff9b:1::": "reserved", "2002:1::": "reserved", "fec0::1": "reserved",
     "4000::1": "reserved", "2001:20::1": "reserved", "2620:fe::fe": None,
-    "::ffff:192.168.0.1": "private", "::FFFF:8.8.4.4": None, "nonsense": None, "1.2.3": None,
+    "::ffff:192.168.0.1": "private", "::FFFF:8.8.4.4": None, "nonsense": "unparsed", "1.2.3": "unparsed",
 }
 
 
