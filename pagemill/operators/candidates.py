@@ -181,14 +181,17 @@ def _span_text(span: Column, tokens: Column) -> Column:
 
 
 def page_candidates(
-    pages: DataFrame, max_input_bytes: int = rules.MAX_INPUT_BYTES, partitioned: bool = False
+    pages: DataFrame,
+    max_input_bytes: int = rules.MAX_INPUT_BYTES,
+    partitioned: bool = False,
+    max_dom_nodes: int = rules.MAX_DOM_NODES,
 ) -> DataFrame:
     """(page_id, title, language, recovery, blocks, candidates): the shared page-level row.
 
     Both sides of the join read the same exchange of token arrays, so pages are read, cut and
     shuffled once; text travels only on the side that does not sort.
     """
-    arrays = token_arrays(pages, max_input_bytes, partitioned)
+    arrays = token_arrays(pages, max_input_bytes, partitioned, max_dom_nodes)
     plans = page_plans(arrays)
     empty = [
         F.struct(

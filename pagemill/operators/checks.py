@@ -64,8 +64,8 @@ ROW_RULES = {
         "attempts_is_non_negative": "attempts >= 0",
         **_CLAIM,
         "last_error_is_safe": (
-            "last_error is null or (length(last_error) <= 512 and "
-            "last_error = translate(last_error, concat(chr(13), chr(10)), ''))"
+            "last_error is null or "
+            r"(length(last_error) <= 512 and not last_error rlike '[\\r\\n]')"
         ),
         "terminal_state_is_exclusive": (
             "not (published_at is not null and dead_lettered_at is not null)"

@@ -69,15 +69,18 @@ def fetch_outcome(
 
     Status decides first (retry, redirect, revalidation, refusal); then the declared length, the
     encoding, the bytes on the wire, the decoded bytes and a malformed stream, in that order.
-    ``declared_bytes`` and ``malformed`` are optional columns.
+    ``declared_bytes``, ``malformed``, ``retries`` and ``redirects`` are optional columns. Redirect
+    hops are attempts but no retries: without ``retries`` they are taken from the attempts.
     """
     status = F.col("http_status")
     declared = F.col("declared_bytes") if "declared_bytes" in log.columns else F.lit(0)
     malformed = F.col("malformed") if "malformed" in log.columns else F.lit(False)
+    redirects = F.coalesce("redirects", F.lit(0)) if "redirects" in log.columns else F.lit(0)
+    retries = F.col("attempts") - 1 - redirects
+    if "retries" in log.columns:
+        retries = F.coalesce("retries", retries)
     outcome = (
-        F.when(
-            status.isin(*rules.TRANSIENT_STATUSES) & (F.col("attempts") <= max_retries), "retry"
-        )
+        F.when(status.isin(*rules.TRANSIENT_STATUSES) & (retries < max_retries), "retry")
         .when(status.isin(*rules.REDIRECT_STATUSES), "redirect")
         .when(status == 304, "not_modified")
     )
@@ -98,34 +101,43 @@ def fetch_outcome(
 
 
 def _http_date(value: Column) -> Column:
-    """The three date forms of HTTP; the weekday is dropped because its pattern is not portable."""
+    """The three date forms of HTTP, read in UTC whatever the session's zone; the weekday is
+    dropped because its pattern is not portable."""
     bare = F.regexp_replace(value, "^[A-Za-z]+,? +", "")
     # Two-digit years from 70 on belong to the last century.
     short = r"^(\d{2}-[A-Za-z]{3}-)"
     full = F.regexp_replace(
         F.regexp_replace(bare, short + r"([7-9]\d) ", "$119$2 "), short + r"(\d{2}) ", "$120$2 "
     )
+
+    def read(text: Column, form: str) -> Column:
+        return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{form} xx"))
+
     return F.coalesce(
-        F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss 'GMT'")),
-        F.try_to_timestamp(full, F.lit("dd-MMM-yyyy HH:mm:ss 'GMT'")),
-        F.try_to_timestamp(F.regexp_replace(bare, " +", " "), F.lit("MMM d HH:mm:ss yyyy")),
+        read(bare, "dd MMM yyyy HH:mm:ss 'GMT'"),
+        read(full, "dd-MMM-yyyy HH:mm:ss 'GMT'"),
+        read(F.regexp_replace(bare, " +", " "), "MMM d HH:mm:ss yyyy"),
     )
 
 
 def retry_delay(attempts: DataFrame) -> DataFrame:
     """Add ``delay_ms`` from (retry_index, attempts, retry_after, now).
 
-    The jitter is a 64-bit wrapping product, computed exactly as a decimal modulo 2^64. The session
-    time zone must be UTC.
+    The jitter is a 64-bit wrapping product, computed exactly as a decimal modulo 2^64. Seconds of
+    any number of digits count; a delay beyond a long is the greatest long.
     """
     ceiling = F.lit(100) * F.pow(F.lit(2), F.least("retry_index", F.lit(6))).cast("bigint")
     mixed = F.expr(
-        f"pmod(cast(attempts as decimal(10,0)) * {rules.JITTER_MULTIPLIER}BD"
+        f"pmod(cast(attempts as decimal(18,0)) * {rules.JITTER_MULTIPLIER}BD"
         f" + {rules.JITTER_INCREMENT}BD, 18446744073709551616BD)"
     )
     jitter = F.expr("pmod(mixed_, cast(ceiling_ + 1 as decimal(20,0)))").cast("bigint")
     value = F.trim("retry_after")
-    seconds = F.when(value.rlike("^[+]?[0-9]{1,15}$"), value.cast("bigint") * 1000)
+    longest = F.lit(2**63 - 1)
+    seconds = F.when(
+        value.rlike("^[+]?[0-9]+$"),
+        F.coalesce(F.try_multiply(value.try_cast("bigint"), F.lit(1000)), longest),
+    )
     target = F.unix_millis(_http_date(value)) - F.unix_millis(F.col("now").cast("timestamp"))
     minimum = F.coalesce(seconds, F.greatest(target, F.lit(0)))
     return (

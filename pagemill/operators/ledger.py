@@ -120,6 +120,19 @@ def intake(commands: DataFrame, known: DataFrame | None = None) -> dict[str, Dat
 
 
 # --- Events ---------------------------------------------------------------------------------
+def utc_text(at: Column) -> Column:
+    """ISO form of an instant in UTC with six decimals, whatever the session's zone."""
+    micros = F.unix_micros(at.cast("timestamp"))
+    within = F.pmod(micros, F.lit(86_400_000_000))
+    day = F.date_from_unix_date(((micros - within) / 86_400_000_000).cast("int")).cast("string")
+    seconds = F.floor(within / 1_000_000)
+    clock = F.format_string(
+        "%02d:%02d:%02d.%06dZ",
+        F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60, within % 1_000_000,
+    )
+    return F.when(at.isNotNull(), F.concat(day, F.lit("T"), clock))
+
+
 def envelope(
     event_type: str, aggregate: Column, occurred_at: Column, payload: Column
 ) -> Column:
@@ -136,7 +149,7 @@ def envelope(
                       payload["status"] if event_type == rules.REPORT_TYPE else F.lit("document"))
             .alias("event_id"),
             F.lit(event_type).alias("event_type"),
-            F.date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
+            utc_text(occurred_at).alias("occurred_at"),
             payload.alias("payload"),
             F.lit(rules.OWNER_SERVICE).alias("producer"),
             F.lit(1).alias("schema_version"),
@@ -171,7 +184,7 @@ def report_events(
         fields.append(
             F.struct(
                 F.lit("content.extraction.failed").alias("code"),
-                F.lit("The document could not be extracted.").alias("message"),
+                F.lit("No document came out of this page.").alias("message"),
                 (F.lit(False) if retryable is None else retryable).alias("retryable"),
             ).alias("error")
         )

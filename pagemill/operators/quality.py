@@ -11,6 +11,7 @@ from pagemill import rules
 from pagemill.functions.text import ascii_lower
 from pagemill.functions.plan import once
 from pagemill.operators.candidates import page_candidates
+from pagemill.operators.tokens import refusal
 
 
 def _floor_div(value: Column, divisor: Column) -> Column:
@@ -134,6 +135,32 @@ def page_decisions(pages: DataFrame, **limits) -> DataFrame:
     return decide(page_candidates(pages, **limits))
 
 
+def refused_pages(pages: DataFrame, **limits) -> DataFrame:
+    """(page_id, outcome, error_class) of the pages that are not parsed; a narrow job.
+
+    A page without an id is ``missing_id``: nothing could name its document.
+    """
+    why = F.when(F.col("page_id").isNull(), "missing_id").otherwise(refusal(F.col("html"), **limits))
+    refused = pages.select("page_id", why.alias("outcome")).where(F.col("outcome").isNotNull())
+    return refused.withColumn("error_class", F.lit("parse"))
+
+
+def decided_pages(decisions: DataFrame) -> DataFrame:
+    """(page_id, outcome, error_class) of the parsed pages: ``document`` or ``low_quality``."""
+    lost = F.col("winner").isNull()
+    return decisions.select(
+        "page_id",
+        F.when(lost, "low_quality").otherwise("document").alias("outcome"),
+        F.when(lost, "quality").alias("error_class"),
+    )
+
+
+def page_outcomes(pages: DataFrame, **limits) -> DataFrame:
+    """(page_id, outcome, error_class): exactly one row per page that came in."""
+    refused = refused_pages(pages, **limits)
+    return decided_pages(page_decisions(pages, **limits)).unionByName(refused)
+
+
 def candidate_rows(decisions: DataFrame) -> DataFrame:
     """E11 to E14 as rows: three decisions per page in strategy order, at most one selected."""
     return decisions.select(
@@ -152,7 +179,8 @@ def candidate_rows(decisions: DataFrame) -> DataFrame:
 
 
 def low_quality(decisions: DataFrame) -> DataFrame:
-    """The three unselected decisions of every page without an accepted candidate."""
+    """The three unselected decisions of every parsed page without an accepted candidate; pages
+    over a limit have no decisions and stand in ``page_outcomes``."""
     return candidate_rows(decisions.where(F.col("winner").isNull())).withColumn(
         "error_class", F.lit("quality")
     )

@@ -65,12 +65,49 @@ def token_text(token: Column, kind: Column | None = None) -> Column:
     return collapse_whitespace(F.when(decodes, decode_references(source)).otherwise(source))
 
 
+def node_count(tokens: Column) -> Column:
+    """Nodes of a page: the document, its elements (html, head and body exist even when unwritten),
+    text, comments and the doctype."""
+    nodes = F.filter(
+        tokens, lambda t: token_kind(t).isin("start", "raw", "text", "comment", "doctype")
+    )
+    raw = F.filter(
+        tokens, lambda t: t.rlike(rf"(?i)^<(?:{_RAW})[\s/>]") & (raw_content(t) != "")
+    )
+
+    def unwritten(name: str) -> Column:
+        return F.when(F.exists(tokens, lambda t: t.rlike(rf"(?i)^<{name}[\s/>]")), 0).otherwise(1)
+
+    return F.size(nodes) + F.size(raw) + unwritten("html") + unwritten("head") + unwritten("body") + 1
+
+
+def refusal(
+    html: Column,
+    max_input_bytes: int = rules.MAX_INPUT_BYTES,
+    max_dom_nodes: int = rules.MAX_DOM_NODES,
+) -> Column:
+    """Why a page is not parsed: ``missing_body``, ``resource_limit``, or null if it is.
+
+    Every node but the four implied ones takes a byte at least, so nodes are counted only where the
+    bytes allow too many.
+    """
+    size = F.octet_length(html)
+    tokens = F.regexp_extract_all(html, F.lit(TOKEN_RX), F.lit(1))
+    return (
+        F.when(html.isNull(), "missing_body")
+        .when(size > max_input_bytes, "resource_limit")
+        .when(size + 4 <= max_dom_nodes, F.lit(None).cast("string"))
+        .when(node_count(tokens) > max_dom_nodes, "resource_limit")
+    )
+
+
 def token_arrays(
     pages: DataFrame,
     max_input_bytes: int = rules.MAX_INPUT_BYTES,
     partitioned: bool = False,
+    max_dom_nodes: int = rules.MAX_DOM_NODES,
 ) -> DataFrame:
-    """(page_id, tokens) hashed on page_id; pages over the byte limit are refused before parsing.
+    """(page_id, tokens) hashed on page_id; pages over a limit are refused (see ``refusal``).
 
     ``partitioned=True`` says the input already is clustered on ``page_id`` (a bucketed table); then
     no shuffle is added.
@@ -79,7 +116,7 @@ def token_arrays(
     # The key test is what a join on page_id would infer; stating it here keeps the two readers of
     # this exchange identical, so that it runs once.
     arrays = pages.where(
-        F.col("page_id").isNotNull() & (F.octet_length(html) <= max_input_bytes)
+        F.col("page_id").isNotNull() & refusal(html, max_input_bytes, max_dom_nodes).isNull()
     ).select(
         "page_id", F.regexp_extract_all(html, F.lit(TOKEN_RX), F.lit(1)).alias("tokens")
     )
@@ -126,23 +163,11 @@ def enforce_limits(
 ) -> DataFrame:
     """(page_id, n_nodes, parse_failure); the failure is resource_limit or null.
 
-    Bytes are tested before a page is cut into tokens. Nodes are the document, its elements (html,
-    head and body exist even when unwritten), text, comments and the doctype. A narrow job.
+    Bytes are tested before a page is cut into tokens. A narrow job.
     """
     fits = F.octet_length("html") <= max_input_bytes
     tokens = F.when(fits, F.regexp_extract_all("html", F.lit(TOKEN_RX), F.lit(1)))
-    nodes = F.filter(
-        "tokens", lambda t: token_kind(t).isin("start", "raw", "text", "comment", "doctype")
-    )
-    raw = F.filter(
-        "tokens", lambda t: t.rlike(rf"(?i)^<(?:{_RAW})[\s/>]") & (raw_content(t) != "")
-    )
-
-    def unwritten(name: str) -> Column:
-        return F.when(F.exists("tokens", lambda t: t.rlike(rf"(?i)^<{name}[\s/>]")), 0).otherwise(1)
-
-    implied = unwritten("html") + unwritten("head") + unwritten("body")
-    count = F.size(nodes) + F.size(raw) + implied + 1
+    count = node_count(F.col("tokens"))
     return (
         pages.select("page_id", tokens.alias("tokens"))
         .select("page_id", F.when(F.col("tokens").isNotNull(), count).alias("n_nodes"))

@@ -268,6 +268,10 @@ def enforce_limits(spark, sf):
     )
 
 
+def page_outcomes(spark, sf):
+    return quality.page_outcomes(_pages(spark, sf), max_input_bytes=8000, max_dom_nodes=80)
+
+
 def page_metadata(spark, sf):
     return candidates.page_metadata(_pages(spark, sf)).select("page_id", "title", "language")
 
@@ -910,7 +914,7 @@ def _all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         publish_events, canonicalize_urls, reject_urls, strip_tracking, ambiguous_hosts,
         classify_sources, dedupe_by_fingerprint, fingerprint_groups, classify_addresses,
         resolve_policy, effective_media_type, require_html, classify_encoding,
-        project_safe_evidence, tokenize, element_spans, enforce_limits, page_metadata, blocks,
+        project_safe_evidence, tokenize, element_spans, enforce_limits, page_outcomes, page_metadata, blocks,
         containers, container_stats, score_candidates, accept_candidates, select_winner,
         low_quality, build_documents, provenance, source_blobs, work_list, claim, owner_scope,
         verify_blobs, revalidate, address_ranges, dangling_references, corpus_report,

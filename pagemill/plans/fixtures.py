@@ -19,10 +19,10 @@ FIXTURES = {
                user_id % 10 as owner_id, ts as received_at,
                case when event_type = 'error' then 'content.capture.wrong.v1'
                     else 'content.capture.requested.v1' end as command_type,
-               (event_id - event_id % 2) % 250 as page_id
+               (event_id - event_id % 2) % (select count(*) + 5 from pages) as page_id
         from events""",
     "fetch_log": """
-        select event_id as fetch_id, (event_id * 7) % 250 as page_id,
+        select event_id as fetch_id, (event_id * 7) % (select greatest(count(*), 1) from pages) as page_id,
                concat('h', cast(user_id % 20 as string)) as host, ts as fetched_at,
                case event_type when 'error' then 503 when 'view' then 304 when 'signup' then 302
                     when 'click' then 404 else 200 end as http_status,
@@ -61,7 +61,7 @@ FIXTURES = {
                     else page_id - 1 end as next_id
         from pages""",
     "runs": """
-        select o_orderkey as run_id, o_custkey % 50 as owner_id, o_orderkey % 250 as page_id,
+        select o_orderkey as run_id, o_custkey % 50 as owner_id, o_orderkey % (select greatest(count(*), 1) from pages) as page_id,
                case o_orderstatus when 'F' then 'succeeded' when 'O' then 'queued'
                     else 'running' end as status,
                o_orderdate as queued_at,
@@ -142,10 +142,11 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = sql.replace("{{", "{").replace("}}", "}")
     sql = sql.replace("sha2_(concat(html, 'x'))", "sha2(concat(html, 'x'), 256)")
     sql = sql.replace("sha2_(html)", "sha2(html, 256)")
-    source = next(t for t in TABLES if f"from {t}" in " ".join(sql.split()))
-    text = sql.replace(f"from {source}", "from {source}").replace("{source}", "\x00")
-    text = text.replace("{", "{{").replace("}", "}}").replace("\x00", "{source}")
-    frame = spark.sql(text, source=table(spark, sf_dir, source))
+    text = sql.replace("{", "{{").replace("}", "}}")
+    sources = [t for t in TABLES if f"from {t}" in " ".join(sql.split())]
+    for source in sources:
+        text = text.replace(f"from {source}", f"from {{{source}}}")
+    frame = spark.sql(text, **{source: table(spark, sf_dir, source) for source in sources})
     return frame.select(
         *(
             frame[c].cast("timestamp").alias(c) if t == "timestamp_ntz" else frame[c]

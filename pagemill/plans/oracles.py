@@ -475,6 +475,16 @@ def oracle_sql() -> dict[str, str]:
               + len(regexp_extract_all(html, '<(script|style)[^>]*>[^<]')) as nodes from t)
           select page_id, case when size <= 8000 then nodes end as n_nodes,
                  case when size > 8000 or nodes > 80 then 'resource_limit' end as parse_failure from k""",
+        "page_outcomes": _with(*_PAGE) + f"""
+          , t as (select *, regexp_replace(h, '(?s)<title>.*?</title>', '<title>x</title>') as g from clean),
+          k as (select page_id, strlen(html) as size, 1 + {_STARTS.format('g')}
+              + len(regexp_extract_all(g, '<!')) + len(regexp_extract_all(g, '>([^<]+)', 1))
+              + len(regexp_extract_all(html, '<(script|style)[^>]*>[^<]')) as nodes from t),
+          o as (select page_id, case when size > 8000 or nodes > 80 then 'resource_limit'
+                when page_id in (select page_id from winners) then 'document' else 'low_quality' end as outcome
+              from k)
+          select page_id, outcome, case outcome when 'resource_limit' then 'parse'
+              when 'low_quality' then 'quality' end as error_class from o""",
         "page_metadata": _with(_META) + "select page_id, title, language from meta",
         "blocks": _with(_CLEAN, _ARTICLE, _PIECES, _BLOCKS)
         + "select page_id, block_pos, kind, level, text from blocks",

@@ -1,5 +1,6 @@
 """Writing documents and events."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,15 +19,28 @@ def distinct_documents(documents: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Canonical JSON laid out by the first two hex digits of its SHA-256.
 
-    Equal bytes are stored once. Rows are spread over the 256 prefixes by digest, so no single
-    writer holds a popular prefix.
+    Equal bytes are stored once: appended rows whose digest the folder already holds are left out.
+    Rows are spread over the 256 prefixes by digest, so no single writer holds a popular prefix.
     """
     rows = distinct_documents(documents)
+    if mode == "append" and (stored := _stored(documents, path)) is not None:
+        rows = rows.join(stored, ["prefix", "digest"], "left_anti")
     rows.repartition("prefix", F.substring("digest", 3, 1)).write.mode(mode).partitionBy(
         "prefix"
     ).parquet(path)
 
 
+def _stored(documents: DataFrame, path: str) -> DataFrame | None:
+    """Address of each stored document, or null before the first write."""
+    reader = documents.sparkSession.read.schema("digest string, prefix string")
+    try:
+        return reader.parquet(path).select("prefix", "digest")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def write_events(outbox: DataFrame, path: str, batch_id: int) -> None:
     """Publish one batch. The batch id and message id form the path and key, so repeating a
     batch overwrites the same files: at least once, with a stable key to drop repeats by."""

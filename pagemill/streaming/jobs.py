@@ -10,7 +10,9 @@ from pagemill import rules
 from pagemill.operators.documents import documents_of
 from pagemill.operators.ledger import intake
 from pagemill.operators.outbox import apply_results, due_outbox
-from pagemill.operators.quality import candidate_rows, low_quality, page_decisions
+from pagemill.operators.quality import (
+    candidate_rows, decided_pages, low_quality, page_decisions, refused_pages,
+)
 from pagemill.sources.commands import decode_commands, split_commands
 from pagemill.sources.documents import write_events
 from pagemill.streaming.commits import commit_batch, read_batch, read_committed, write_batch
@@ -54,7 +56,8 @@ def distinct_messages(messages: DataFrame, at: str = "at") -> DataFrame:
 def extraction_stream(
     pages: DataFrame, directory: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Pages in; documents, candidate decisions and rejects out, one commit per batch.
+    """Pages in; documents, candidate decisions, rejects and one outcome per page out, one commit
+    per batch.
 
     Decisions are written first and read back, so the three outputs share one pass over the pages.
     """
@@ -67,6 +70,7 @@ def extraction_stream(
             "documents": documents_of(decisions),
             "candidates": candidate_rows(decisions),
             "rejects": low_quality(decisions),
+            "outcomes": decided_pages(decisions).unionByName(refused_pages(batch)),
         }
         write_batch(outputs, directory, batch_id)
         commit_batch(spark, directory, batch_id)

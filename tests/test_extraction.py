@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.operators import quality
 from pagemill.operators.candidates import container_stats, page_blocks
 from pagemill.operators.documents import (
     build_documents, canonical_documents, provenance, source_blobs, with_provenance,
@@ -10,6 +11,7 @@ from pagemill.operators.documents import (
 from pagemill.operators.quality import (
     candidate_rows, low_quality, page_decisions, select_winner,
 )
+from pagemill.sources.documents import write_documents
 
 LONG_A = "Keepers of the harbour note wind, swell and the ships that pass before dawn each day. "
 LONG_B = "Their ledgers agree with the tide tables and show how quickly a storm can arrive here. "
@@ -249,3 +251,33 @@ def test_container_sizes_equal_a_tree_walk(spark):
         )
     for i, tree in enumerate(trees):
         assert sorted(found.get(i, [])) == sorted(_expected(tree, [])), _render(tree)
+
+
+def test_every_page_has_one_outcome(spark):
+    long = "<p>" + "Words enough to fill a paragraph of some length. " * 20 + "</p>"
+    pages = spark.createDataFrame(
+        [
+            (1, f"<html><body><article>{long * 4}</article></body></html>"),
+            (2, "<p>short</p>"), (3, None), (4, ""), (5, "x" * 9000), (6, "<b></b>" * 60), (None, "<p>x</p>"),
+        ],
+        "page_id int, html string",
+    )
+    found = quality.page_outcomes(pages, max_input_bytes=8000, max_dom_nodes=50).collect()
+    assert sorted((r["page_id"] or 0, r["outcome"], r["error_class"]) for r in found) == [
+        (0, "missing_id", "parse"), (1, "document", None), (2, "low_quality", "quality"),
+        (3, "missing_body", "parse"), (4, "low_quality", "quality"),
+        (5, "resource_limit", "parse"), (6, "resource_limit", "parse"),
+    ]
+
+
+def test_equal_documents_are_stored_once_over_all_writes(spark, tmp_path):
+    long = "<p>" + "Words enough to fill a paragraph of some length. " * 20 + "</p>"
+    pages = spark.createDataFrame(
+        [(k, f"<html><body><article>{long * 4}<p>{k % 3}</p></article></body></html>") for k in range(6)],
+        "page_id int, html string",
+    )
+    built = build_documents(pages)
+    write_documents(built.where("page_id < 2"), str(tmp_path / "store"))
+    write_documents(built, str(tmp_path / "store"))
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    assert (stored.count(), stored.select("digest").distinct().count()) == (3, 3)

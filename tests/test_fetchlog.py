@@ -182,3 +182,28 @@ def test_evidence_keeps_only_allowed_headers(spark):
         ).alias("headers")
     )
     assert fetchlog.project_safe_evidence(frame).first().headers == {"ETag": "x", "cache-control": "z"}
+
+
+def test_redirect_hops_are_no_retries(spark):
+    log = spark.createDataFrame(
+        [(1, 503, 4, 3), (2, 503, 4, 0), (3, 503, 3, None)],
+        "fetch_id int, http_status int, attempts int, redirects int",
+    ).selectExpr("*", "'' as content_encoding", "1L as wire_bytes", "1L as decoded_bytes")
+    found = {r["fetch_id"]: r["outcome"] for r in fetchlog.fetch_outcome(log).collect()}
+    assert found == {1: "retry", 2: "failed", 3: "failed"}
+
+
+def test_delays_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            rows = spark.sql(
+                "select 1L as attempts, 0 as retry_index, retry_after, timestamp_seconds(784111717) as now "
+                "from values ('Sun, 06 Nov 1994 08:49:37 GMT'), ('Sunday, 06-Nov-94 08:49:37 GMT'), "
+                "('Sun Nov  6 08:49:37 1994'), ('00000000000000000060') as t(retry_after)"
+            )
+            delays = [r["delay_ms"] for r in fetchlog.retry_delay(rows).collect()]
+            assert delays == [60_000] * 4, name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -228,3 +228,17 @@ def test_derived_texts(spark):
     row = derived.derived_views(frame, 7).first()
     assert row.plain_text == "Top\n\nabc\n\ndefg" and row.markdown == "## Top\n\nabc\n\ndefg"
     assert row.context == "Top\nabc"
+
+
+def test_event_times_are_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    micros = [0, -1, 1_700_000_000_123_456, 1_678_602_600_000_000, 1_699_163_999_999_999, None]
+    expected = [None if m is None else (datetime(1970, 1, 1) + timedelta(microseconds=m)).strftime("%Y-%m-%dT%H:%M:%S.%fZ") for m in micros]
+    frame = spark.createDataFrame([(k, m) for k, m in enumerate(micros)], "k int, m long")
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            shown = frame.select("k", ledger.utc_text(F.timestamp_micros("m")).alias("t")).orderBy("k")
+            assert [r["t"] for r in shown.collect()] == expected, name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
