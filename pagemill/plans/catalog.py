@@ -417,9 +417,7 @@ def _fact_tables(spark, sf) -> dict[str, DataFrame]:
             F.col("o_custkey").alias("source_id"),
         ),
         "inbox": table(spark, sf, "events").select(F.col("event_id").alias("command_id")),
-        "sources": table(spark, sf, "customer").where(F.col("c_acctbal") > 0).select(
-            F.col("c_custkey").alias("source_id")
-        ),
+        "sources": table(spark, sf, "customer").select((F.col("c_custkey") + 5).alias("source_id")),
         "fetches": lines.select((F.col("l_orderkey") + F.col("l_linenumber")).alias("run_id")),
         "outbox": orders.select((F.col("o_orderkey") * 2).alias("causation_command_id")),
     }
@@ -654,9 +652,7 @@ def commands_without_runs(spark, sf):
 
 def runs_without_end(spark, sf):
     runs = fixture(spark, sf, "runs").withColumn("command_id", F.col("run_id"))
-    events = fixture(spark, sf, "completions").where(F.col("result") == "succeeded").select(
-        F.col("run_id").alias("causation_command_id")
-    )
+    events = fixture(spark, sf, "completions").select(F.col("run_id").alias("causation_command_id"))
     return ledger.runs_without_end(runs, events).select("run_id")
 
 

@@ -573,7 +573,7 @@ def oracle_sql() -> dict[str, str]:
           with c as (select 'runs_command' as reference, o_orderkey as key from orders
               where o_orderkey not in (select event_id from events)
             union all select 'runs_source', o_custkey from orders
-              where o_custkey not in (select c_custkey from customer where c_acctbal > 0)
+              where o_custkey not in (select c_custkey + 5 from customer)
             union all select 'fetches_run', l_orderkey + l_linenumber from lineitem
               where l_orderkey + l_linenumber not in (select o_orderkey from orders)
             union all select 'outbox_command', o_orderkey * 2 from orders
@@ -689,7 +689,7 @@ def oracle_sql() -> dict[str, str]:
           where command_id not in (select o_orderkey * 3 from orders)""",
         "runs_without_end": _with("runs", "completions") + """
           select run_id from runs_f where status in ('succeeded', 'failed') and run_id not in
-            (select run_id from completions_f where result = 'succeeded')""",
+            (select run_id from completions_f)""",
         "intake_runs": _with("capture_commands", _URLS, _DELIVERIES, _APPLIED) + """
           select sha256('run|' || command_id) as run_id, command_id, owner_id,
                  sha256('source|' || owner_id || '|' || normalized) as source_id, 'queued' as status,
