@@ -191,18 +191,20 @@ def concurrency_audit(
     """(fetch_id, host, in_flight_host, in_flight_all, overloaded) per logged fetch.
 
     A fetch is in flight from its start until its start plus duration. Fetches that start at the same
-    instant do not count each other. Both counts are running sums over instants (see
+    instant do not count each other. Fetches without a host share one; a fetch without a start or a
+    duration stays, counted by no other. Both counts are running sums over instants (see
     ``functions.carry``), so neither the busiest host nor the whole log meets in one task.
     """
     start = F.unix_micros(F.col("fetched_at").cast("timestamp"))
     spans = log.select(
-        "fetch_id", "host", start.alias("start"),
+        "fetch_id", "host", F.concat_ws("", F.lit("="), "host").alias("key"),
+        F.col("host").isNull().alias("none"), start.alias("start"),
         (start + F.round(F.col("duration_s") * 1_000_000).cast("bigint")).alias("stop"),
     )
     lasting = (F.col("stop") > F.col("start")).cast("int")
     nothing = F.lit(0)
     edges = spans.select(
-        "host",
+        "key", "none",
         F.inline(
             F.array(
                 F.struct(F.col("start").alias("at"), lasting.alias("opened"), nothing.alias("closed")),
@@ -213,15 +215,15 @@ def concurrency_audit(
     measures = {"opened": F.col("opened"), "closed": F.col("closed")}
     # A fetch that ends at the instant another one starts has left.
     waiting = F.col("opened_before") - F.col("closed_before") - F.col("closed")
-    per_host = before_each_instant(edges, ["host"], "at", measures, SUM).select(
-        "host", F.col("at").alias("start"), waiting.alias("in_flight_host")
+    per_host = before_each_instant(edges, ["key", "none"], "at", measures, SUM).select(
+        "key", "none", F.col("at").alias("start"), waiting.alias("in_flight_host")
     )
     overall = before_each_instant(edges, [], "at", measures, SUM).select(
         F.col("at").alias("start"), waiting.alias("in_flight_all")
     )
     return (
-        spans.join(per_host, ["host", "start"])
-        .join(overall, "start")
+        spans.join(per_host, ["key", "none", "start"], "left")
+        .join(overall, "start", "left")
         .select(
             "fetch_id", "host", "in_flight_host", "in_flight_all",
             (

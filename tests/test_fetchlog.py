@@ -207,3 +207,14 @@ def test_delays_do_not_depend_on_the_session_zone(spark):
             assert delays == [60_000] * 4, name
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_audit_keeps_fetches_without_host_or_start(spark):
+    log = spark.sql(
+        "select * from values (1, cast(null as string), timestamp'2026-01-01 00:00:00', 10.0D), "
+        "(2, null, timestamp'2026-01-01 00:00:05', 1.0D), (3, '', timestamp'2026-01-01 00:00:06', 1.0D), "
+        "(4, 'a', null, 1.0D), (5, 'a', timestamp'2026-01-01 00:00:07', 1.0D) "
+        "as t(fetch_id, host, fetched_at, duration_s)"
+    )
+    found = {r["fetch_id"]: (r["in_flight_host"], r["in_flight_all"]) for r in fetchlog.concurrency_audit(log).collect()}
+    assert found == {1: (0, 0), 2: (1, 1), 3: (0, 1), 4: (None, None), 5: (0, 1)}
