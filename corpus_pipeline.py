@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near copies."""
-    return simhash.one_of_each(docs)
+    """The document of smallest id of each class of near copies: five-word similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, similar=simhash.SIMILAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

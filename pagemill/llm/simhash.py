@@ -7,6 +7,14 @@ are read from aggregates only: two members are their minimum and maximum; member
 are linked through the points one flip away, of which each has at most 65 fingerprints around it.
 That needs a radius of two. No pairs of a bucket are listed.
 
+``classes(..., similar=0.8)`` reaches further than the radius: a bound on similarity of 0.8 allows about
+ten differing bits, for which one fingerprint would need thousands of tables. So each class of equal
+fingerprints also has ``WIDE`` independent fingerprints of its single words, which near copies change
+far less; those within the radius in any of them are candidates, and the exact Jaccard similarity of
+five-word shingles decides. Buckets of up to ``SMALL`` fingerprints compare all; fuller ones are held
+against one leader after another, drawn by hash, until no leader joins what was apart; then members
+outside a bucket's largest class meet all others of the bucket.
+
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows
 share a class; a null id does not lend its id to a class that has others; an empty table gives an
 empty table; other columns are carried by ``one_of_each``.
@@ -14,6 +22,7 @@ empty table; other columns are carried by ``one_of_each``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +38,12 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+WIDE = 8
+SMALL = 16
+CLOSE = 20
+GRAM = 5
+SALT = 16
+SIMILAR = 0.8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -48,21 +63,47 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Id, fingerprint as a signed number, and a hash that tells rows of one id apart."""
+def word_fingerprints(text: bytes) -> list[int]:
+    """``WIDE`` independent fingerprints of single words, repeats included."""
+    counts = Counter(text.lower().split())
+    if not counts:
+        return [0] * WIDE
+    words = np.fromiter((xxh64_intdigest(w, SEED) for w in counts), "<u8", len(counts))
+    times = np.fromiter(counts.values(), np.int64, len(counts))
+    total, found = int(times.sum()), []
+    for k in range(WIDE):
+        mixed = (words ^ (words >> np.uint64(29))) * np.uint64(2 * xxh64_intdigest(str(k), SEED) % (1 << 64) + 1)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+        set_bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(mixed), 1 << 16):
+            part = np.unpackbits(mixed[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_bits += times[at : at + (1 << 16)] @ part
+        found.append(int(np.packbits(2 * set_bits > total, bitorder="little").view("<i8")[0]))
+    return found
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """Id, fingerprint as a signed number, and a hash that tells rows of one id apart; with ``wide``
+    also the word fingerprints."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in chunks(batches, "rest", "text"):
             codes = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             rest = pa.array(keys, pa.struct([("id", kind), ("tie", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([rest.field(0), pa.array(codes), rest.field(1)], ["id", "fp", "tie"])
+            columns, names = [rest.field(0), pa.array(codes), rest.field(1)], ["id", "fp", "tie"]
+            if wide:
+                columns.append(pa.array([word_fingerprints(t) for t in texts], pa.list_(pa.int64())))
+                names.append("wide")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     frame = boxed(docs, id=F.col(key), text=text_of()).withColumn("tie", F.xxhash64("id", "text"))
     kind = to_arrow_type(frame.schema["id"].dataType)
     thin = frame.select(F.struct("id", "tie").alias("rest"), "text")
-    return thin.mapInArrow(each, f"id {frame.schema['id'].dataType.simpleString()}, fp long, tie long")
+    schema = f"id {frame.schema['id'].dataType.simpleString()}, fp long, tie long"
+    return thin.mapInArrow(each, f"{schema}, wide array<long>" if wide else schema)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -116,13 +157,100 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return frame.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def _grams(docs: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """Distinct shingle hashes of one text for each chosen fingerprint (fp, tie)."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, texts in chunks(batches, "fp", "text"):
+            sets = []
+            for text in texts:
+                words = text.lower().split()
+                runs = [words[i : i + GRAM] for i in range(max(1, len(words) - GRAM + 1))]
+                sets.append(list({xxh64_intdigest(b" ".join(r), SEED) - (1 << 63) for r in runs}))
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "grams"])
+
+    texts = docs.select(F.xxhash64(F.col(key), text_of()).alias("tie"), text_of().alias("text"))
+    return texts.join(chosen, "tie").dropDuplicates(["fp"]).select("fp", "text").mapInArrow(each, "fp long, grams array<long>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, similar: float, folder: str) -> DataFrame:
+    """The pairs (src, dst) of fingerprints whose texts are as similar as asked."""
+    pairs = written(pairs.distinct(), f"{folder}/pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
+    grams = written(_grams(docs, key, nodes.select("fp", "tie").join(ends, "fp", "left_semi")), f"{folder}/grams")
+    left, right = grams.toDF("src", "a"), grams.toDF("dst", "b")
+    both = F.size(F.array_intersect("a", "b"))
+    held = pairs.join(left, "src").join(right, "dst").filter(both >= similar * (F.size("a") + F.size("b") - both))
+    return written(held.select("src", "dst"), f"{folder}/held")
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Whether whole-text fingerprints leave room for the similarity; unrelated texts differ in 32 bits."""
+    return F.bit_count(a.bitwiseXOR(b)) <= CLOSE
+
+
+def _rooted(full: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Members of buckets with the class that the links so far give them."""
+    roots = components(found, folder)
+    root = full.join(roots, full["fp"] == roots["node"], "left").select("slot", "fp", F.coalesce("root", "fp").alias("root"))
+    return written(root, f"{folder}/rooted")
+
+
+def _apart(rooted: DataFrame) -> DataFrame:
+    """Close pairs (src, dst) of one bucket in different classes: members outside the bucket's largest
+    class, in parts, against all members. The distance is tested inside the join."""
+    counts = rooted.groupBy("slot", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("main"))
+    salt = F.array(*map(F.lit, range(SALT)))
+    outside = rooted.join(main, "slot").filter(F.col("root") != F.col("main.root"))
+    outside = outside.select("slot", F.col("fp").alias("src"), F.col("root").alias("own"), F.explode(salt).alias("part"))
+    every = rooted.select("slot", F.col("fp").alias("dst"), "root", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int").alias("part"))
+    pairs = outside.join(every, ["slot", "part"]).filter((F.col("own") != F.col("root")) & _close(F.col("src"), F.col("dst")))
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, key: str, similar: float, edges: DataFrame, folder: str) -> DataFrame:
+    """Edges (src, dst) between fingerprints of similar texts, found by word fingerprints within the
+    radius; ``nodes`` has fp, tie and wide, one row per fingerprint; ``edges`` are known already."""
+    tables = F.array(
+        *(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"), F.lit(_signed(m)).alias("mask")) for k in range(WIDE) for v, m in enumerate(masks()))
+    )
+    slots = F.transform(tables, lambda t: F.xxhash64(t["k"], t["v"], F.get("wide", t["k"]).bitwiseAND(t["mask"])))
+    keyed = nodes.select("fp", F.explode(slots).alias("slot"))
+    buckets = keyed.groupBy("slot").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
+    buckets = written(buckets.filter((F.col("n") > 2) | ((F.col("n") == 2) & _close(F.col("src"), F.col("dst")))), f"{folder}/buckets")
+    crowd = written(keyed.join(buckets.filter("n > 2").select("slot", "n"), "slot"), f"{folder}/crowd")
+    lists = crowd.filter(F.col("n") <= SMALL).groupBy("slot").agg(F.sort_array(F.collect_list("fp")).alias("near"))
+    each = lists.select("near", F.posexplode("near").alias("at", "src"))
+    each = each.select("src", F.explode(F.slice("near", F.col("at") + 2, SMALL)).alias("dst")).filter(_close(F.col("src"), F.col("dst")))
+    twos = buckets.filter("n = 2").select("src", "dst")
+    found = edges.select("src", "dst").union(_verified(twos.union(each), nodes, docs, key, similar, f"{folder}/small"))
+    full, turn = crowd.filter(F.col("n") > SMALL), 0
+    while not full.isEmpty():
+        at = f"{folder}/turn{turn}"
+        root = _rooted(full, found, at)
+        heads = root.groupBy("slot").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "root")).alias("head"))
+        pairs = root.join(heads, "slot").filter((F.col("root") != F.col("head.root")) & _close(F.col("fp"), F.col("head.fp")))
+        pairs = pairs.select(F.least("fp", "head.fp").alias("src"), F.greatest("fp", "head.fp").alias("dst"))
+        held = _verified(pairs, nodes, docs, key, similar, at)
+        found, turn = found.union(held), turn + 1
+        if held.isEmpty():
+            return found.union(_verified(_apart(_rooted(full, found, f"{folder}/rest")), nodes, docs, key, similar, f"{folder}/rest"))
+    return found
+
+
+def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """One row per input row: id, tie, fp, and its class's smallest id and smallest (id, tie)."""
     folder = work_folder(docs.sparkSession)
-    rows = written(fingerprints(docs, key, shingle), f"{folder}/fingerprints")
+    rows = written(fingerprints(docs, key, shingle, similar is not None), f"{folder}/fingerprints")
     lowest = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tie")))
     codes = rows.groupBy("fp").agg(lowest.alias("low"), F.min("tie").alias("other"))
-    roots = components(links(codes.select("fp")), folder)
+    edges = links(codes.select("fp"))
+    if similar is not None:
+        edges = written(edges, f"{folder}/links")
+        nodes = written(rows.groupBy("fp").agg(F.min(F.struct("tie", "wide")).alias("one")).select("fp", "one.*"), f"{folder}/nodes")
+        edges = similar_links(nodes, docs, key, similar, edges, folder)
+    roots = components(edges, folder)
     named = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "other")
     heads = named.groupBy("root").agg(F.min("low").alias("low"), F.min("other").alias("other"))
     named = written(named.select("fp", "root").join(heads, "root"), f"{folder}/classes")
@@ -131,9 +259,9 @@ def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> Dat
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", similar: float | None = None) -> DataFrame:
     """The rows of smallest id of each class, one row each."""
     own = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("first"))
-    stay = classes(docs, key).filter(own).select("tie").distinct()
+    stay = classes(docs, key, similar=similar).filter(own).select("tie").distinct()
     frame = boxed(docs, tie=F.xxhash64(F.col(key), text_of()))
     return unboxed(frame.join(stay, "tie", "left_semi").dropDuplicates(["tie"]), docs.columns)
