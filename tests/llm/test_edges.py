@@ -28,7 +28,6 @@ JOBS = {
     "leaks": (_leaks, 4),
     "tokens": (lambda d: trietokens.token_counts(d, public_tokenizers.path(queries.PIECES)), 4),
     "simhash": (simhash.one_of_each, 2),
-    "similar": (lambda d: simhash.one_of_each(d, similar=simhash.SIMILAR), 2),
     "quality": (quality.assess, 4),
 }
 

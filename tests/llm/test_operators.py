@@ -329,54 +329,6 @@ def test_classes_equal_brute_force(spark):
     assert stay == sorted({find(k) for k in range(len(texts))})
 
 
-def _shingles(text):
-    words = text.split()
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
-
-
-def test_similar_texts_beyond_the_radius_share_a_class(spark):
-    """Copies with a few changed words; a crowd of them in one bucket; the same words in other orders,
-    which only the exact check tells apart."""
-    rng = np.random.default_rng(5)
-    words = [f"w{k}" for k in range(400)]
-    texts = []
-    for n in [1] * 20 + [3] * 10 + [70]:
-        base = list(rng.choice(words, 300))
-        texts.append(" ".join(base))
-        for _ in range(n):
-            copy = list(base)
-            for at in rng.integers(0, 300, 4):
-                copy[at] = str(rng.choice(words))
-            texts.append(" ".join(copy))
-    base = list(rng.choice(words, 120))
-    texts += [" ".join(rng.permutation(base)) for _ in range(30)]
-    sets = [_shingles(t) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    pairs = []
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-            pairs.append((a, b))
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-    rows = {r["id"]: r["component_id"] for r in simhash.classes(_docs(spark, *texts), similar=0.8).collect()}
-    assert sum(rows[a] == rows[b] for a, b in pairs) >= 0.95 * len(pairs)
-    assert all(find(a) == find(b) for a, b in rows.items())
-    codes = [simhash.fingerprint(t.encode()) for t in texts]
-    assert sum((codes[a] ^ codes[b]).bit_count() <= simhash.RADIUS for a, b in pairs) < 0.5 * len(pairs)
-
-
-def test_members_apart_from_the_largest_class_meet_all_others(spark):
-    rows = [("s", 0, 0), ("s", 1, 0), ("s", 3, 3), ("s", 7, 7), ("s", -1, -1), ("t", 5, 5)]
-    pairs = simhash._apart(spark.createDataFrame(rows, "slot string, fp long, root long")).distinct().collect()
-    assert sorted(map(tuple, pairs)) == [(0, 3), (0, 7), (1, 3), (1, 7), (3, 7)]
-
-
 def test_fingerprint_follows_its_definition():
     text = "The cat SAT\ton the mat É"
     words = ["the", "cat", "sat", "on", "the", "mat", "É"]
