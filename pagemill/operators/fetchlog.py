@@ -183,6 +183,22 @@ def attempts_per_fetch(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("fetch_id").agg(F.count("*").alias("attempts"))
 
 
+def _first_of_instant(spans: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Add ``name``: the lasting fetches of one group and instant that come before the row in digest order.
+
+    The first digits of the digest split an instant; counts of the splits give the offset of each, so a
+    moment in which a third of all fetches start is spread over 256 groups.
+    """
+    part = [*by, "split"]
+    own = Window.partitionBy(*part).orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spans.groupBy(*part).agg(F.sum("lasting").alias("n"))
+    offsets = counts.select(*part, F.sum("n").over(earlier).alias("_offset")).where(F.col("_offset") > 0)
+    ranked = spans.withColumn("_own", F.sum("lasting").over(own)).join(offsets, part, "left")
+    total = F.coalesce(F.col("_own"), F.lit(0)) + F.coalesce(F.col("_offset"), F.lit(0))
+    return ranked.withColumn(name, total).drop("_own", "_offset")
+
+
 def concurrency_audit(
     log: DataFrame,
     host_limit: int = rules.HOST_CONCURRENCY,
@@ -190,8 +206,9 @@ def concurrency_audit(
 ) -> DataFrame:
     """(fetch_id, host, in_flight_host, in_flight_all, overloaded) per logged fetch.
 
-    A fetch is in flight from its start until its start plus duration. Fetches that start at the same
-    instant do not count each other. Fetches without a host share one; a fetch without a start or a
+    A fetch is in flight from its start until its start plus duration. The gate admits one fetch at a
+    time, so of fetches that start at the same instant each counts those before it; a log does not tell
+    their order, and the order of the digests of their ids is taken. Fetches without a host share one; a fetch without a start or a
     duration stays, counted by no other. Both counts are running sums over instants (see
     ``functions.carry``), so neither the busiest host nor the whole log meets in one task.
     """
@@ -200,6 +217,7 @@ def concurrency_audit(
         "fetch_id", "host", F.concat_ws("", F.lit("="), "host").alias("key"),
         F.col("host").isNull().alias("none"), start.alias("start"),
         (start + F.round(F.col("duration_s") * 1_000_000).cast("bigint")).alias("stop"),
+        F.sha2(F.col("fetch_id").cast("string"), 256).alias("digest"),
     )
     lasting = (F.col("stop") > F.col("start")).cast("int")
     nothing = F.lit(0)
@@ -221,9 +239,16 @@ def concurrency_audit(
     overall = before_each_instant(edges, [], "at", measures, SUM).select(
         F.col("at").alias("start"), waiting.alias("in_flight_all")
     )
+    spans = spans.withColumns(
+        {"lasting": F.coalesce(lasting, F.lit(0)), "split": F.substring("digest", 1, 2)}
+    )
+    spans = _first_of_instant(spans, ["start"], "beside_all")
+    spans = _first_of_instant(spans, ["key", "none", "start"], "beside_host")
     return (
         spans.join(per_host, ["key", "none", "start"], "left")
         .join(overall, "start", "left")
+        .withColumn("in_flight_host", F.col("in_flight_host") + F.col("beside_host"))
+        .withColumn("in_flight_all", F.col("in_flight_all") + F.col("beside_all"))
         .select(
             "fetch_id", "host", "in_flight_host", "in_flight_all",
             (

@@ -577,7 +577,9 @@ def retry_schedule(spark, sf):
 
 
 def concurrency_audit(spark, sf):
-    log = fixture(spark, sf, "fetch_log").withColumn("duration_s", F.col("duration_s") * 2000)
+    log = fixture(spark, sf, "fetch_log").withColumns(
+        {"duration_s": F.col("duration_s") * 2000, "fetched_at": F.date_trunc("minute", "fetched_at")}
+    )
     return fetchlog.concurrency_audit(log, host_limit=2, global_limit=6)
 
 

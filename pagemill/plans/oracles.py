@@ -660,13 +660,17 @@ def oracle_sql() -> dict[str, str]:
             case when elapsed_ms - own > 30000 then 'not_sent' when elapsed_ms > 30000
                  then 'timeout_total' else 'sent' end as status from r""",
         "concurrency_audit": _with("fetch_log") + """
-          , s as (select fetch_id, host, epoch_us(fetched_at) as start,
-                    epoch_us(fetched_at) + cast(round(duration_s * 2000 * 1000000) as bigint) as stop
+          , s as (select fetch_id, host, epoch_us(date_trunc('minute', fetched_at)) as start,
+                    epoch_us(date_trunc('minute', fetched_at))
+                      + cast(round(duration_s * 2000 * 1000000) as bigint) as stop,
+                    sha256(cast(fetch_id as varchar)) as digest
                   from fetch_log_f),
           h as (select a.fetch_id, count(b.fetch_id) as n from s a left join s b
-                  on b.host = a.host and b.start < a.start and b.stop > a.start group by 1),
+                  on b.host = a.host and b.stop > a.start
+                  and (b.start < a.start or (b.start = a.start and b.digest < a.digest)) group by 1),
           g as (select a.fetch_id, count(b.fetch_id) as n from s a left join s b
-                  on b.start < a.start and b.stop > a.start group by 1)
+                  on b.stop > a.start
+                  and (b.start < a.start or (b.start = a.start and b.digest < a.digest)) group by 1)
           select s.fetch_id, s.host, h.n as in_flight_host, g.n as in_flight_all,
                  h.n >= 2 or g.n >= 6 as overloaded
           from s join h using (fetch_id) join g using (fetch_id)""",

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -95,9 +96,12 @@ def test_concurrency_equals_brute_force_with_a_hot_host(spark):
         rows.append((i, host, start, rng.choice((0.0, 0.5, 30.0, 4000.0))))
     frame = spark.createDataFrame(rows, "fetch_id int, host string, fetched_at timestamp, duration_s double")
     found = {r.fetch_id: r for r in fetchlog.concurrency_audit(frame, 8, 64).collect()}
+    digest = {i: hashlib.sha256(str(i).encode()).hexdigest() for i, *_ in rows}
     for i, host, start, _ in rows:
         open_now = [
-            r for r in rows if r[2] < start and r[2] + timedelta(seconds=r[3]) > start
+            r for r in rows
+            if (r[2] < start or (r[2] == start and digest[r[0]] < digest[i]))
+            and r[2] + timedelta(seconds=r[3]) > start
         ]
         same = sum(r[1] == host for r in open_now)
         assert (found[i].in_flight_host, found[i].in_flight_all) == (same, len(open_now))
@@ -209,6 +213,15 @@ def test_delays_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_fetches_of_one_instant_count_those_before_them(spark):
+    log = spark.range(3).selectExpr(
+        "id as fetch_id", "'h' as host", "timestamp'2026-01-01 00:00:00' as fetched_at", "1.0D as duration_s"
+    )
+    found = fetchlog.concurrency_audit(log, host_limit=1).collect()
+    assert sorted(r["in_flight_host"] for r in found) == [0, 1, 2]
+    assert sum(r["overloaded"] for r in found) == 2
+
+
 def test_audit_keeps_fetches_without_host_or_start(spark):
     log = spark.sql(
         "select * from values (1, cast(null as string), timestamp'2026-01-01 00:00:00', 10.0D), "
