@@ -271,15 +271,21 @@ def claim(
     )
 
 
+def mark_owner(facts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every fact with ``error``: ``owner_mismatch`` unless its run belongs to its owner.
+
+    One join of both inputs; ``run_id`` is the key of ``runs``.
+    """
+    owned = runs.select("run_id", "owner_id", F.lit(True).alias("_owned"))
+    mismatch = F.when(F.col("_owned").isNull(), F.lit("owner_mismatch"))
+    return facts.join(owned, ["run_id", "owner_id"], "left").select(*facts.columns, mismatch.alias("error"))
+
+
 def owner_scope(facts: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts whose run belongs to their owner, the others as ``owner_mismatch``)."""
-    owned = runs.select("run_id", "owner_id")
-    return (
-        facts.join(owned, ["run_id", "owner_id"], "left_semi"),
-        facts.join(owned, ["run_id", "owner_id"], "left_anti").withColumn(
-            "error", F.lit("owner_mismatch")
-        ),
-    )
+    """(facts whose run belongs to their owner, the others with ``error``), for two sinks; write
+    ``mark_owner`` once where both are needed."""
+    marked = mark_owner(facts, runs)
+    return marked.where(F.col("error").isNull()).drop("error"), marked.where(F.col("error").isNotNull())
 
 
 # --- Terminal state -------------------------------------------------------------------------

@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 from pagemill import rules
 
 
-def due_outbox(outbox: DataFrame, now: Column, limit: int = rules.OUTBOX_BATCH) -> DataFrame:
-    """Unpublished live rows whose time has come and whose lease is free, oldest first.
+def due_outbox(outbox: DataFrame, now: Column, limit: int | None = rules.OUTBOX_BATCH) -> DataFrame:
+    """Unpublished live rows whose time has come and whose lease is free.
 
-    The limit is the pass size, clamped to 1..1000; Spark keeps only that many rows per task.
+    With a limit, the oldest rows of one pass of 1..1000; Spark keeps only that many per task. With
+    none, all due rows in no order, for a sink that takes a whole table at once.
     """
-    bounded = max(1, min(limit, 1000))
-    return (
-        outbox.where(
-            F.col("published_at").isNull()
-            & F.col("dead_lettered_at").isNull()
-            & (F.col("next_attempt_at") <= now)
-            & (F.col("claimed_until").isNull() | (F.col("claimed_until") <= now))
-        )
-        .orderBy("next_attempt_at", "enqueued_at", "outbox_id")
-        .limit(bounded)
+    due = outbox.where(
+        F.col("published_at").isNull()
+        & F.col("dead_lettered_at").isNull()
+        & (F.col("next_attempt_at") <= now)
+        & (F.col("claimed_until").isNull() | (F.col("claimed_until") <= now))
     )
+    if limit is None:
+        return due
+    return due.orderBy("next_attempt_at", "enqueued_at", "outbox_id").limit(max(1, min(limit, 1000)))
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -37,41 +36,41 @@ def safe_error(error: Column) -> Column:
     return F.substring(F.translate(error, "\r\n", ""), 1, 512)
 
 
+def _after_failure(now: Column, error: Column) -> dict[str, Column]:
+    attempts = F.col("attempts")
+    return {
+        "next_attempt_at": now + F.make_dt_interval(secs=backoff_seconds(attempts)),
+        "dead_lettered_at": F.when(attempts + 1 >= rules.MAX_OUTBOX_ATTEMPTS, now),
+        "last_error": safe_error(error),
+        "claimed_until": F.lit(None).cast("timestamp"),
+        "claimed_by": F.lit(None).cast("string"),
+        "attempts": attempts + 1,
+    }
+
+
 def outbox_backoff(failed: DataFrame, now: Column) -> DataFrame:
     """Failed rows after their failure: one more attempt, later retry, or a dead letter."""
-    attempts = F.col("attempts")
-    return failed.withColumns(
-        {
-            "next_attempt_at": now + F.make_dt_interval(secs=backoff_seconds(attempts)),
-            "dead_lettered_at": F.when(attempts + 1 >= rules.MAX_OUTBOX_ATTEMPTS, now),
-            "last_error": safe_error(F.col("last_error")),
-            "claimed_until": F.lit(None).cast("timestamp"),
-            "claimed_by": F.lit(None).cast("string"),
-            "attempts": attempts + 1,
-        }
-    )
+    return failed.withColumns(_after_failure(now, F.col("last_error")))
 
 
 def apply_results(outbox: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Outbox after a pass: published rows are closed, failed ones backed off, others unchanged.
 
-    ``results`` has (outbox_id, published, error) for the rows of the pass, at most 1000.
+    ``results`` has (outbox_id, published, error) for the rows of the pass. One join; each column
+    then takes its value by the result.
     """
-    joined = outbox.join(results, "outbox_id", "left")
-    columns = outbox.columns
-    untouched = joined.where(F.col("published").isNull()).select(*columns)
-    published = joined.where(F.col("published")).withColumns(
-        {
-            "published_at": now,
-            "claimed_until": F.lit(None).cast("timestamp"),
-            "claimed_by": F.lit(None).cast("string"),
-            "last_error": F.lit(None).cast("string"),
-        }
-    ).select(*columns)
-    failed = outbox_backoff(
-        joined.where(~F.col("published")).withColumn("last_error", F.col("error")), now
-    ).select(*columns)
-    return untouched.unionByName(published).unionByName(failed)
+    told = results.select("outbox_id", F.struct("published", "error").alias("_told"))
+    published = F.col("_told.published")
+    nothing = F.lit(None)
+    closed = {"published_at": now, "claimed_until": nothing, "claimed_by": nothing, "last_error": nothing}
+    failed = _after_failure(now, F.col("_told.error"))
+    after = {
+        name: F.when(published, closed.get(name, F.col(name)))
+        .when(~published, failed.get(name, F.col(name)))
+        .otherwise(F.col(name))
+        for name in {**closed, **failed}
+    }
+    return outbox.join(told, "outbox_id", "left").withColumns(after).select(*outbox.columns)
 
 
 def outbox_report(results: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def upsert_sources(spark, sf):
 
 
 def publish_events(spark, sf):
-    due = outbox.due_outbox(_outbox(spark, sf), _now(), 1000)
+    due = outbox.due_outbox(_outbox(spark, sf), _now(), None)
     return due.dropDuplicates(["message_id"]).select("message_id", "subject")
 
 
@@ -377,8 +377,7 @@ def owner_scope(spark, sf):
         F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 50).alias("owner_id"),
         F.col("l_linenumber").alias("line"),
     )
-    good, bad = ledger.owner_scope(lines, fixture(spark, sf, "runs"))
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    return ledger.mark_owner(lines, fixture(spark, sf, "runs"))
 
 
 def verify_blobs(spark, sf):

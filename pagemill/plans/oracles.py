@@ -384,7 +384,7 @@ def oracle_sql() -> dict[str, str]:
                  'generic_web' as classification, epoch_us(min(received_at)) as created_us
           from (select *, row_number() over (order by received_at, delivery_id) as rank from deliveries)
           group by owner_id, normalized""",
-        "publish_events": _with("outbox", _OUTBOX, _DUE_OUTBOX) + "select message_id, subject from due",
+        "publish_events": _with("outbox", _OUTBOX, _DUE_OUTBOX.replace(" limit 1000", "")) + "select message_id, subject from due",
         # URLs and policy
         "canonicalize_urls": _with(_URLS)
         + "select page_id, original, normalized, host, path, query, fingerprint from urls_f",

@@ -169,7 +169,7 @@ def outbox_pass(
     pass_id: int,
     now: Column,
     results_of: Callable[[DataFrame], DataFrame] = publish_all,
-    limit: int = rules.OUTBOX_BATCH,
+    limit: int | None = rules.OUTBOX_BATCH,
 ) -> DataFrame:
     """Publish one pass of due rows and return the outbox after it.
 

@@ -186,6 +186,40 @@ def test_backoff_dead_letter_and_report(spark):
     assert tuple(outbox.outbox_report(results).first()) == (3, 1, 2, 1)
 
 
+def test_one_pass_closes_backs_off_and_leaves(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 11), (3, 4), (4, 2)], "outbox_id int, attempts int").withColumns(
+        {c: F.lit(None).cast("timestamp") for c in ("published_at", "dead_lettered_at")}
+    ).withColumns(
+        {"next_attempt_at": now(), "enqueued_at": now(), "claimed_until": now(), "claimed_by": F.lit("w"), "last_error": F.lit("old")}
+    )
+    results = spark.createDataFrame([(1, True, None), (2, False, "a\nb"), (4, None, "x")], "outbox_id int, published boolean, error string")
+    after = outbox.apply_results(rows, results, now())
+    found = {r.outbox_id: r for r in after.collect()}
+    assert after.columns == rows.columns
+    assert found[1].published_at and found[1].claimed_by is None and found[1].last_error is None and found[1].attempts == 0
+    assert found[2].dead_lettered_at and found[2].last_error == "ab" and found[2].attempts == 12 and not found[2].published_at
+    assert [(found[k].claimed_by, found[k].last_error, found[k].published_at) for k in (3, 4)] == [("w", "old", None)] * 2
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "Union" not in plan
+
+
+def test_due_rows_without_a_limit_are_all(spark):
+    rows = spark.range(1500).selectExpr("id as outbox_id").withColumns(
+        {c: F.lit(None).cast("timestamp") for c in ("published_at", "dead_lettered_at", "claimed_until")}
+    ).withColumns({"next_attempt_at": now(), "enqueued_at": now()})
+    assert outbox.due_outbox(rows, now(), None).count() == 1500
+    assert outbox.due_outbox(rows, now(), 5000).count() == 1000
+
+
+def test_owner_marks_keep_every_fact(spark):
+    facts = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 1, "c"), (9, 9, "d")], "run_id int, owner_id int, fact string")
+    runs = spark.createDataFrame([(1, 1), (2, 2)], "run_id int, owner_id int")
+    found = {r.fact: r.error for r in ledger.mark_owner(facts, runs).collect()}
+    assert found == {"a": None, "b": "owner_mismatch", "c": "owner_mismatch", "d": "owner_mismatch"}
+    good, bad = ledger.owner_scope(facts, runs)
+    assert [r.fact for r in good.collect()] == ["a"] and bad.count() == 3
+
+
 def test_every_rule_finds_its_violation(spark):
     bad = spark.createDataFrame(
         [("f1", "r", 99, -1, 0, 0, "odd"), ("f2", "r", 200, 1, 1, 1, "fresh")],
