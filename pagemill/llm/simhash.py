@@ -7,6 +7,14 @@ are read from aggregates only: two members are their minimum and maximum; member
 are linked through the points one flip away, of which each has at most 65 fingerprints around it.
 That needs a radius of two. No pairs of a bucket are listed.
 
+``classes(..., similar=0.8)`` reaches further than the radius: it also joins texts whose sets of
+five-word shingles have that Jaccard similarity. Each distinct text has ``BANDS`` MinHash bands of
+``DEPTH`` values; a pair of similarity 0.8 meets in one of them but for 3 in a million. Buckets of up to
+``SMALL`` texts compare all; fuller ones are held against ``TURNS`` leaders drawn by hash, then members
+outside a bucket's largest class meet all others of the bucket. Low bytes of the MinHash values tell
+which pairs can be as similar as asked (but for about 1 in 100 000), and the shingles themselves decide.
+Shingles are made for the texts of such pairs only, and no text is shuffled.
+
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows
 share a class; a null id does not lend its id to a class that has others; an empty table gives an
 empty table; other columns are carried by ``one_of_each``.
@@ -29,6 +37,16 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+GRAM = 5
+BANDS, DEPTH = 32, 5
+SMALL = 16
+TURNS = 2
+SALT = 16
+SIMILAR = 0.8
+#: Equal MinHash values of 160 that a pair of similarity 0.8 has at least: 4.4 deviations below its mean.
+ALIKE = 106
+FILTER_BITS = 1 << 26
+MIX = np.array([xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * DEPTH)], np.uint64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -48,21 +66,61 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Id, fingerprint as a signed number, and a hash that tells rows of one id apart."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Distinct hashes of the runs of ``GRAM`` words; a shorter text is one run."""
+    words = text.lower().split()
+    known = {w: xxh64_intdigest(w, SEED) for w in set(words)}
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(codes) - GRAM + 1)
+    total = np.full(n, len(codes[:GRAM]), np.uint64)
+    for k in range(min(GRAM, len(codes))):
+        total = _mixed(total * MIX[k] + codes[k : k + n])
+    return np.unique(total)
+
+
+def sketch(text: bytes) -> tuple[int, list[int], list[int]]:
+    """Hash of the words, the MinHash bands, and the low bytes of all MinHash values."""
+    hashes, low = grams(text), np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048]
+        low = np.minimum(low, ((part[None, :] ^ (MIX[:, None] >> np.uint64(7))) * MIX[:, None]).min(axis=1))
+    low = _mixed(low)
+    band = np.arange(BANDS, dtype=np.uint64)
+    for values in low.reshape(BANDS, DEPTH).T:
+        band = _mixed(band * MIX[0] + values)
+    lanes = low.astype(np.uint8).view("<i8")
+    return _signed(xxh64_intdigest(b" ".join(text.lower().split()), SEED)), band.view(np.int64).tolist(), lanes.tolist()
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """Id, fingerprint as a signed number, and a hash that tells rows of one id apart; with ``wide``
+    also the sketch (code, bands, lanes)."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in chunks(batches, "rest", "text"):
             codes = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             rest = pa.array(keys, pa.struct([("id", kind), ("tie", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([rest.field(0), pa.array(codes), rest.field(1)], ["id", "fp", "tie"])
+            columns, names = [rest.field(0), pa.array(codes), rest.field(1)], ["id", "fp", "tie"]
+            if wide:
+                made = zip(*map(sketch, texts), strict=True)
+                longs = pa.list_(pa.int64())
+                columns += [pa.array(c, k) for c, k in zip(made, (pa.int64(), longs, longs), strict=True)]
+                names += ["code", "bands", "lanes"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     frame = boxed(docs, id=F.col(key), text=text_of()).withColumn("tie", F.xxhash64("id", "text"))
     kind = to_arrow_type(frame.schema["id"].dataType)
     thin = frame.select(F.struct("id", "tie").alias("rest"), "text")
-    return thin.mapInArrow(each, f"id {frame.schema['id'].dataType.simpleString()}, fp long, tie long")
+    schema = f"id {frame.schema['id'].dataType.simpleString()}, fp long, tie long"
+    return thin.mapInArrow(each, f"{schema}, code long, bands array<long>, lanes array<long>" if wide else schema)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -116,13 +174,112 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return frame.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+def _alike(a: str, b: str) -> Column:
+    """Whether enough MinHash values agree in their low bytes."""
+    differ = F.lit(0)
+    for k in range(BANDS * DEPTH // 8):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return differ <= BANDS * DEPTH - ALIKE
+
+
+def _filter(ties: DataFrame) -> np.ndarray:
+    """Bits of a filter of fixed size that holds the given numbers."""
+    at = F.pmod("tie", F.lit(FILTER_BITS))
+    words = ties.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(tie, {FILTER_BITS}) & 63 as int))")).alias("bits"))
+    out, found = np.zeros(FILTER_BITS >> 6, np.int64), words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _grams(docs: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """Shingle hashes of one text for each chosen (code, tie). Texts are read, not shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select("tie")))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ties, texts in chunks(batches, "tie", "text"):
+            at = np.array(ties, np.int64) % FILTER_BITS
+            rows = np.flatnonzero(held.value[at >> 6] >> (at & 63) & 1)
+            sets = [grams(texts[k]).view(np.int64) for k in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([ties[k] for k in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["tie", "grams"])
+
+    texts = docs.select(F.xxhash64(F.col(key), text_of()).alias("tie"), text_of().alias("text"))
+    return texts.mapInArrow(each, "tie long, grams array<long>").join(chosen, "tie").dropDuplicates(["code"]).select("code", "grams")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, similar: float, folder: str) -> DataFrame:
+    """Fingerprints (src, dst) of the pairs (src, dst) of codes whose texts are as similar as asked."""
+    pairs = written(pairs.distinct(), f"{folder}/pairs")
+    left, right = nodes.select("code", "fp", "lanes").toDF("src", "f", "l"), nodes.select("code", "fp", "lanes").toDF("dst", "g", "r")
+    pairs = pairs.join(left, "src").join(right, "dst").filter((F.col("f") != F.col("g")) & _alike("l", "r"))
+    pairs = written(pairs.select("src", "dst", "f", "g"), f"{folder}/likely")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("code")).distinct()
+    sets = written(_grams(docs, key, nodes.select("code", "tie").join(ends, "code", "left_semi")), f"{folder}/grams")
+    both = F.size(F.array_intersect("a", "b"))
+    held = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+    held = held.filter(both >= similar * (F.size("a") + F.size("b") - both))
+    return written(held.select(F.col("f").alias("src"), F.col("g").alias("dst")).distinct(), f"{folder}/held")
+
+
+def _rooted(full: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    """Members of buckets with the class that the links so far give them."""
+    roots = components(found, folder)
+    root = full.join(roots, full["fp"] == roots["node"], "left").select("slot", "code", F.coalesce("root", "fp").alias("root"))
+    return written(root, f"{folder}/rooted")
+
+
+def _apart(rooted: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of one bucket in different classes that may be similar: members outside the
+    bucket's largest class, in parts, against all members. The test is inside the join."""
+    counts = rooted.groupBy("slot", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("m")).filter("m > 1")
+    salt = F.array(*map(F.lit, range(SALT)))
+    mixed = rooted.join(main, "slot").join(lanes, "code")
+    outside = mixed.filter(F.col("root") != F.col("main.root"))
+    outside = outside.select("slot", F.col("code").alias("src"), F.col("root").alias("own"), F.col("lanes").alias("l"), F.explode(salt).alias("part"))
+    every = mixed.select("slot", F.col("code").alias("dst"), "root", F.col("lanes").alias("r"), F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int").alias("part"))
+    pairs = outside.join(every, ["slot", "part"]).filter((F.col("own") != F.col("root")) & _alike("l", "r"))
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, key: str, similar: float, edges: DataFrame, folder: str) -> DataFrame:
+    """Edges (src, dst) between fingerprints, those of similar texts added to ``edges``; ``nodes`` has
+    code, tie, fp, bands and lanes, one row per distinct text."""
+    keyed = nodes.select("code", F.explode("bands").alias("slot"))
+    buckets = keyed.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+    crowd = written(keyed.join(buckets, "slot"), f"{folder}/crowd")
+    lists = crowd.filter(F.col("n") <= SMALL).groupBy("slot").agg(F.sort_array(F.collect_list("code")).alias("near"))
+    each = lists.select("near").distinct().select("near", F.posexplode("near").alias("at", "src"))
+    each = each.select("src", F.explode(F.slice("near", F.col("at") + 2, SMALL)).alias("dst"))
+    found = edges.select("src", "dst").union(_verified(each, nodes, docs, key, similar, f"{folder}/small"))
+    full = crowd.filter(F.col("n") > SMALL).join(nodes.select("code", "fp"), "code")
+    if full.isEmpty():
+        return found
+    full = written(full.select("slot", "code", "fp"), f"{folder}/full")
+    for turn in range(TURNS):
+        root = _rooted(full, found, f"{folder}/turn{turn}")
+        heads = root.groupBy("slot").agg(F.min(F.struct(F.xxhash64("code", F.lit(turn)), "code", "root")).alias("head"))
+        pairs = root.join(heads, "slot").filter(F.col("root") != F.col("head.root"))
+        pairs = pairs.select(F.least("code", "head.code").alias("src"), F.greatest("code", "head.code").alias("dst"))
+        found = found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/turn{turn}"))
+    pairs = _apart(_rooted(full, found, f"{folder}/rest"), nodes.select("code", "lanes"))
+    return found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/rest"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
     """One row per input row: id, tie, fp, and its class's smallest id and smallest (id, tie)."""
     folder = work_folder(docs.sparkSession)
-    rows = written(fingerprints(docs, key, shingle), f"{folder}/fingerprints")
+    rows = written(fingerprints(docs, key, shingle, similar is not None), f"{folder}/fingerprints")
     lowest = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tie")))
     codes = rows.groupBy("fp").agg(lowest.alias("low"), F.min("tie").alias("other"))
-    roots = components(links(codes.select("fp")), folder)
+    edges = links(codes.select("fp"))
+    if similar is not None:
+        edges = written(edges, f"{folder}/links")
+        nodes = rows.groupBy("code").agg(F.min(F.struct("tie", "fp", "bands", "lanes")).alias("one")).select("code", "one.*")
+        edges = similar_links(written(nodes, f"{folder}/nodes"), docs, key, similar, edges, folder)
+    roots = components(edges, folder)
     named = codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "other")
     heads = named.groupBy("root").agg(F.min("low").alias("low"), F.min("other").alias("other"))
     named = written(named.select("fp", "root").join(heads, "root"), f"{folder}/classes")
@@ -131,9 +288,9 @@ def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> Dat
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", similar: float | None = None) -> DataFrame:
     """The rows of smallest id of each class, one row each."""
     own = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("first"))
-    stay = classes(docs, key).filter(own).select("tie").distinct()
+    stay = classes(docs, key, similar=similar).filter(own).select("tie").distinct()
     frame = boxed(docs, tie=F.xxhash64(F.col(key), text_of()))
     return unboxed(frame.join(stay, "tie", "left_semi").dropDuplicates(["tie"]), docs.columns)
