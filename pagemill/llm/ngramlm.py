@@ -6,8 +6,8 @@ the successors of the middle word (context-relative). A level is a sorted list o
 pointers to their ranges, and one monotone sequence of children. Probabilities and the mass left for
 shorter contexts are stored as 16-bit logarithms.
 
-Smoothing is absolute discounting with interpolation. Pairs and triples seen once are not stored;
-what is discounted or not stored stays with the shorter context, so every level is estimated from
+Smoothing is absolute discounting with interpolation. ``score(..., least=1)``, as the query calls it,
+stores all pairs and triples; by default those seen once are left out. What is discounted or not stored stays with the shorter context, so every level is estimated from
 what the longer one left over and the marginals of the counts are kept.
 
 The corpus is tokenised once for word counts and once into word numbers. Pair and triple counts are
@@ -254,8 +254,8 @@ class Codes:
         return ef.load(self.folder, self.files[number])
 
 
-def counted(sequences: DataFrame, keys_of: Callable[[np.ndarray], Iterator[np.ndarray]], buckets: int, context_bits: int, shards: int) -> DataFrame:
-    """Keys seen MIN_COUNT times or more, as packed rows dealt by their context.
+def counted(sequences: DataFrame, keys_of: Callable[[np.ndarray], Iterator[np.ndarray]], buckets: int, context_bits: int, shards: int, least: int) -> DataFrame:
+    """Keys seen ``least`` times or more, as packed rows dealt by their context.
 
     ``keys_of`` turns the joined word numbers of a chunk into 64-bit keys whose high bits are the
     context."""
@@ -268,7 +268,7 @@ def counted(sequences: DataFrame, keys_of: Callable[[np.ndarray], Iterator[np.nd
 
     def prune(table: pa.Table) -> pa.Table:
         keys, counts = _gathered(table)
-        keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         return pa.Table.from_batches([_rows(dealt(keys, counts, spread(keys >> np.uint64(context_bits), shards)))])
 
     return sequences.mapInArrow(combine, PARTS).groupBy("part").applyInArrow(prune, PARTS)
@@ -428,7 +428,7 @@ class Model:
         return np.log10(gain + left * double)
 
 
-def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts: int) -> Model:
+def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts: int, least: int) -> Model:
     """All levels from rows of word numbers (ids)."""
     end = int(words.lookup(np.array([xxh64_intdigest(END, 42)], np.uint64))[0][0])
     low = np.uint64(32)
@@ -437,8 +437,10 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
         ids = np.concatenate([[end], ids]).astype(np.uint64)
         return (ids[:-1] << low) | ids[1:]
 
-    found = written(counted(train_rows, pairs_of, parts, 32, parts), f"{folder}/pairs")
+    found = written(counted(train_rows, pairs_of, parts, 32, parts, least), f"{folder}/pairs")
     second = Level(folder, build_level(found, folder, "pairs", lambda k: (k >> low, k & np.uint64(0xFFFFFFFF))), parts)
+    if second.n > UNKNOWN:
+        raise ValueError(f"{second.n} distinct pairs; their places have 32 bits")
 
     def triples_of(ids: np.ndarray) -> np.ndarray:
         pairs, back = np.unique(pairs_of(ids), return_inverse=True)
@@ -449,7 +451,7 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
     def relative(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return keys >> low, second.located((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))[2].astype(np.uint64)
 
-    found = written(counted(train_rows, triples_of, parts, 32, parts), f"{folder}/triples")
+    found = written(counted(train_rows, triples_of, parts, 32, parts, least), f"{folder}/triples")
     third = Level(folder, build_level(found, folder, "triples", relative), parts)
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,8 +492,9 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(each, f"{kinds}, score double")
 
 
-def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, key: str = "doc_id", least: int = MIN_COUNT) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score; the model holds
+    pairs and triples seen ``least`` times or more."""
     folder = work_folder(docs.sparkSession)
     frame = boxed(docs, id=F.col(key), text=text_of())
     kind = frame.schema["id"].dataType
@@ -503,5 +506,5 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = numbered(frame.select(F.struct("id", "held_out").alias("rest"), "text"), words, tokens, kind.simpleString(), to_arrow_type(kind))
     rows.write.option("compression", "zstd").parquet(f"{folder}/ids")
     rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/ids")
-    model = train(rows.filter(~F.col("held_out")).select("ids"), words, tokens, folder, parts)
+    model = train(rows.filter(~F.col("held_out")).select("ids"), words, tokens, folder, parts, least)
     return scored(rows, model).withColumn("train_tokens", F.lit(tokens).cast("long"))

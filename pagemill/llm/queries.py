@@ -29,7 +29,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ngramlm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = ngramlm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return rows.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
