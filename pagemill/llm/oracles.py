@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import linededup, mixing, quality
+from pagemill.llm import lexical, linededup, mixing, quality
 from pagemill.llm.chat import PART
 from pagemill.llm.text import LOWER, UPPER
 
@@ -126,5 +126,27 @@ from based
 """
 
 
+def _search() -> str:
+    terms = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+with terms as (select doc_id, unnest({terms}) as term from documents),
+counts as (select doc_id, term, count(*) as tf from terms group by all),
+sizes as (select doc_id, sum(tf)::bigint as n from counts group by all),
+whole as (select count(*) as n_all, sum(n)::bigint as n_terms from sizes),
+weights as (
+  select term, floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)))::bigint as w from counts, whole group by term, n_all),
+asked as (
+  select item_id, term, count(*) as times from (select item_id, unnest({terms}) as term from benchmark) group by all),
+scored as (
+  select item_id, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {lexical.SHARE} + ({lexical.SHARE} * n * n_all) // n_terms))))::bigint as score
+  from asked join weights using (term) join counts using (term) join sizes using (doc_id), whole group by all),
+placed as (
+  select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+  from scored where score > 0)
+select * from placed where rank <= {lexical.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": _mix(), "op4_lines": _lines(), "op9_chats": _chats(), "op10_quality": _quality()}
+    return {"op2_mix": _mix(), "op4_lines": _lines(), "op9_chats": _chats(), "op10_quality": _quality(), "op11_search": _search()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, decontam, linededup, mixing, ngramlm, quality, records, simhash, trietokens, urlfilter
+from pagemill.llm import aligning, chat, decontam, lexical, linededup, mixing, ngramlm, quality, records, simhash, toxicity, trietokens, urlfilter
 
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -67,6 +67,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexical.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", predicted, F.size("offending").alias("n_offending"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, of = _table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path
+    return aligning.align(docs, of(VOCABULARY), public_tokenizers.PATTERN, of(PIECES)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_records, op2_mix, op3_score, op4_lines, op5_leaks, op6_tokens, op7_urls, op8_simhash, op9_chats, op10_quality)
+    every = (
+        op1_records, op2_mix, op3_score, op4_lines, op5_leaks, op6_tokens, op7_urls, op8_simhash, op9_chats, op10_quality,
+        op11_search, op12_toxic, op13_align,
+    )
     return {f.__name__: f for f in every}

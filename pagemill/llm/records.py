@@ -71,7 +71,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     model, split = whole.model, regex.compile(PRETOKEN).findall
     marked = [t.content for t in whole.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, marked)) or r"(?!)").search
-    table = _byte_letters()
+    table = byte_letters()
     words: dict[str, bytes] = {}
     units: dict[str, bytes] = {}
 
@@ -109,7 +109,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return encode
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary file: printable Latin-1 for itself,
     the others in order from code point 256."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
