@@ -23,8 +23,13 @@ def _later(left: Column, right: Column) -> Column:
     return F.greatest(left, right)
 
 
+def _sooner(left: Column, right: Column) -> Column:
+    return F.least(left, right)
+
+
 SUM = (F.sum, _plus)
 LATEST = (F.max, _later)
+EARLIEST = (F.min, _sooner)
 
 
 def before_each_instant(

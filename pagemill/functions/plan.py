@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import ensure_checkpoint_dir
+
 
 def once(frame: DataFrame, keep: list[str], computed: list[Column]) -> DataFrame:
     """Select ``keep`` plus ``computed`` so that each computed column is evaluated once per row.
@@ -12,3 +14,10 @@ def once(frame: DataFrame, keep: list[str], computed: list[Column]) -> DataFrame
     generator ends that rewrite, keeps the clustering of ``keep`` and moves no data.
     """
     return frame.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
+def kept_on_disk(frame: DataFrame) -> DataFrame:
+    """The frame computed now and kept in the shared checkpoint folder, so that rounds of an iteration
+    neither repeat earlier ones nor depend on an executor that held them."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()

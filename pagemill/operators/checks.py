@@ -13,86 +13,88 @@ def _bounded(column: str, high: int) -> str:
 
 
 _CLAIM = {
-    "claim_is_whole": "(claimed_until is null) = (claimed_by is null)",
-    "claimed_by_is_bounded": f"claimed_by is null or {_bounded('claimed_by', 64)}",
+    "claim_has_both_parts": "(claimed_until is null) = (claimed_by is null)",
+    "claimant_length": f"claimed_by is null or {_bounded('claimed_by', 64)}",
 }
 # SQL conditions each row must satisfy. As in a CHECK constraint, null passes.
 ROW_RULES = {
     "sources": {
-        "urls_are_bounded": " and ".join(
+        "url_lengths": " and ".join(
             _bounded(c, 8192) for c in ("original_url", "normalized_url", "canonical_url")
         ),
-        "host_is_bounded": _bounded("host", 253),
+        "host_length": _bounded("host", 253),
     },
     "inbox": {
-        "subject_is_capture_requested": f"subject = '{rules.COMMAND_SUBJECT}'",
-        "command_type_is_capture_requested": f"command_type = '{rules.COMMAND_TYPE}'",
-        "producer_is_bounded": _bounded("producer", 64),
-        "outcome_matches_completion": "(outcome is not null) = (applied_at is not null)",
-        "outcome_is_known": "outcome is null or outcome in ('applied', 'duplicate', 'rejected')",
+        "wrong_subject": f"subject = '{rules.COMMAND_SUBJECT}'",
+        "wrong_command_type": f"command_type = '{rules.COMMAND_TYPE}'",
+        "producer_length": _bounded("producer", 64),
+        "outcome_without_time": "(outcome is not null) = (applied_at is not null)",
+        "outcome_name": "outcome is null or outcome in ('applied', 'duplicate', 'rejected')",
     },
     "runs": {
-        "status_is_known": "status in ('queued', 'running', 'succeeded', 'failed')",
-        "times_match_status": (
+        "run_status_name": "status in ('queued', 'running', 'succeeded', 'failed')",
+        "times_against_status": (
             "(started_at is not null) = (status in ('running', 'succeeded', 'failed')) and "
             "(completed_at is not null) = (status in ('succeeded', 'failed'))"
         ),
-        "error_is_safe": f"last_error_class is null or {_bounded('last_error_class', 64)}",
+        "error_class_length": f"last_error_class is null or {_bounded('last_error_class', 64)}",
         **_CLAIM,
     },
     "fetches": {
-        "status_is_http": "http_status between 100 and 599",
-        "sizes_are_non_negative": "wire_bytes >= 0 and decoded_bytes >= 0",
-        "attempts_are_positive": "attempts > 0",
-        "cache_outcome_is_known": "cache_outcome in ('fresh', 'revalidated')",
+        "http_status_range": "http_status between 100 and 599",
+        "byte_counts": "wire_bytes >= 0 and decoded_bytes >= 0",
+        "attempt_count": "attempts > 0",
+        "cache_outcome_name": "cache_outcome in ('fresh', 'revalidated')",
     },
     "artifacts": {
-        "kind_is_known": "kind in ('raw_source', 'document_ir', 'diagnostics')",
-        "owner_is_ours": f"owner_service = '{rules.OWNER_SERVICE}'",
-        "digest_is_sha256": "digest_algorithm = 'sha256' and digest_hex rlike '^[0-9a-f]{64}$'",
-        "length_is_non_negative": "length_bytes >= 0",
+        "artifact_kind": "kind in ('raw_source', 'document_ir', 'diagnostics')",
+        "artifact_owner": f"owner_service = '{rules.OWNER_SERVICE}'",
+        "digest_form": "digest_algorithm = 'sha256' and digest_hex rlike '^[0-9a-f]{64}$'",
+        "artifact_length": "length_bytes >= 0",
     },
     "candidates": {
-        "strategy_is_bounded": _bounded("strategy", 64),
-        "metrics_are_object": "metrics is not null",
-        "reasons_are_array": "reasons is not null",
-        "score_is_unit_interval": "score is null or score between 0.0 and 1.0",
+        "strategy_length": _bounded("strategy", 64),
+        "metrics_present": "metrics is not null",
+        "reasons_present": "reasons is not null",
+        "score_range": "score is null or score between 0.0 and 1.0",
     },
     "outbox": {
-        "subject_is_known": f"subject in ('{rules.DOCUMENT_SUBJECT}', '{rules.REPORT_SUBJECT}')",
-        "payload_is_an_object": "payload is null or json_object_keys(payload) is not null",
-        "attempts_is_non_negative": "attempts >= 0",
+        "event_subject": f"subject in ('{rules.DOCUMENT_SUBJECT}', '{rules.REPORT_SUBJECT}')",
+        "payload_form": "payload is null or json_object_keys(payload) is not null",
+        "publish_attempts": "attempts >= 0",
         **_CLAIM,
-        "last_error_is_safe": (
+        "error_text": (
             "last_error is null or "
             r"(length(last_error) <= 512 and not last_error rlike '[\\r\\n]')"
         ),
-        "terminal_state_is_exclusive": (
+        "published_and_dead": (
             "not (published_at is not null and dead_lettered_at is not null)"
         ),
     },
 }
 # (rule, key columns, optional row condition): at most one row per key.
 UNIQUE_RULES = {
-    "sources": [("owner_url_is_unique", ["owner_id", "normalized_url"], None)],
-    "inbox": [("command_is_unique", ["command_id"], None)],
+    "sources": [("one_source_per_owner_url", ["owner_id", "normalized_url"], None)],
+    "inbox": [("one_row_per_command", ["command_id"], None)],
     "runs": [
-        ("run_is_unique", ["run_id"], None),
-        ("command_is_unique", ["command_id"], None),
-        ("document_is_unique", ["document_id"], None),
+        ("one_row_per_run", ["run_id"], None),
+        ("one_row_per_command", ["command_id"], None),
+        ("one_run_per_document", ["document_id"], None),
     ],
-    "fetches": [("run_is_unique", ["run_id"], None)],
-    "artifacts": [("run_kind_is_unique", ["run_id", "kind"], None)],
+    "fetches": [("one_fetch_per_run", ["run_id"], None)],
+    "artifacts": [("one_artifact_per_kind", ["run_id", "kind"], None)],
     "candidates": [
-        ("decision_is_unique", ["run_id", "strategy", "extractor_version"], None),
-        ("one_selected_per_run", ["run_id"], "selected"),
+        ("one_decision_per_strategy", ["run_id", "strategy", "extractor_version"], None),
+        ("one_winner_per_run", ["run_id"], "selected"),
     ],
-    "outbox": [("message_is_unique", ["message_id"], None)],
+    "outbox": [("one_row_per_message", ["message_id"], None)],
 }
 ROW_KEYS = {
     "sources": "source_id", "inbox": "command_id", "runs": "run_id", "fetches": "fetch_id",
     "artifacts": "artifact_id", "candidates": "candidate_id", "outbox": "outbox_id",
 }
+#: Key of the rows that stand for rules that could not be tested.
+NOT_TESTED = "not_tested"
 # Foreign keys: (name, table, column, referenced table, referenced column).
 REFERENCES = (
     ("runs_command", "runs", "command_id", "inbox", "command_id"),
@@ -109,30 +111,35 @@ def _words(sql: str) -> set[str]:
     return set(re.findall("[a-z_]+", sql))
 
 
+def _untested(frame: DataFrame, table: str, rules_: list[str]) -> DataFrame:
+    """One row per rule that could not be tested, so that silence always means no violation."""
+    named = F.explode(F.array(*map(F.lit, rules_)))
+    rows = frame.sparkSession.range(1).select(F.lit(table).alias("table_name"), named.alias("rule"))
+    return rows.select("table_name", "rule", F.lit(NOT_TESTED).alias("key"), F.lit(None).cast("bigint").alias("n"))
+
+
 def constraint_violations(table: DataFrame, name: str) -> DataFrame:
     """K1: (table_name, rule, key, n): one row per broken row rule, one per repeated unique key.
 
-    All row rules of a table are tested in one pass; a uniqueness rule is one combining count.
-    Rules whose columns the frame lacks are not tested.
+    All row rules of a table are tested in one pass; a uniqueness rule is one combining count. A rule
+    whose columns the frame lacks gives one row with the key ``not_tested``.
     """
-    absent = {word for sqls in ROW_RULES[name].values() for word in _words(sqls)} & _ALL_COLUMNS
-    absent -= set(table.columns)
-
-    def testable(sql: str) -> bool:
-        return not absent & _words(sql)
-
+    columns = set(table.columns)
+    known = {word for sqls in ROW_RULES.values() for sql in sqls.values() for word in _words(sql)} & _ALL_COLUMNS
+    lacking = [rule for rule, sql in ROW_RULES[name].items() if _words(sql) & known - columns]
+    lacking += [rule for rule, key, condition in UNIQUE_RULES[name] if {*key, *filter(None, [condition])} - columns]
     broken = [
         F.when(~F.coalesce(F.expr(sql), F.lit(True)), F.lit(rule))
         for rule, sql in ROW_RULES[name].items()
-        if testable(sql)
+        if rule not in lacking
     ]
     rows = table.select(
         F.lit(name).alias("table_name"),
         F.col(ROW_KEYS[name]).cast("string").alias("key"),
-        F.explode(F.array_compact(F.array(*broken))).alias("rule"),
+        F.explode(F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")).alias("rule"),
     ).select("table_name", "rule", "key", F.lit(1).cast("bigint").alias("n"))
     for rule, key, condition in UNIQUE_RULES[name]:
-        if not set(key) <= set(table.columns):
+        if rule in lacking:
             continue
         scope = table if condition is None else table.where(condition)
         repeated = (
@@ -143,7 +150,7 @@ def constraint_violations(table: DataFrame, name: str) -> DataFrame:
             )
         )
         rows = rows.unionByName(repeated)
-    return rows
+    return rows.unionByName(_untested(table, name, lacking)) if lacking else rows
 
 
 _ALL_COLUMNS = {
@@ -157,22 +164,25 @@ _ALL_COLUMNS = {
 
 
 def dangling_references(tables: dict[str, DataFrame]) -> DataFrame:
-    """(reference, key, n): values of each foreign key that its target lacks.
+    """(reference, key, n): values of each of the seven foreign keys that its target lacks.
 
-    Keys reduce to distinct values with a count before the anti join, so a hot key is one row.
+    Keys reduce to distinct values with a count before the anti join, so a hot key is one row. A
+    reference whose table or column is absent gives one row with the key ``not_tested``.
     """
+    some = next(iter(tables.values()))
     missing = None
     for name, table, column, target, target_column in REFERENCES:
-        if table not in tables or target not in tables:
-            continue
-        keys = (
-            tables[table].where(F.col(column).isNotNull())
-            .groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("n"))
-        )
-        known = tables[target].select(F.col(target_column).cast("string").alias("key"))
-        found = keys.join(known, "key", "left_anti").select(
-            F.lit(name).alias("reference"), "key", "n"
-        )
+        if not all(t in tables and c in tables[t].columns for t, c in ((table, column), (target, target_column))):
+            found = _untested(some, table, [name]).select(F.col("rule").alias("reference"), "key", "n")
+        else:
+            keys = (
+                tables[table].where(F.col(column).isNotNull())
+                .groupBy(F.col(column).cast("string").alias("key")).agg(F.count("*").alias("n"))
+            )
+            known = tables[target].select(F.col(target_column).cast("string").alias("key"))
+            found = keys.join(known, "key", "left_anti").select(
+                F.lit(name).alias("reference"), "key", "n"
+            )
         missing = found if missing is None else missing.unionByName(found)
     return missing
 

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import rules
-from pagemill.functions.carry import LATEST, before_each_instant
+from pagemill.functions.carry import EARLIEST, LATEST, before_each_instant
+from pagemill.functions.plan import kept_on_disk
 
 # Words whose blocks mark a page as a gate rather than an article.
 GATE_MARKERS = ("sign in", "log in", "cookies", "subscribe", "consent")
@@ -48,15 +49,21 @@ def unchanged_content(captures: DataFrame) -> DataFrame:
     """(source_id, capture_id, unchanged): whether a capture equals the source's previous one.
 
     Input: (source_id, capture_id, at, digest). The previous digest is a running "latest" over
-    instants, so a source captured very often is not one window group.
+    instants, so a source captured very often is not one window group. Captures without a source
+    share one; a capture without a time has no previous one and is no other's.
     """
-    timed = captures.withColumn("micros", F.unix_micros(F.col("at").cast("timestamp")))
+    timed = captures.withColumns(
+        {
+            "micros": F.unix_micros(F.col("at").cast("timestamp")),
+            "key": F.coalesce(F.col("source_id").cast("string"), F.lit("")),
+            "none": F.col("source_id").isNull(),
+        }
+    )
     seen = F.struct("micros", "capture_id", "digest")
-    earlier = before_each_instant(timed, ["source_id"], "micros", {"seen": seen}, LATEST)
-    return timed.join(
-        earlier.select("source_id", "micros", F.col("seen_before.digest").alias("previous")),
-        ["source_id", "micros"],
-    ).select(
+    key = ["key", "none", "micros"]
+    earlier = before_each_instant(timed, key[:2], "micros", {"seen": seen}, LATEST)
+    earlier = earlier.select(*key, F.col("seen_before.digest").alias("previous"))
+    return timed.join(earlier, key, "left").select(
         "source_id", "capture_id",
         F.coalesce(F.col("digest") == F.col("previous"), F.lit(False)).alias("unchanged"),
     )
@@ -171,6 +178,55 @@ def shadow_comparison(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def distinct_messages(messages: DataFrame, order: str, window_seconds: int = rules.DUPLICATE_SECONDS) -> DataFrame:
+    """X2 over a whole table: messages with their repeats dropped, row by row in time.
+
+    A repeat of ``message_id`` is dropped until ``window_seconds`` after the message that was kept
+    before it; the next one is kept and opens the next window. Of one id's messages at one instant the
+    first by ``order`` counts. Messages without an id share one; a message without a time is kept.
+
+    Each instant of an id has one link: to the first instant at least a window later, found by running
+    minima over instants (see ``functions.carry``). The kept instants are those on the path of links
+    from an id's first one. The path is walked by doubling: each round joins the kept instants with
+    links of 1, 2, 4, ... steps, so rounds grow with the logarithm of the longest path and no task
+    holds an id's history. Each round is written; one number a round reaches the driver.
+    """
+    keyed = messages.withColumns(
+        {
+            "_key": F.coalesce(F.col("message_id").cast("string"), F.lit("")),
+            "_none": F.col("message_id").isNull(),
+            "_at": F.unix_micros(F.col("at").cast("timestamp")),
+        }
+    )
+    key = ["_key", "_none"]
+    instants = keyed.where(F.col("_at").isNotNull()).groupBy(*key, "_at").agg(F.min(order).alias("_first"))
+    instants = kept_on_disk(instants)
+    window = F.lit(window_seconds * 1_000_000).cast("bigint")
+    # A probe just before the end of an instant's window looks for the next instant after it.
+    probes = instants.select(*key, (F.col("_at") + window - 1).alias("_at"), F.lit(None).cast("bigint").alias("seen"))
+    both = instants.select(*key, "_at", F.col("_at").alias("seen")).unionByName(probes)
+    later = before_each_instant(both, key, "_at", {"seen": F.col("seen")}, EARLIEST, descending=True)
+    links = later.where(F.col("seen_before").isNotNull()).select(
+        *key, (F.col("_at") - window + 1).alias("_at"), F.col("seen_before").alias("_next")
+    )
+    links = kept_on_disk(links.join(instants.select(*key, "_at"), [*key, "_at"], "left_semi"))
+    kept = kept_on_disk(instants.groupBy(*key).agg(F.min("_at").alias("_at")))
+    n = kept.count()
+    while True:
+        reached = kept.join(links, [*key, "_at"]).select(*key, F.col("_next").alias("_at"))
+        kept = kept_on_disk(kept.unionByName(reached).distinct())
+        n, before = kept.count(), n
+        if n == before:
+            break
+        onward = links.withColumnRenamed("_next", "_mid").join(
+            links.select(*key, F.col("_at").alias("_mid"), "_next"), [*key, "_mid"]
+        )
+        links = kept_on_disk(onward.select(*key, "_at", "_next"))
+    firsts = instants.join(kept, [*key, "_at"], "left_semi").select(*key, "_at", F.col("_first").alias(order))
+    timed = keyed.join(firsts, [*key, "_at", order], "left_semi").select(*messages.columns)
+    return timed.unionByName(messages.where(F.col("at").isNull()))
+
+
 def retained(
     messages: DataFrame,
     now: Column,

@@ -265,7 +265,8 @@ def revalidate(fetches: DataFrame, stored: DataFrame) -> DataFrame:
     digest_algorithm, digest_hex, media_type, length_bytes), the reference fields being those of the
     artifact a 200 stored. The reference is verified against ``stored`` blobs; the 304 then reuses
     its media type and length with no bytes on the wire, its validators falling back to the earlier
-    ones. Without a verified artifact the outcome is ``cache_integrity``.
+    ones. Without a verified artifact the outcome is ``cache_integrity``, and so it is for a 304
+    without a URL or a time, which nothing can be earlier than.
     """
     reference = [
         "etag", "last_modified", "owner_service", "digest_algorithm", "digest_hex", "media_type",
@@ -277,7 +278,9 @@ def revalidate(fetches: DataFrame, stored: DataFrame) -> DataFrame:
     waiting = timed.where(F.col("http_status") == 304).select(
         "fetch_id", "url", "at", "etag", "last_modified"
     )
-    found = waiting.join(earlier.select("url", "at", "prior_before"), ["url", "at"]).select(
+    # Rows that cannot match get spread-out keys in place of null ones.
+    waiting = waiting.withColumn("url", F.coalesce("url", F.concat(F.lit("-"), F.col("fetch_id").cast("string"))))
+    found = waiting.join(earlier.select("url", "at", "prior_before"), ["url", "at"], "left").select(
         "fetch_id",
         F.col("prior_before.fetch_id").alias("prior_fetch_id"),
         F.coalesce("etag", "prior_before.etag").alias("etag"),

@@ -73,21 +73,48 @@ def upsert_sources(existing: DataFrame | None, routed: DataFrame) -> DataFrame:
         existing = incoming.limit(0)
     else:
         existing = existing.withColumn("delivery_id", F.lit(None).cast("bigint"))
+        # Of the rows kept so far only those that these commands name can change.
+        touched = incoming.select(*key).distinct()
+        existing = existing.join(touched, key, "left_semi")
     keep = [c for c in incoming.columns if c not in (*key, "canonical_url")]
     return upsert_facts(existing, incoming, key, keep, ["created_at", "delivery_id"]).drop(
         "delivery_id"
     )
 
 
-def intake(commands: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+def current_sources(written: DataFrame) -> DataFrame:
+    """One row per (owner, URL) of all source rows that batches wrote: the last batch's row, which
+    holds the first row's columns and the last canonical URL. ``written`` has ``batch_id``."""
+    columns = [c for c in written.columns if c not in ("owner_id", "normalized_url", "batch_id")]
+    newest = F.max_by(F.struct(*columns), "batch_id").alias("newest")
+    return written.groupBy("owner_id", "normalized_url").agg(newest).select(
+        "owner_id", "normalized_url", "newest.*"
+    )
+
+
+def accepted_commands(routed: DataFrame) -> DataFrame:
+    """The first delivery of each routed command that the URL policy lets through."""
+    return first_deliveries(routed.where(F.col("reject_reason").isNull()))
+
+
+def intake(
+    commands: DataFrame, known: DataFrame | None = None, sources: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """L1: inbox, sources, runs, queued reports and rejects of decoded commands.
 
     Each new command makes one run with a document id fixed here. A URL the policy refuses rejects
-    the command before it can claim its id. ``known`` (command_id) holds ids applied earlier.
+    the command before it can claim its id. ``known`` (command_id) holds ids applied earlier and
+    ``sources`` the source rows kept so far that these commands may meet.
     """
-    routed = route_commands(commands)
+    return intake_routed(route_commands(commands), known, sources)
+
+
+def intake_routed(
+    routed: DataFrame, known: DataFrame | None = None, sources: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """``intake`` of commands that ``route_commands`` has seen."""
     rejected = F.col("reject_reason").isNotNull()
-    accepted = first_deliveries(routed.where(~rejected))
+    accepted = accepted_commands(routed)
     if known is not None:
         accepted = accepted.join(known.select("command_id"), "command_id", "left_anti")
     runs = accepted.select(
@@ -112,7 +139,7 @@ def intake(commands: DataFrame, known: DataFrame | None = None) -> dict[str, Dat
     )
     return {
         "inbox": inbox,
-        "sources": upsert_sources(None, accepted),
+        "sources": upsert_sources(sources, accepted),
         "runs": runs,
         "outbox": report_events(runs, "queued", F.col("queued_at")),
         "rejects": routed.where(rejected).select("delivery_id", "command_id", "reject_reason"),
@@ -349,19 +376,6 @@ def terminal_state(runs: DataFrame, completions: DataFrame) -> DataFrame:
     )
 
 
-def fail_runs(runs: DataFrame, at: Column) -> DataFrame:
-    """Failed runs with a bounded error class; a class outside 1..64 characters is refused."""
-    bounded = F.length("error_class").between(1, 64)
-    return runs.where(bounded & (F.col("status") == "failed")).withColumns(
-        {
-            "completed_at": at,
-            "last_error_class": F.col("error_class"),
-            "claimed_until": F.lit(None).cast("timestamp"),
-            "claimed_by": F.lit(None).cast("string"),
-        }
-    )
-
-
 def terminal_facts(
     finished: DataFrame, candidates: DataFrame, documents: DataFrame, blobs: DataFrame
 ) -> dict[str, DataFrame]:

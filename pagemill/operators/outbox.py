@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 
+MAX_PASS = 1000
 
 def due_outbox(outbox: DataFrame, now: Column, limit: int | None = rules.OUTBOX_BATCH) -> DataFrame:
     """Unpublished live rows whose time has come and whose lease is free.
 
-    With a limit, the oldest rows of one pass of 1..1000; Spark keeps only that many per task. With
-    none, all due rows in no order, for a sink that takes a whole table at once.
+    With a limit, the oldest rows of one pass; Spark keeps only that many per task. A pass holds 1 to
+    1000 rows; another limit is an error. With none, all due rows in no order, for a sink that takes a
+    whole table at once.
     """
+    if limit is not None and not 1 <= limit <= MAX_PASS:
+        raise ValueError(f"a pass holds 1 to {MAX_PASS} rows, not {limit}")
     due = outbox.where(
         F.col("published_at").isNull()
         & F.col("dead_lettered_at").isNull()
@@ -20,7 +24,7 @@ def due_outbox(outbox: DataFrame, now: Column, limit: int | None = rules.OUTBOX_
     )
     if limit is None:
         return due
-    return due.orderBy("next_attempt_at", "enqueued_at", "outbox_id").limit(max(1, min(limit, 1000)))
+    return due.orderBy("next_attempt_at", "enqueued_at", "outbox_id").limit(limit)
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -53,24 +57,45 @@ def outbox_backoff(failed: DataFrame, now: Column) -> DataFrame:
     return failed.withColumns(_after_failure(now, F.col("last_error")))
 
 
-def apply_results(outbox: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Outbox after a pass: published rows are closed, failed ones backed off, others unchanged.
-
-    ``results`` has (outbox_id, published, error) for the rows of the pass. One join; each column
-    then takes its value by the result.
-    """
-    told = results.select("outbox_id", F.struct("published", "error").alias("_told"))
+def _after(now: Column) -> dict[str, Column]:
+    """Columns that a pass changes, for rows with its result in ``_told``."""
     published = F.col("_told.published")
     nothing = F.lit(None)
     closed = {"published_at": now, "claimed_until": nothing, "claimed_by": nothing, "last_error": nothing}
     failed = _after_failure(now, F.col("_told.error"))
-    after = {
+    return {
         name: F.when(published, closed.get(name, F.col(name)))
         .when(~published, failed.get(name, F.col(name)))
         .otherwise(F.col(name))
         for name in {**closed, **failed}
     }
-    return outbox.join(told, "outbox_id", "left").withColumns(after).select(*outbox.columns)
+
+
+def _told(results: DataFrame) -> DataFrame:
+    return results.select("outbox_id", F.struct("published", "error").alias("_told"))
+
+
+def apply_results(outbox: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Outbox after a pass: published rows are closed, failed ones backed off, others unchanged.
+
+    ``results`` has (outbox_id, published, error) for the rows of the pass. One join; each column
+    then takes its value by the result.
+    """
+    joined = outbox.join(_told(results), "outbox_id", "left")
+    return joined.withColumns(_after(now)).select(*outbox.columns)
+
+
+def changed_rows(due: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """The rows of a pass alone, as they are after it."""
+    return due.join(_told(results), "outbox_id").withColumns(_after(now)).select(*due.columns)
+
+
+def current_rows(outbox: DataFrame, changes: DataFrame) -> DataFrame:
+    """The outbox after all passes: for each row the change of the last pass, else the row itself."""
+    rest = [c for c in outbox.columns if c != "outbox_id"]
+    both = outbox.withColumn("pass_id", F.lit(None).cast("bigint")).unionByName(changes)
+    newest = F.max_by(F.struct(*rest), F.coalesce("pass_id", F.lit(-1))).alias("newest")
+    return both.groupBy("outbox_id").agg(newest).select("outbox_id", "newest.*").select(*outbox.columns)
 
 
 def outbox_report(results: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def enforce_limits(
     max_input_bytes: int = rules.MAX_INPUT_BYTES,
     max_dom_nodes: int = rules.MAX_DOM_NODES,
 ) -> DataFrame:
-    """(page_id, n_nodes, parse_failure); the failure is resource_limit or null.
+    """(page_id, n_nodes, parse_failure); the failure is missing_body, resource_limit or null.
 
     Bytes are tested before a page is cut into tokens. A narrow job.
     """
@@ -169,10 +169,12 @@ def enforce_limits(
     tokens = F.when(fits, F.regexp_extract_all("html", F.lit(TOKEN_RX), F.lit(1)))
     count = node_count(F.col("tokens"))
     return (
-        pages.select("page_id", tokens.alias("tokens"))
-        .select("page_id", F.when(F.col("tokens").isNotNull(), count).alias("n_nodes"))
-        .withColumn(
-            "parse_failure",
-            F.when(F.coalesce(F.col("n_nodes") > max_dom_nodes, F.lit(True)), "resource_limit"),
+        pages.select("page_id", tokens.alias("tokens"), F.col("html").isNull().alias("absent"))
+        .select("page_id", "absent", F.when(F.col("tokens").isNotNull(), count).alias("n_nodes"))
+        .select(
+            "page_id", "n_nodes",
+            F.when(F.col("absent"), "missing_body")
+            .when(F.coalesce(F.col("n_nodes") > max_dom_nodes, F.lit(True)), "resource_limit")
+            .alias("parse_failure"),
         )
     )

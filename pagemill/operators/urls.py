@@ -31,7 +31,7 @@ def _resolved_path(path: str) -> str:
     one, two = f"^{dot}$", f"^{dot}(?:[.]|%2e)$"
     last_is_dot = f"element_at(split({path}, '/'), -1) rlike '{one}|{two}'"
     folded = (
-        f"aggregate(slice(split({path}, '/'), 2, 8192), cast(array() as array<string>), (acc, s) -> "
+        f"aggregate(slice(split({path}, '/'), 2, size(split({path}, '/'))), cast(array() as array<string>), (acc, s) -> "
         f"case when s rlike '{two}' then slice(acc, 1, greatest(size(acc) - 1, 0)) "
         f"when s rlike '{one}' then acc else concat(acc, array(s)) end)"
     )
@@ -46,7 +46,8 @@ def canonicalize_urls(
 ) -> DataFrame:
     """Add original, normalized, host, path, query, fingerprint and reject_reason.
 
-    The parts of a rejected URL are null. Reasons are tested in a fixed order, first match wins.
+    The parts of a rejected URL are null. Reasons are tested in a fixed order, first match wins; an
+    absent URL has no host.
     """
     ports = ", ".join(str(port) for port in rules.ALLOWED_PORTS)
     split = urls.withColumn("original", F.col(column)).withColumn(
@@ -122,7 +123,7 @@ def canonicalize_urls(
     )
     reason = F.expr(
         f"case when octet_length(original) > {max_url_bytes} then 'too_long'"
-        " when instr(original, '://') = 0 then 'missing_host'"
+        " when original is null or instr(original, '://') = 0 then 'missing_host'"
         " when _invalid then 'invalid'"
         " when _scheme not in ('http', 'https') then 'unsupported_scheme'"
         " when _host = '' then 'missing_host'"

@@ -4,6 +4,7 @@ Results are flattened to scalars so that they compare with plain SQL; the jobs t
 arrays and structs.
 """
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -78,9 +79,9 @@ def upsert_facts(spark, sf):
 
 
 def _deliveries(spark, sf) -> DataFrame:
-    """Capture commands with their page's URL; a command without a page has none."""
+    """Capture commands with their page's URL; a command without a page has none and is rejected."""
     commands = fixture(spark, sf, "capture_commands")
-    return commands.join(_pages(spark, sf).select("page_id", "url"), "page_id").select(
+    return commands.join(_pages(spark, sf).select("page_id", "url"), "page_id", "left").select(
         "delivery_id", "command_id", F.col("command_id").alias("operation_id"), "owner_id",
         F.concat(F.lit("operation:"), F.col("command_id")).alias("correlation_id"),
         "received_at", "command_type", "url",
@@ -88,16 +89,23 @@ def _deliveries(spark, sf) -> DataFrame:
 
 
 def upsert_sources(spark, sf):
-    routed = ledger.route_commands(_deliveries(spark, sf))
-    return ledger.upsert_sources(None, routed.where(F.col("reject_reason").isNull())).select(
+    """Two batches, before and after an instant, folded to one row per (owner, URL)."""
+    routed = ledger.accepted_commands(ledger.route_commands(_deliveries(spark, sf)))
+    early = F.col("received_at") < F.lit("2024-01-15").cast("timestamp")
+    first = ledger.upsert_sources(None, routed.where(early))
+    second = ledger.upsert_sources(first, routed.where(~early))
+    written = first.withColumn("batch_id", F.lit(0)).unionByName(second.withColumn("batch_id", F.lit(1)))
+    return ledger.current_sources(written).select(
         "source_id", "owner_id", "original_url", "normalized_url", "canonical_url", "host",
         "classification", _micros("created_at").alias("created_us"),
     )
 
 
 def publish_events(spark, sf):
-    due = outbox.due_outbox(_outbox(spark, sf), _now(), None)
-    return due.dropDuplicates(["message_id"]).select("message_id", "subject")
+    """What one pass left in the sink, read back from it."""
+    sink = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    document_sink.write_events(outbox.due_outbox(_outbox(spark, sf), _now(), None), sink, 0)
+    return spark.read.parquet(f"{sink}/batch_id=0").select(F.col("message_id").cast("bigint").alias("message_id"), "subject", "payload")
 
 
 # --- URLs and policy ------------------------------------------------------------------------
@@ -262,14 +270,19 @@ def element_spans(spark, sf):
     )
 
 
+def _holed_pages(spark, sf) -> DataFrame:
+    """Pages, one in nineteen without a body."""
+    return _pages(spark, sf).withColumn("html", F.when(F.col("page_id") % 19 != 7, F.col("html")))
+
+
 def enforce_limits(spark, sf):
-    return tokens.enforce_limits(_pages(spark, sf), 8000, 80).select(
+    return tokens.enforce_limits(_holed_pages(spark, sf), 8000, 80).select(
         "page_id", F.col("n_nodes").cast("bigint").alias("n_nodes"), "parse_failure"
     )
 
 
 def page_outcomes(spark, sf):
-    return quality.page_outcomes(_pages(spark, sf), max_input_bytes=8000, max_dom_nodes=80)
+    return quality.page_outcomes(_holed_pages(spark, sf), max_input_bytes=8000, max_dom_nodes=80)
 
 
 def page_metadata(spark, sf):
@@ -390,7 +403,8 @@ def verify_blobs(spark, sf):
 def revalidate(spark, sf):
     log = fixture(spark, sf, "fetch_log").join(fixture(spark, sf, "blob_refs"), "page_id")
     fetches = log.select(
-        "fetch_id", F.concat(F.lit("u"), F.col("page_id")).alias("url"), "fetched_at", "http_status",
+        "fetch_id", F.when(F.col("fetch_id") % 21 != 5, F.concat(F.lit("u"), F.col("page_id"))).alias("url"),
+        "fetched_at", "http_status",
         F.when(F.col("fetch_id") % 3 > 0, F.concat(F.lit("e"), F.col("fetch_id"))).alias("etag"),
         F.when(F.col("fetch_id") % 2 > 0, F.concat(F.lit("m"), F.col("fetch_id"))).alias(
             "last_modified"
@@ -418,6 +432,13 @@ def _fact_tables(spark, sf) -> dict[str, DataFrame]:
         "inbox": table(spark, sf, "events").select(F.col("event_id").alias("command_id")),
         "sources": table(spark, sf, "customer").select((F.col("c_custkey") + 5).alias("source_id")),
         "fetches": lines.select((F.col("l_orderkey") + F.col("l_linenumber")).alias("run_id")),
+        "artifacts": table(spark, sf, "supplier").select(
+            (F.col("s_suppkey") * 3).alias("artifact_id"), (F.col("s_suppkey") * 2).alias("run_id"),
+        ),
+        "candidates": table(spark, sf, "part").select(
+            F.col("p_partkey").alias("run_id"),
+            F.when(F.col("p_partkey") % 4 > 0, F.col("p_partkey")).alias("artifact_id"),
+        ),
         "outbox": orders.select((F.col("o_orderkey") * 2).alias("causation_command_id")),
     }
 
@@ -604,7 +625,7 @@ def _outbox(spark, sf) -> DataFrame:
 
 
 def due_outbox(spark, sf):
-    return outbox.due_outbox(_outbox(spark, sf), _now(), 5000).select(
+    return outbox.due_outbox(_outbox(spark, sf), _now(), outbox.MAX_PASS).select(
         "outbox_id", "message_id", _micros("next_attempt_at").alias("next_us")
     )
 
@@ -669,6 +690,10 @@ def intake_runs(spark, sf):
     )
 
 
+def intake_rejects(spark, sf):
+    return _intake(spark, sf)["rejects"]
+
+
 def intake_inbox(spark, sf):
     return _intake(spark, sf)["inbox"].select(
         "command_id", "subject", "outcome", _micros("received_at").alias("received_us")
@@ -685,7 +710,8 @@ def terminal_state(spark, sf):
     )
 
 
-def _fact_counts(status: str, error: str | None, spark, sf) -> DataFrame:
+def _left_facts(status: str, error: str | None, spark, sf) -> DataFrame:
+    """Per ended run what it left: fetch, artifacts, decisions and events, in words."""
     decisions = _run_decisions(spark, sf)
     finished = _finished(spark, sf, decisions)
     made = _terminal(spark, sf, decisions)
@@ -694,20 +720,27 @@ def _fact_counts(status: str, error: str | None, spark, sf) -> DataFrame:
         scope = scope.where(
             F.col("error_class") == "quality" if error == "quality" else F.col("error_class") != "quality"
         )
-    one = lambda frame, key, name: frame.groupBy(F.col(key).alias("run_id")).agg(
-        F.count("*").alias(name)
-    )
-    picked = made["candidates"].groupBy("run_id").agg(
-        F.count("*").alias("candidates"), F.count_if("selected").alias("selected")
+
+    def words(name: str, *parts: Column | str, key: str = "run_id") -> DataFrame:
+        listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *parts))), " ")
+        return made[name].groupBy(F.col(key).alias("run_id")).agg(listed.alias(name))
+
+    score = F.round(F.col("score") * 1000).cast("int").cast("string")
+    told = F.coalesce(
+        F.get_json_object("payload", "$.payload.status"),
+        F.get_json_object("payload", "$.payload.content_digest"),
     )
-    counted = (
-        scope.select("run_id", "retryable")
-        .join(one(made["fetches"], "run_id", "fetches"), "run_id", "left")
-        .join(one(made["artifacts"], "run_id", "artifacts"), "run_id", "left")
-        .join(picked, "run_id", "left")
-        .join(one(made["outbox"], "causation_command_id", "events"), "run_id", "left")
+    raw = F.when(F.col("kind") == "raw_source", F.concat_ws(":", "digest_hex", F.col("length_bytes")))
+    tables = (
+        words("fetches", "final_url", F.col("http_status"), "cache_outcome"),
+        words("artifacts", "kind", raw),
+        words("candidates", "strategy", score, F.col("selected").cast("string")),
+        words("outbox", "subject", told, key="causation_command_id"),
     )
-    return counted.na.fill(0)
+    rows = scope.select("run_id", "retryable")
+    for frame in tables:
+        rows = rows.join(frame, "run_id", "left")
+    return rows.na.fill("")
 
 
 def run_states(spark, sf):
@@ -825,6 +858,16 @@ def _messages(spark, sf) -> DataFrame:
     )
 
 
+def distinct_messages(spark, sf):
+    """Repeats inside the window of the message that was kept before them, by user and event type."""
+    events = table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 11 != 3, F.concat_ws("-", F.col("user_id") % 5, "event_type")).alias("message_id"),
+        F.col("ts").cast("timestamp").alias("at"), "event_id",
+    )
+    kept = derived.distinct_messages(events, "event_id", 7200)
+    return kept.select("event_id", "message_id", _micros("at").alias("at_us"))
+
+
 def retained(spark, sf):
     now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     return derived.retained(_messages(spark, sf), now, 400, 4000, 15_000_000).select("message_id")
@@ -837,7 +880,8 @@ def outbox_pass(spark, sf):
         "outbox_id", (F.col("outbox_id") % 3 > 0).alias("published"),
         F.lit("bus\nrefused").alias("error"),
     )
-    return outbox.apply_results(rows, results, _now()).select(
+    changed = outbox.changed_rows(due, results, _now()).withColumn("pass_id", F.lit(0).cast("bigint"))
+    return outbox.current_rows(rows, changed).select(
         "outbox_id", F.col("attempts").cast("bigint").alias("attempts"),
         _micros("published_at").alias("published_us"),
         _micros("next_attempt_at").alias("next_us"),
@@ -861,7 +905,8 @@ def host_strategy(spark, sf):
 
 def unchanged_content(spark, sf):
     docs = table(spark, sf, "documents").select(
-        "source", F.col("doc_id").alias("capture_id"), F.sha2("text", 256).alias("digest")
+        F.when(F.col("doc_id") % 9 != 4, F.col("source")).alias("source"),
+        F.col("doc_id").alias("capture_id"), F.sha2("text", 256).alias("digest"),
     )
     captures = docs.select(
         F.col("source").alias("source_id"), "capture_id",
@@ -919,7 +964,7 @@ def _all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fetch_failures, outbox_report, run_counts, validate_candidate_sets, content_dedup,
         attempts_per_fetch, mark_duplicates, first_deliveries, retry_schedule, concurrency_audit,
         due_runs, due_outbox, terminal_events, commands_without_runs, runs_without_end, intake_runs,
-        intake_inbox, terminal_state, run_states, fetch_outcome, retry_delay, outbox_backoff, envelope,
+        intake_inbox, intake_rejects, distinct_messages, terminal_state, run_states, fetch_outcome, retry_delay, outbox_backoff, envelope,
         retained, outbox_pass, host_strategy, unchanged_content, derived_views, block_citations,
         escalation_flags, page_features, shadow_comparison,
     ]
@@ -927,15 +972,18 @@ def _all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for strategy in rules.STRATEGIES:
         named[f"candidate_{strategy}"] = partial(_candidate, strategy)
     named["candidates"] = _candidate_sizes
-    named["complete_runs"] = partial(_fact_counts, "succeeded", None)
-    named["reject_runs"] = partial(_fact_counts, "failed", "quality")
-    named["fail_runs"] = partial(_fact_counts, "failed", "other")
+    named["complete_runs"] = partial(_left_facts, "succeeded", None)
+    named["reject_runs"] = partial(_left_facts, "failed", "quality")
+    named["fail_runs"] = partial(_left_facts, "failed", "other")
     for name in FACTS:
         named[f"violations_{name}"] = partial(_violations, name)
     return named
 
 
 def _in_utc(job: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The job under two settings of the caller's session. They must hold until the lazy result has
+    run, so they stay set; a session of its own would lose the caller's other settings."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         # The page row gathers rows that its windows have already sorted by page; a sort aggregate

@@ -220,6 +220,9 @@ _DELIVERIES = """deliveries as (
   select c.delivery_id, c.command_id, c.owner_id, c.received_at, c.command_type, u.original,
          u.normalized, u.host
   from capture_commands_f c join urls_f u using (page_id))"""
+_PAGELESS = """pageless as (
+  select delivery_id, command_id from capture_commands_f
+  where command_type = 'content.capture.requested.v1' and page_id not in (select page_id from pages))"""
 _APPLIED = """applied as (
   select * from deliveries where command_type = 'content.capture.requested.v1'
   qualify row_number() over (partition by command_id order by received_at, delivery_id) = 1)"""
@@ -237,10 +240,22 @@ _MESSAGES = """messages as (
   select event_id as message_id, ts as sent_at, cast(floor(value * 100) as bigint) as bytes from events)"""
 
 
-def _facts(scope: str, values: str) -> str:
-    return _with("runs", *_PAGE, _PROCESSED) + (
-        f"select run_id, retryable, {values} from processed where {scope}"
-    )
+def _facts(scope: str) -> str:
+    return _with("runs", *_DOCS, _PROCESSED) + f"""
+          , n as (select page_id, string_agg(strategy || ':' || score || ':' || selected, ' ' order by strategy) as words
+            from (select d.page_id, d.strategy, case when d.page_id % 6 = 0 then 0 else cast(d.score as int) end as score,
+                         w.page_id is not null and d.page_id % 6 <> 0 as selected
+                  from decided d left join winners w on w.page_id = d.page_id and w.strategy = d.strategy)
+            group by 1)
+          select run_id, retryable,
+            case when kept then 'https://example.com/' || page_id || ':200:fresh' else '' end as fetches,
+            case when kept then case when status = 'succeeded' then 'document_ir ' else '' end
+              || 'raw_source:' || sha256(html) || ':' || strlen(html) else '' end as artifacts,
+            case when kept then n.words else '' end as candidates,
+            case when status = 'succeeded' then 'evt.content.document.extracted.v1:' || content_digest || ' ' else '' end
+              || 'evt.platform.operation.reported.v1:' || status as outbox
+          from (select *, status = 'succeeded' or error_class = 'quality' as kept from processed where {scope})
+          join pages using (page_id) left join n using (page_id) left join documents_f using (page_id)"""
 
 
 def _violations() -> dict[str, str]:
@@ -286,55 +301,55 @@ def _violations() -> dict[str, str]:
         "d.page_id || '-' || strategy as id, d.page_id // 2")
     return {
         "violations_outbox": _with("outbox", _OUTBOX) + " union all ".join([
-            rule("outbox", "last_error_is_safe", "outbox_id", "ob", "position(chr(10) in last_error) = 0"),
-            rule("outbox", "terminal_state_is_exclusive", "outbox_id", "ob",
+            rule("outbox", "error_text", "outbox_id", "ob", "position(chr(10) in last_error) = 0"),
+            rule("outbox", "published_and_dead", "outbox_id", "ob",
                  "not (published_at is not null and dead_lettered_at is not null)"),
         ]),
         "violations_runs": _with("runs", runs) + " union all ".join([
-            rule("runs", "times_match_status", "run_id", "rr",
+            rule("runs", "times_against_status", "run_id", "rr",
                  "(started_at is not null) = (status in ('running', 'succeeded', 'failed')) and "
                  "(completed_at is not null) = (status in ('succeeded', 'failed'))"),
-            rule("runs", "claim_is_whole", "run_id", "rr", claim),
-            unique("runs", "command_is_unique", "cast(command_id as varchar)", "rr"),
+            rule("runs", "claim_has_both_parts", "run_id", "rr", claim),
+            unique("runs", "one_row_per_command", "cast(command_id as varchar)", "rr"),
         ]),
         "violations_fetches": _with("fetch_log") + " union all ".join([
-            rule("fetches", "status_is_http", "fetch_id", "fetch_log_f",
+            rule("fetches", "http_status_range", "fetch_id", "fetch_log_f",
                  "http_status + 100 between 100 and 599"),
-            rule("fetches", "sizes_are_non_negative", "fetch_id", "fetch_log_f",
+            rule("fetches", "byte_counts", "fetch_id", "fetch_log_f",
                  "wire_bytes - 100000 >= 0 and decoded_bytes >= 0"),
-            rule("fetches", "attempts_are_positive", "fetch_id", "fetch_log_f", "attempts - 1 > 0"),
-            rule("fetches", "cache_outcome_is_known", "fetch_id", "fetch_log_f", "fetch_id % 3 <> 0"),
-            unique("fetches", "run_is_unique", "cast(page_id as varchar)", "fetch_log_f"),
+            rule("fetches", "attempt_count", "fetch_id", "fetch_log_f", "attempts - 1 > 0"),
+            rule("fetches", "cache_outcome_name", "fetch_id", "fetch_log_f", "fetch_id % 3 <> 0"),
+            unique("fetches", "one_fetch_per_run", "cast(page_id as varchar)", "fetch_log_f"),
         ]),
         "violations_artifacts": _with("blob_refs", artifacts) + " union all ".join([
-            rule("artifacts", "kind_is_known", "page_id", "aa", "kind = 'raw_source'"),
-            rule("artifacts", "owner_is_ours", "page_id", "aa", "owner_service = 'web-extract'"),
-            rule("artifacts", "digest_is_sha256", "page_id", "aa", "digest_algorithm = 'sha256'"),
-            unique("artifacts", "run_kind_is_unique", "run_id || '|' || kind", "aa"),
+            rule("artifacts", "artifact_kind", "page_id", "aa", "kind = 'raw_source'"),
+            rule("artifacts", "artifact_owner", "page_id", "aa", "owner_service = 'web-extract'"),
+            rule("artifacts", "digest_form", "page_id", "aa", "digest_algorithm = 'sha256'"),
+            unique("artifacts", "one_artifact_per_kind", "run_id || '|' || kind", "aa"),
         ]),
         "violations_candidates": _with(*_PAGE, decisions) + " union all ".join([
-            rule("candidates", "score_is_unit_interval", "id", "cc", "score between 0.0 and 1.0"),
-            unique("candidates", "decision_is_unique", "run_id || '|' || strategy || '|quality_v1'",
+            rule("candidates", "score_range", "id", "cc", "score between 0.0 and 1.0"),
+            unique("candidates", "one_decision_per_strategy", "run_id || '|' || strategy || '|quality_v1'",
                    "cc"),
-            unique("candidates", "one_selected_per_run", "cast(run_id as varchar)",
+            unique("candidates", "one_winner_per_run", "cast(run_id as varchar)",
                    "(select * from cc where selected)"),
         ]),
         "violations_inbox": _with("capture_commands", inbox) + " union all ".join([
-            rule("inbox", "command_type_is_capture_requested", "command_id", "ii",
+            rule("inbox", "wrong_command_type", "command_id", "ii",
                  "command_type = 'content.capture.requested.v1'"),
-            rule("inbox", "producer_is_bounded", "command_id", "ii",
+            rule("inbox", "producer_length", "command_id", "ii",
                  "length(producer) between 1 and 64"),
-            rule("inbox", "outcome_matches_completion", "command_id", "ii",
+            rule("inbox", "outcome_without_time", "command_id", "ii",
                  "(outcome is not null) = (applied_at is not null)"),
-            rule("inbox", "outcome_is_known", "command_id", "ii", "outcome <> 'lost'"),
-            unique("inbox", "command_is_unique", "cast(command_id as varchar)", "ii"),
+            rule("inbox", "outcome_name", "command_id", "ii", "outcome <> 'lost'"),
+            unique("inbox", "one_row_per_command", "cast(command_id as varchar)", "ii"),
         ]),
         "violations_sources": _with(_URLS, sources) + " union all ".join([
-            rule("sources", "urls_are_bounded", "source_id", "ss",
+            rule("sources", "url_lengths", "source_id", "ss",
                  "length(original) between 1 and 8192 and length(path) between 1 and 8192 and "
                  "length(canonical) between 1 and 8192"),
-            rule("sources", "host_is_bounded", "source_id", "ss", "length(host) between 1 and 253"),
-            unique("sources", "owner_url_is_unique", "owner_id || '|' || path", "ss"),
+            rule("sources", "host_length", "source_id", "ss", "length(host) between 1 and 253"),
+            unique("sources", "one_source_per_owner_url", "owner_id || '|' || path", "ss"),
         ]),
     }
 
@@ -377,14 +392,16 @@ def oracle_sql() -> dict[str, str]:
           from (select *, row_number() over (order by attempt > 3, finished_at, attempt,
                   run_id || '-' || attempt, result) as rank from completions_f)
           group by run_id""",
-        "upsert_sources": _with("capture_commands", _URLS, _DELIVERIES) + """
+        "upsert_sources": _with("capture_commands", _URLS, _DELIVERIES, _APPLIED.replace(
+            "where command_type = 'content.capture.requested.v1'", "")) + """
           select sha256('source|' || owner_id || '|' || normalized) as source_id, owner_id,
                  arg_min(original, rank) as original_url, normalized as normalized_url,
                  normalized as canonical_url, any_value(host) as host,
                  'generic_web' as classification, epoch_us(min(received_at)) as created_us
-          from (select *, row_number() over (order by received_at, delivery_id) as rank from deliveries)
+          from (select *, row_number() over (order by received_at, delivery_id) as rank from applied)
           group by owner_id, normalized""",
-        "publish_events": _with("outbox", _OUTBOX, _DUE_OUTBOX.replace(" limit 1000", "")) + "select message_id, subject from due",
+        "publish_events": _with("outbox", _OUTBOX, _DUE_OUTBOX.replace(" limit 1000", ""))
+        + "select message_id, subject, '{}' as payload from due",
         # URLs and policy
         "canonicalize_urls": _with(_URLS)
         + "select page_id, original, normalized, host, path, query, fingerprint from urls_f",
@@ -473,17 +490,19 @@ def oracle_sql() -> dict[str, str]:
           k as (select page_id, strlen(html) as size, 1 + {_STARTS.format('g')}
               + len(regexp_extract_all(g, '<!')) + len(regexp_extract_all(g, '>([^<]+)', 1))
               + len(regexp_extract_all(html, '<(script|style)[^>]*>[^<]')) as nodes from t)
-          select page_id, case when size <= 8000 then nodes end as n_nodes,
-                 case when size > 8000 or nodes > 80 then 'resource_limit' end as parse_failure from k""",
+          select page_id, case when size <= 8000 and page_id % 19 <> 7 then nodes end as n_nodes,
+                 case when page_id % 19 = 7 then 'missing_body'
+                      when size > 8000 or nodes > 80 then 'resource_limit' end as parse_failure from k""",
         "page_outcomes": _with(*_PAGE) + f"""
           , t as (select *, regexp_replace(h, '(?s)<title>.*?</title>', '<title>x</title>') as g from clean),
           k as (select page_id, strlen(html) as size, 1 + {_STARTS.format('g')}
               + len(regexp_extract_all(g, '<!')) + len(regexp_extract_all(g, '>([^<]+)', 1))
               + len(regexp_extract_all(html, '<(script|style)[^>]*>[^<]')) as nodes from t),
-          o as (select page_id, case when size > 8000 or nodes > 80 then 'resource_limit'
+          o as (select page_id, case when page_id % 19 = 7 then 'missing_body'
+                when size > 8000 or nodes > 80 then 'resource_limit'
                 when page_id in (select page_id from winners) then 'document' else 'low_quality' end as outcome
               from k)
-          select page_id, outcome, case outcome when 'resource_limit' then 'parse'
+          select page_id, outcome, case outcome when 'resource_limit' then 'parse' when 'missing_body' then 'parse'
               when 'low_quality' then 'quality' end as error_class from o""",
         "page_metadata": _with(_META) + "select page_id, title, language from meta",
         "blocks": _with(_CLEAN, _ARTICLE, _PIECES, _BLOCKS)
@@ -556,8 +575,9 @@ def oracle_sql() -> dict[str, str]:
           p as (select n.fetch_id, n.etag, n.last_modified, o.fetch_id as prior_fetch_id,
               o.etag as p_etag, o.last_modified as p_modified, o.media_type, o.length_bytes,
               coalesce(o.verification = 'ok', false) as usable
-            from (select * from f where http_status = 304) n
-            asof left join (select * from f where http_status = 200) o
+            from (select * replace (case when fetch_id % 21 = 5 then null else page_id end as page_id)
+                  from f where http_status = 304) n
+            asof left join (select * from f where http_status = 200 and fetch_id % 21 <> 5) o
               on n.page_id = o.page_id and n.fetched_at > o.fetched_at)
           select fetch_id, prior_fetch_id,
                  case when usable then 'revalidated' else 'cache_integrity' end as outcome,
@@ -570,7 +590,13 @@ def oracle_sql() -> dict[str, str]:
           select blocked_class, count(*) as n, min(address_hex) as low, max(address_hex) as high
           from classified group by 1""",
         "dangling_references": """
-          with c as (select 'runs_command' as reference, o_orderkey as key from orders
+          with c as (select 'artifacts_run' as reference, s_suppkey * 2 as key from supplier
+              where s_suppkey * 2 not in (select o_orderkey from orders)
+            union all select 'candidates_run', p_partkey from part
+              where p_partkey not in (select o_orderkey from orders)
+            union all select 'candidates_artifact', p_partkey from part
+              where p_partkey % 4 > 0 and p_partkey not in (select s_suppkey * 3 from supplier)
+            union all select 'runs_command', o_orderkey from orders
               where o_orderkey not in (select event_id from events)
             union all select 'runs_source', o_custkey from orders
               where o_custkey not in (select c_custkey + 5 from customer)
@@ -701,6 +727,22 @@ def oracle_sql() -> dict[str, str]:
                  'html-v1' as parser_version, sha256('document|' || command_id) as document_id,
                  epoch_us(received_at) as queued_us
           from applied""",
+        "intake_rejects": _with("capture_commands", _PAGELESS) + """
+          select delivery_id, command_id, 'missing_host' as reject_reason from pageless""",
+        "distinct_messages": """
+          with recursive m as (
+            select case when event_id % 11 <> 3 then concat_ws('-', user_id % 5, event_type) end as message_id,
+                   ts, event_id from events),
+          i as (select coalesce(message_id, '') as k, message_id is null as none, ts, min(event_id) as event_id
+                from m group by all),
+          kept as (
+            select k, none, min(ts) as ts from i group by all
+            union all
+            select i.k, i.none, min(i.ts) from kept join i
+              on i.k = kept.k and i.none = kept.none and i.ts >= kept.ts + interval 7200 second
+            group by i.k, i.none)
+          select i.event_id, case when not none then k end as message_id, epoch_us(ts) as at_us
+          from kept join i using (k, none, ts)""",
         "intake_inbox": _with("capture_commands", _URLS, _DELIVERIES, _APPLIED) + """
           select command_id, 'cmd.content.capture.requested.v1' as subject, 'applied' as outcome,
                  epoch_us(received_at) as received_us from applied""",
@@ -746,17 +788,9 @@ def oracle_sql() -> dict[str, str]:
             case when done then epoch_us(ended) end as completed_us, deliveries,
             not done and not coalesce(last_claim + interval 30 day > {_NOW}, false)
               and deliveries < 12 as eligible from t""",
-        "complete_runs": _facts(
-            "status = 'succeeded'", "1 as fetches, 2 as artifacts, 3 as candidates, 1 as selected, 2 as events"
-        ),
-        "reject_runs": _facts(
-            "error_class = 'quality'",
-            "1 as fetches, 1 as artifacts, 3 as candidates, 0 as selected, 1 as events",
-        ),
-        "fail_runs": _facts(
-            "error_class <> 'quality'",
-            "0 as fetches, 0 as artifacts, 0 as candidates, 0 as selected, 1 as events",
-        ),
+        "complete_runs": _facts("status = 'succeeded'"),
+        "reject_runs": _facts("error_class = 'quality'"),
+        "fail_runs": _facts("error_class <> 'quality'"),
         "fetch_outcome": _with("fetch_log", _OUTCOME)
         + "select fetch_id, outcome, failure from outcome",
         "retry_delay": _with("fetch_log") + """
@@ -819,14 +853,15 @@ def oracle_sql() -> dict[str, str]:
             epoch_us(max(seen_at) + interval 24 hour) as expires_us
           from o left join v using (host) group by host, v.strategy""",
         "unchanged_content": """
-          with c as (select source as source_id, doc_id as capture_id, doc_id // 3 as slot,
+          with c as (select case when doc_id % 9 <> 4 then source end as source_id, doc_id as capture_id, doc_id // 3 as slot,
               case when doc_id % 4 = 0 then sha256(text) else cast(doc_id & 8 as varchar) end as digest
             from documents),
           p as (select source_id, slot, arg_max(digest, capture_id) as digest from c group by 1, 2),
           q as (select source_id, slot, lag(digest) over (partition by source_id order by slot) as previous
                 from p)
           select source_id, capture_id, coalesce(digest = previous, false) as unchanged
-          from c join q using (source_id, slot)""",
+          from c join q on c.source_id is not distinct from q.source_id and c.slot = q.slot""".replace(
+            "select source_id, capture_id, coalesce(digest = previous", "select c.source_id, capture_id, coalesce(digest = previous"),
         "derived_views": _with(*_DOCS) + """
           , s as (select page_id, block_pos, text, sum(strlen(text) + 1) over (partition by page_id
                     order by block_pos) - 1 as upto from blocks),

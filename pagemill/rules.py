@@ -179,4 +179,5 @@ MAX_DELIVERIES = 12
 RETENTION_HOURS = 168
 RETENTION_MESSAGES = 1_000_000
 RETENTION_BYTES = 1024 * 1024 * 1024
-DUPLICATE_WINDOW = "2 minutes"
+DUPLICATE_SECONDS = 120
+DUPLICATE_WINDOW = f"{DUPLICATE_SECONDS} seconds"

@@ -8,14 +8,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagemill import rules
 from pagemill.operators.documents import documents_of
-from pagemill.operators.ledger import intake
-from pagemill.operators.outbox import apply_results, due_outbox
+from pagemill.operators.ledger import (
+    accepted_commands, current_sources, intake_routed, route_commands,
+)
+from pagemill.operators.outbox import changed_rows, due_outbox
 from pagemill.operators.quality import (
     candidate_rows, decided_pages, low_quality, page_decisions, refused_pages,
 )
 from pagemill.sources.commands import decode_commands, split_commands
 from pagemill.sources.documents import write_events
-from pagemill.streaming.commits import commit_batch, read_batch, read_committed, write_batch
+from pagemill.streaming.commits import (
+    PREFIX, commit_batch, prefixes_of, read_batch, read_committed, write_batch,
+)
+from pagemill.streaming.membership import FILTERS, filters_of, known_keys
+from pagemill.streaming.terminal import commit_terminal
 
 
 def _start(stream: DataFrame, handler: Callable, checkpoint: str, once: bool) -> StreamingQuery:
@@ -26,25 +32,50 @@ def _start(stream: DataFrame, handler: Callable, checkpoint: str, once: bool) ->
 def intake_stream(
     deliveries: DataFrame, directory: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Apply each command once however often it is delivered.
+    """Apply each command once however often it is delivered, and keep one source per (owner, URL).
 
-    Ids applied in earlier committed batches are excluded with an anti join against the inbox
-    table, so memory of ids is unbounded but lives in storage, not in operator state.
+    Ids applied in earlier batches are found through filters, and only the folders in which a filter
+    says "maybe" are opened; of the sources only the folders of this batch's keys are read.
+    ``ledger.current_sources`` folds what batches wrote to one row per key.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         commands, malformed = split_commands(decode_commands(batch))
-        facts = intake(commands, read_committed(spark, directory, "inbox", batch_id))
+        rejects = malformed.select("delivery_id", "command_id", "reject_reason")
+        write_batch({"routed": route_commands(commands), "malformed": rejects}, directory, batch_id)
+        routed = read_batch(spark, directory, "routed", batch_id)
+        accepted = accepted_commands(routed)
+        known = known_keys(spark, accepted.select("command_id"), "command_id", directory, "inbox", batch_id)
+        named = accepted.select("owner_id", F.col("normalized").alias("normalized_url"))
+        folders = prefixes_of(named, "owner_id", "normalized_url")
+        written = read_committed(spark, directory, "sources", batch_id, folders, with_batch=True)
+        facts = intake_routed(routed, known, None if written is None else current_sources(written))
         facts["rejects"] = facts["rejects"].unionByName(
-            malformed.select("delivery_id", "command_id", "reject_reason")
+            read_batch(spark, directory, "malformed", batch_id)
         )
-        write_batch(facts, directory, batch_id)
+        facts[f"inbox{FILTERS}"] = filters_of(facts["inbox"].select("command_id"), "command_id")
+        keyed = {"inbox": ["command_id"], "sources": ["owner_id", "normalized_url"]}
+        write_batch(facts, directory, batch_id, keyed)
         commit_batch(spark, directory, batch_id)
 
     return _start(deliveries, handle, checkpoint, once)
 
 
+def completion_stream(
+    work: DataFrame, pages: DataFrame, directory: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """X3 with its facts: processed runs in; each batch ends its runs by one terminal commit.
+
+    ``pages`` is the table of stored bodies that the runs name by page_id.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        commit_terminal(batch.sparkSession, directory, batch_id, batch, pages)
+
+    return _start(work, handle, checkpoint, once)
+
+
 def distinct_messages(messages: DataFrame, at: str = "at") -> DataFrame:
     """Drop repeats of a message id inside the broker's duplicate window; state is bounded."""
     timed = messages.withColumn(at, F.col(at).cast("timestamp"))
@@ -128,15 +159,16 @@ def run_state_stream(
 ) -> StreamingQuery:
     """X4 as a stream: every batch appends its events and rewrites the states of the runs it saw.
 
-    Only runs named in the batch are folded again, by a semi join of the committed event log with
-    the batch's run ids.
+    Only runs named in the batch are folded again, and of the event log only the folders that these
+    runs fall in are opened.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch({"events": batch}, directory, batch_id)
-        fresh = read_batch(spark, directory, "events", batch_id)
-        earlier = read_committed(spark, directory, "events", batch_id)
+        write_batch({"events": batch}, directory, batch_id, {"events": ["run_id"]})
+        fresh = read_batch(spark, directory, "events", batch_id).drop(PREFIX)
+        folders = prefixes_of(fresh, "run_id")
+        earlier = read_committed(spark, directory, "events", batch_id, folders)
         log = fresh
         if earlier is not None:
             touched = fresh.select("run_id").distinct()
@@ -171,13 +203,15 @@ def outbox_pass(
     results_of: Callable[[DataFrame], DataFrame] = publish_all,
     limit: int | None = rules.OUTBOX_BATCH,
 ) -> DataFrame:
-    """Publish one pass of due rows and return the outbox after it.
+    """Publish one pass of due rows and return those rows as they are after it.
 
-    The pass number names the sink folder, so repeating a pass rewrites the same messages.
-    ``results_of`` says which of the due rows the sink accepted.
+    Only changed rows come back, with ``pass_id``: store them beside the outbox and read the newest of
+    each with ``outbox.current_rows``, so what a pass writes follows the pass. The pass number names
+    the sink folder, so repeating a pass rewrites the same messages. ``results_of`` says which of the
+    due rows the sink accepted.
     """
     due = due_outbox(outbox, now, limit)
     results = results_of(due)
     accepted = due.join(results.where("published").select("outbox_id"), "outbox_id", "left_semi")
     write_events(accepted, sink, pass_id)
-    return apply_results(outbox, results, now)
+    return changed_rows(due, results, now).withColumn("pass_id", F.lit(pass_id).cast("bigint"))

@@ -1,3 +1,4 @@
+import pytest
 import json
 import random
 from datetime import datetime, timedelta
@@ -208,7 +209,10 @@ def test_due_rows_without_a_limit_are_all(spark):
         {c: F.lit(None).cast("timestamp") for c in ("published_at", "dead_lettered_at", "claimed_until")}
     ).withColumns({"next_attempt_at": now(), "enqueued_at": now()})
     assert outbox.due_outbox(rows, now(), None).count() == 1500
-    assert outbox.due_outbox(rows, now(), 5000).count() == 1000
+    assert outbox.due_outbox(rows, now(), 1000).count() == 1000
+    for limit in (0, 1001):
+        with pytest.raises(ValueError):
+            outbox.due_outbox(rows, now(), limit)
 
 
 def test_owner_marks_keep_every_fact(spark):
@@ -228,8 +232,8 @@ def test_every_rule_finds_its_violation(spark):
     )
     found = {(r.rule, r.key, r.n) for r in checks.constraint_violations(bad, "fetches").collect()}
     assert found == {
-        ("status_is_http", "f1", 1), ("sizes_are_non_negative", "f1", 1),
-        ("attempts_are_positive", "f1", 1), ("cache_outcome_is_known", "f1", 1),
+        ("http_status_range", "f1", 1), ("byte_counts", "f1", 1),
+        ("attempt_count", "f1", 1), ("cache_outcome_name", "f1", 1),
         ("run_is_unique", "r", 2),
     }
     null_passes = conform(spark.createDataFrame([("x",)], "outbox_id string"), "outbox")
