@@ -15,11 +15,13 @@ is wrong raises an error on reading; other columns do not matter.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,17 @@ from pagemill.llm.text import boxed, chunks, text_of
 
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
-MEMO = 400_000
-#: Fixed value: the split pattern of the byte-level vocabulary file.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+#: Bytes of remembered units and words in each worker, per generation, and the cost of an entry besides its text.
+UNIT_BYTES, WORD_BYTES, ENTRY, LONGEST = 90_000_000, 30_000_000, 180, 64
+#: Python's \s holds every Unicode white space.
+NEIGHBOURS = re.compile(r"\s\s").search
+UNITS = re.compile(r"\n| ?[^ \n]+| ").findall
+#: Latin letters beyond ASCII that every version of Unicode calls letters.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+KNOWN = re.compile(f"[\\x00-\\x7f{LATIN}]*").fullmatch
+#: Fixed value: the split rule of byte-level vocabularies, for such letters and no neighbouring white space.
+PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z{LATIN}]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9{LATIN}]+|[\t-\r ]").findall
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def masked(data: bytes) -> int:
@@ -59,54 +68,82 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to ids as little-endian uint32. Words between single spaces or line ends are encoded
-    apart, which the split pattern allows, and remembered up to a bound; other texts go whole."""
-    if path in _ENCODERS:
-        return _ENCODERS[path]
-    import regex
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    model, split = whole.model, regex.compile(PRETOKEN).findall
-    marked = [t.content for t in whole.get_added_tokens_decoder().values()]
-    special = re.compile("|".join(map(re.escape, marked)) or r"(?!)").search
-    table = byte_letters()
-    words: dict[str, bytes] = {}
-    units: dict[str, bytes] = {}
-
-    def word(text: str) -> bytes:
-        got = words.get(text)
+class Memo:
+    """Known encodings in two generations: when the young one reaches ``bound`` bytes it becomes the old
+    one, and what is asked for again moves back. Long keys are not kept."""
+
+    def __init__(self, bound: int) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bound, self.size = bound, 0
+
+    def put(self, key: str, value: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            self.size += ENTRY + len(key) + len(value)
+            if self.size > self.bound:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young[key] = value
+        return value
+
+
+class Encoder:
+    """Text to ids as little-endian uint32, by the tokenizers library.
+
+    A byte-level vocabulary without normalizer is cut before it is encoded, where that is proven safe:
+    in a text without neighbouring white space, before every space and around every line end, since
+    both have a non-space on each side there. Units of ASCII and Latin letters are cut again by that
+    part of the library's own split rule. Units are remembered within a bound of bytes. Any other text
+    or unit goes to the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        described = json.loads(self.whole.to_str())
+        cut = described["pre_tokenizer"] or {}
+        plain = {"unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+        self.safe = (
+            (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+            and described["normalizer"] is None
+            and described["model"]["type"] == "BPE"
+            and not described["model"]["dropout"]
+            and all(described["model"][k] == v for k, v in plain.items())
+        )
+        marked = [t["content"] for t in described["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, marked)) or r"(?!)").search
+        self.units, self.words = Memo(UNIT_BYTES), Memo(WORD_BYTES)
+        self.letters = byte_letters()
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, text: str) -> bytes:
+        got = self.words.young.get(text) or self.words.old.get(text)
         if got is None:
-            if len(words) >= MEMO:
-                words.clear()
-            mapped = "".join([table[b] for b in text.encode()])
-            got = words[text] = np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
-        return got
-
-    def unit(text: str) -> bytes:
-        if len(units) >= MEMO:
-            units.clear()
-        got = units[text] = b"".join(map(word, split(text)))
-        return got
-
-    line_end = unit("\n")
-
-    def encode(text: str) -> bytes:
-        if special(text):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return b"".join(map(word, split(text)))
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            found = [units.get(first) or unit(first)]
-            found += [units.get(u) or unit(u) for u in map(" ".__add__, rest)]
-            lines.append(b"".join(found))
-        return line_end.join(lines)
-
-    _ENCODERS[path] = encode
-    return encode
+            mapped = "".join([self.letters[b] for b in text.encode()])
+            got = np.array([t.id for t in self.whole.model.tokenize(mapped)], "<u4").tobytes()
+        return got if text in self.words.young else self.words.put(text, got)
+
+    def _unit(self, text: str) -> bytes:
+        got = self.units.old.get(text)
+        if got is None:
+            got = b"".join(map(self._word, PARTS(text))) if KNOWN(text) else self._library(text)
+        return self.units.put(text, got)
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.safe or NEIGHBOURS(text) or self.special(text):
+            return self._library(text)
+        get, unit = self.units.young.get, self._unit
+        return b"".join([get(u) or unit(u) for u in UNITS(text)])
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def byte_letters() -> list[str]:
@@ -129,6 +166,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc
         system, inner = opened(folder)
         system.create_dir(inner, recursive=True)
         at, before, tail, out = 0, 0, struct.pack("<I", end), None
+        # Nothing here makes cycles, and a collector that walks the memo costs a third of the time.
+        gc.disable()
         for keys, texts in chunks(batches, "id", "text"):
             out = out or system.open_output_stream(f"{inner}/{name}")
             rows = []
@@ -144,6 +183,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "shard", "file", "at", "length", "before", "n_tokens"])
         if out:
             out.close()
+        gc.enable()
 
     index = ordered.mapInArrow(each, f"id {kind.simpleString()}, shard int, file string, at long, length long, before long, n_tokens long")
     return written(index, f"{folder}/index")
@@ -178,7 +218,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 sums.append(zlib.crc32(np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], [*names, "ids_crc32"])
 
-    return index.mapInArrow(each, f"{index._jdf.schema().toDDL()}, ids_crc32 long")
+    return index.mapInArrow(each, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in index.schema), "ids_crc32 long"]))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", end: int = END_ID) -> DataFrame:

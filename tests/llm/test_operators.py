@@ -55,6 +55,29 @@ def test_encoder_splits_only_where_the_pattern_allows(text):
     assert np.frombuffer(records.encoder(path)(text), "<u4").tolist() == expect
 
 
+def test_encoder_equals_the_library_on_random_white_space():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.VOCABULARY)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    draw = np.random.default_rng(17)
+    letters = np.array([*"aBz1_'.,é×ñ日😀", " ", " ", "\n", "\n", *spaces])
+    texts = ["".join(draw.choice(letters, draw.integers(0, 16))) for _ in range(30_000)]
+    texts += ["Hello\n\u00a0 World", "don't we'll 'twas I'm12'd", "a\x1cb\x1f c", "x" * 500 + " y" * 500]
+    encode = records.encoder(path)
+    for text, made in zip(texts, Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encode(text), "<u4").tolist() == made.ids, repr(text)
+
+
+def test_memo_is_bounded_by_bytes():
+    memo = records.Memo(10_000)
+    for k in range(1000):
+        memo.put(f"key{k}", b"12345678")
+    assert len(memo.young) + len(memo.old) < 2 * 10_000 // records.ENTRY
+    memo.put("x" * 1000, b"1")
+    assert "x" * 1000 not in memo.young
+
+
 def test_broken_records_are_refused():
     good = records.frame(b"\x02ab")
     assert records.unframe(good) == b"\x02ab"
