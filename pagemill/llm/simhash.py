@@ -10,10 +10,11 @@ That needs a radius of two. No pairs of a bucket are listed.
 ``classes(..., similar=0.8)`` reaches further than the radius: it also joins texts whose sets of
 five-word shingles have that Jaccard similarity. Each distinct text has ``BANDS`` MinHash bands of
 ``DEPTH`` values; a pair of similarity 0.8 meets in one of them but for 3 in a million. Buckets of up to
-``SMALL`` texts compare all; fuller ones are held against ``TURNS`` leaders drawn by hash, then members
-outside a bucket's largest class meet all others of the bucket. Low bytes of the MinHash values tell
-which pairs can be as similar as asked (but for about 1 in 100 000), and the shingles themselves decide.
-Shingles are made for the texts of such pairs only, and no text is shuffled.
+``SMALL`` texts compare all; fuller ones are held against ``TURNS`` leaders drawn by hash, then members of
+buckets that still hold several classes meet by a prefix filter on their rarest shingles, which loses
+no pair and lets texts of one template that differ too much meet nowhere. Low bytes of the MinHash
+values tell which pairs can be as similar as asked (but for about 1 in 100 000), and the shingles
+themselves decide. Shingles are made for such texts only, and no text is shuffled.
 
 Defined results: null or empty text has fingerprint zero and links like any other; repeated rows
 share a class; a null id does not lend its id to a class that has others; an empty table gives an
@@ -22,11 +23,12 @@ empty table; other columns are carried by ``one_of_each``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -41,7 +43,6 @@ GRAM = 5
 BANDS, DEPTH = 32, 5
 SMALL = 16
 TURNS = 2
-SALT = 16
 SIMILAR = 0.8
 #: Equal MinHash values of 160 that a pair of similarity 0.8 has at least: 4.4 deviations below its mean.
 ALIKE = 106
@@ -159,7 +160,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     the longest chain. Only two numbers a round reach the driver.
     """
     frame, seen = written(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), f"{folder}/edges"), None
-    for turn in range(64):
+    for turn in itertools.count():
         both = frame.union(frame.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -230,17 +231,35 @@ def _rooted(full: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     return written(root, f"{folder}/rooted")
 
 
-def _apart(rooted: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of one bucket in different classes that may be similar: members outside the
-    bucket's largest class, in parts, against all members. The test is inside the join."""
+def _split(rooted: DataFrame) -> DataFrame:
+    """Members, one row per code, of the buckets that still hold several classes."""
     counts = rooted.groupBy("slot", "root").agg(F.count("*").alias("n"))
-    main = counts.groupBy("slot").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("m")).filter("m > 1")
-    salt = F.array(*map(F.lit, range(SALT)))
-    mixed = rooted.join(main, "slot").join(lanes, "code")
-    outside = mixed.filter(F.col("root") != F.col("main.root"))
-    outside = outside.select("slot", F.col("code").alias("src"), F.col("root").alias("own"), F.col("lanes").alias("l"), F.explode(salt).alias("part"))
-    every = mixed.select("slot", F.col("code").alias("dst"), "root", F.col("lanes").alias("r"), F.pmod(F.xxhash64("code"), F.lit(SALT)).cast("int").alias("part"))
-    pairs = outside.join(every, ["slot", "part"]).filter((F.col("own") != F.col("root")) & _alike("l", "r"))
+    several = counts.groupBy("slot").agg(F.count("*").alias("m")).filter("m > 1")
+    return rooted.join(several, "slot", "left_semi").select("code", "root").distinct()
+
+
+def _apart(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (src, dst) of members in different classes that may be similar, by a prefix filter.
+
+    The shingles of a text are ordered rarest first. Two texts as similar as asked share one among the
+    first of the shorter's ``1 - 2t / (1 + t)`` and of the longer's ``1 - t`` shingles, and at the first
+    one they share, what is left of both suffices for the overlap. So nothing is lost, and texts of one
+    template that differ too much meet nowhere: what they share comes after what is their own.
+    """
+    both = 2 * similar / (1 + similar)
+    grams_ = sets.join(members, "code").select("code", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    rarity = grams_.groupBy("gram").agg(F.count("*").alias("seen")).filter("seen > 1")
+    order = Window.partitionBy("code").orderBy(F.coalesce("seen", F.lit(1)), "gram")
+    placed = grams_.join(rarity, "gram", "left").withColumn("at", F.row_number().over(order) - 1)
+    # A shingle of one text takes a place and meets nothing.
+    placed = placed.filter(F.col("seen").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9)))
+    short = placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * both - 1e-9))
+    short = short.select("gram", F.col("code").alias("src"), F.col("root").alias("own"), F.col("n").alias("k"), F.col("at").alias("i"))
+    long_ = placed.select("gram", F.col("code").alias("dst"), "root", "n", "at")
+    ordered = (F.col("k") < F.col("n")) | ((F.col("k") == F.col("n")) & (F.col("src") < F.col("dst")))
+    left = F.least(F.col("k") - F.col("i"), F.col("n") - F.col("at"))
+    may = ordered & (F.col("k") >= F.col("n") * similar - 1e-9) & (left >= (F.col("k") + F.col("n")) * (both / 2) - 1e-9)
+    pairs = short.join(long_, "gram").filter((F.col("own") != F.col("root")) & may)
     return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
@@ -264,8 +283,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, key: str, similar: float, e
         pairs = root.join(heads, "slot").filter(F.col("root") != F.col("head.root"))
         pairs = pairs.select(F.least("code", "head.code").alias("src"), F.greatest("code", "head.code").alias("dst"))
         found = found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/turn{turn}"))
-    pairs = _apart(_rooted(full, found, f"{folder}/rest"), nodes.select("code", "lanes"))
-    return found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/rest"))
+    members = written(_split(_rooted(full, found, f"{folder}/rest")), f"{folder}/members")
+    chosen = nodes.select("code", "tie").join(members, "code", "left_semi")
+    sets = written(_grams(docs, key, chosen), f"{folder}/sets")
+    return found.union(_verified(_apart(members, sets, similar), nodes, docs, key, similar, f"{folder}/rest"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:

@@ -62,9 +62,54 @@ def test_similar_texts_beyond_the_radius_share_a_class(spark):
     assert sum((codes[a] ^ codes[b]).bit_count() <= simhash.RADIUS for a, b in pairs) < 0.5 * len(pairs)
 
 
-def test_members_apart_from_the_largest_class_meet_all_others(spark):
-    rows = [("s", 0, 0), ("s", 1, 0), ("s", 3, 3), ("s", 7, 7), ("s", -1, -1), ("t", 5, 5)]
-    lanes = spark.createDataFrame([(c, [0] * 20) for _, c, _ in rows], "code long, lanes array<long>")
-    pairs = simhash._apart(spark.createDataFrame(rows, "slot string, code long, root long"), lanes).distinct().collect()
-    # The largest class is that of 0 and 1; each of -1, 3 and 7 meets all that are not of its own class.
-    assert sorted(map(tuple, pairs)) == [(-1, 0), (-1, 1), (-1, 3), (-1, 7), (0, 3), (0, 7), (1, 3), (1, 7), (3, 7)]
+def test_the_prefix_filter_loses_no_similar_pair(spark):
+    """Random sets of many sizes and overlaps; classes alternate by fours."""
+    draw = np.random.default_rng(12)
+    base = [draw.choice(3000, 60, replace=False) for _ in range(4)]
+    sets = []
+    for k in range(90):
+        own = set(base[k % 4][: draw.integers(20, 61)].tolist())
+        sets.append(sorted(own | set((10_000 + draw.choice(200, draw.integers(0, 9))).tolist())))
+    frame = spark.createDataFrame([*enumerate(sets)], "code long, grams array<long>")
+    members = spark.createDataFrame([(k, k // 4 % 2) for k in range(90)], "code long, root long")
+    found = {tuple(r) for r in simhash._apart(members, frame, 0.8).distinct().collect()}
+    similar = set()
+    for a, b in itertools.combinations(range(90), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if a // 4 % 2 != b // 4 % 2 and len(x & y) >= 0.8 * len(x | y):
+            similar.add((a, b))
+    assert similar and similar <= found
+    assert all(a // 4 % 2 != b // 4 % 2 for a, b in found)
+
+
+def test_texts_of_one_template_below_the_similarity_meet_nowhere(spark):
+    """1000 texts that share 70 % of their shingles pairwise: linear, not a million pairs."""
+    shared = list(range(700))
+    own = lambda k: [10_000 + 1000 * k + i for i in range(150)]
+    frame = spark.createDataFrame([(k, shared + own(k)) for k in range(1000)], "code long, grams array<long>")
+    members = spark.createDataFrame([(k, k) for k in range(1000)], "code long, root long")
+    assert simhash._apart(members, frame, 0.8).count() == 0
+
+
+def test_a_template_group_gives_pairs_in_proportion(spark, monkeypatch):
+    """All candidate pairs of a whole run, counted where they are written."""
+    counts, verified = [], simhash._verified
+
+    def counting(pairs, nodes, docs, key, similar, folder):
+        found = verified(pairs, nodes, docs, key, similar, folder)
+        counts.append(spark.read.parquet(f"{folder}/pairs").count())
+        return found
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    words = [f"t{k}" for k in range(200)]
+    made = {}
+    for n in (150, 300):
+        counts.clear()
+        texts = []
+        for k in range(n):
+            text, at = list(words), (k * 37) % 160
+            text[at : at + 32] = [f"u{k}x{i}" for i in range(32)]
+            texts.append(" ".join(text))
+        assert len({r["component_id"] for r in simhash.classes(_docs(spark, texts), similar=0.8).collect()}) == n
+        made[n] = sum(counts)
+    assert made[300] < 3 * made[150]
