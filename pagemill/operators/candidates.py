@@ -15,6 +15,7 @@ from pagemill.operators.spans import closed_tags
 from pagemill.operators.tokens import token_arrays, token_text
 
 _PAGE_END = 1 << 40  # sorts after every token of a page
+_ROOT = -(1 << 41)  # sorts before every token of a page
 BLOCK_TYPE = "struct<kind:string,level:int,text:string>"
 
 
@@ -39,12 +40,16 @@ def _events(closed: DataFrame) -> DataFrame:
     body_key = F.col("body_pos").cast("bigint") * 2 - 1
     in_body = F.col("all_elements") - F.col("elements") + 1
     body = F.col("pos") == F.col("body_pos")
+    # The root holds the whole page: all elements, and html, head and body, which exist unwritten too.
+    in_root, root_key = F.col("all_elements") + 3, F.lit(_ROOT).cast("bigint")
     parts = F.array_compact(
         F.array(
             F.when(own_start & name.isin("p", "a", *rules.HEADINGS, *rules.CONTAINERS,
                                          *rules.BOILERPLATE),
                    event(start, "start", name, start, inside)),
             F.when(is_region, event(end, "end", name, start, inside)),
+            F.when(body, event(root_key, "start", F.lit("html"), root_key, in_root)),
+            F.when(body, event(F.lit(_PAGE_END + 1), "end", F.lit("html"), root_key, in_root)),
             F.when(body, event(body_key, "start", F.lit("body"), body_key, in_body)),
             F.when(body, event(F.lit(_PAGE_END), "end", F.lit("body"), body_key, in_body)),
             F.when(F.col("title").isNotNull() | F.col("language").isNotNull(),
@@ -109,7 +114,7 @@ def container_stats(pages: DataFrame) -> DataFrame:
     """(page_id, root, name, n_blocks, text, links, boilerplate, elements) per container."""
     return (
         _elements(closed_tags(token_arrays(pages)))
-        .where(F.col("name").isin(*rules.CONTAINERS, "body"))
+        .where(F.col("name").isin(*rules.CONTAINERS, "body", "html"))
         .select(
             "page_id", F.col("key").alias("root"), "name",
             (F.col("block_to") - F.col("block_from")).alias("n_blocks"),
@@ -125,7 +130,7 @@ def page_plans(arrays: DataFrame) -> DataFrame:
     its sizes, in the fixed order semantic, readability, density.
     """
     name = F.col("name")
-    root = name.isin(*rules.CONTAINERS, "body")
+    root = name.isin(*rules.CONTAINERS, "body", "html")
     net = F.greatest(
         F.greatest(F.col("text") - F.col("links"), F.lit(0)) - F.col("boilerplate"), F.lit(0)
     )

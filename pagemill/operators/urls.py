@@ -1,13 +1,14 @@
 """URL identity: canonical form, reject reason, fingerprint and source route.
 
 All of it is expressions on one row. Patterns follow the URL standard for the http and https
-schemes; host names outside ASCII are lowercased but not converted to their ASCII form.
+schemes; host names outside ASCII take their ASCII form (see ``functions.hosts``).
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import rules
+from pagemill.functions.hosts import ascii_host
 from pagemill.functions.net import address_hex_sql, hex_to_v6_sql
 
 _TRACKING = ", ".join(f"'{key}'" for key in rules.TRACKING_KEYS)
@@ -76,12 +77,12 @@ def canonicalize_urls(
             "_rawport": F.regexp_extract("_hostport", r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$", 2),
         }
     ).withColumn(
-        "_host",
+        "_unicode_host",
         F.expr(
             "lower(case when instr(_rawhost, '%') > 0 then try_url_decode(replace(_rawhost, '+', '%2B'))"
             " else _rawhost end)"
         ),
-    )
+    ).withColumn("_host", ascii_host(F.col("_unicode_host")))
     number = "(?:0x[0-9a-f]*|[0-9]+)"
     labels = "split(regexp_replace(_host, '[.]$', ''), '[.]')"
     value = (

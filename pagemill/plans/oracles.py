@@ -67,6 +67,10 @@ _LINKS = (
     f"lambda t: strlen({_words('t')}))), 0)"
 )
 _STATS = f"""stats as (
+  select page_id, 'html' as name, -1 as place, n as n_blocks, bytes as text,
+         {_LINKS.format(_BODY)} as links, 0 as boilerplate, {_STARTS.format('h')} as elements
+  from article join sizes using (page_id)
+  union all
   select page_id, 'body' as name, 0 as place, n as n_blocks, bytes as text,
          {_LINKS.format(_BODY)} as links, 0 as boilerplate, 1 + {_STARTS.format(_BODY)} as elements
   from article join sizes using (page_id)
@@ -509,7 +513,7 @@ def oracle_sql() -> dict[str, str]:
         + "select page_id, block_pos, kind, level, text from blocks",
         "containers": _with(_CLEAN) + """
           select page_id, name, len(regexp_extract_all(h, '<' || name || '[ >]')) as n
-          from (select page_id, h, unnest(['article', 'div', 'body']) as name from clean)
+          from (select page_id, h, unnest(['article', 'div', 'body', 'html']) as name from clean)
           where len(regexp_extract_all(h, '<' || name || '[ >]')) > 0""",
         "container_stats": _with(*_PAGE) + """
           select page_id, name, n_blocks, cast(text as bigint) as text, cast(links as bigint) as links,

@@ -14,3 +14,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_pages(spark: SparkSession, directory: str) -> DataFrame:
     return read_pages(spark, f"{directory}/pages.parquet")
+
+
+def write_bucketed(pages: DataFrame, name: str, buckets: int, path: str) -> DataFrame:
+    """Store pages as table ``name`` at ``path``, clustered on ``page_id``, and return the table.
+
+    The pages are shuffled once, here; every extraction job with ``partitioned=True`` then runs without
+    an exchange. Each bucket is one file per writing task, so the rows are dealt by bucket first.
+    """
+    spark = pages.sparkSession
+    dealt = pages.repartition(buckets, "page_id")
+    dealt.write.bucketBy(buckets, "page_id").sortBy("page_id").option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name).select("page_id", "url", "html")

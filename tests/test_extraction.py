@@ -11,7 +11,9 @@ from pagemill.operators.documents import (
 from pagemill.operators.quality import (
     candidate_rows, low_quality, page_decisions, select_winner,
 )
+from pagemill.plans.fixtures import table
 from pagemill.sources.documents import write_documents
+from pagemill.sources.pages import write_bucketed
 
 LONG_A = "Keepers of the harbour note wind, swell and the ships that pass before dawn each day. "
 LONG_B = "Their ledgers agree with the tide tables and show how quickly a storm can arrive here. "
@@ -243,7 +245,7 @@ def test_container_sizes_equal_a_tree_walk(spark):
     pages = spark.createDataFrame(
         [(i, f"<body>{_render(t)}</body>") for i, t in enumerate(trees)], "page_id long, html string"
     )
-    rows = container_stats(pages).where("name <> 'body'").collect()
+    rows = container_stats(pages).where("name not in ('body', 'html')").collect()
     found = {}
     for r in rows:
         found.setdefault(r.page_id, []).append(
@@ -281,3 +283,28 @@ def test_equal_documents_are_stored_once_over_all_writes(spark, tmp_path):
     write_documents(built, str(tmp_path / "store"))
     stored = spark.read.parquet(str(tmp_path / "store"))
     assert (stored.count(), stored.select("digest").distinct().count()) == (3, 3)
+
+
+def test_the_root_holds_the_whole_page(spark):
+    html = "<html><head><title>t</title></head><body><div><p>abc</p></div><a>x</a></body></html>"
+    bare = "<p>abc</p>"
+    pages = spark.createDataFrame([(1, html), (2, bare)], "page_id long, html string")
+    rows = {(r.page_id, r.name): r for r in container_stats(pages).collect()}
+    root = rows[1, "html"]
+    assert (root.n_blocks, root.text, root.links, root.elements) == (1, 3, 1, 7)
+    assert (rows[1, "body"].elements, rows[2, "html"].elements, rows[2, "body"].elements) == (4, 4, 2)
+
+
+def test_bucketed_pages_are_extracted_without_an_exchange(spark, sf, tmp_path):
+    """Pages that stand bucketed on page_id need no shuffle, of text or of anything else."""
+    pages = table(spark, sf, "pages")
+    stored = write_bucketed(pages, "bucketed_pages", 4, f"{tmp_path}/pages")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = build_documents(stored, partitioned=True)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, build_documents(pages).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("drop table bucketed_pages")

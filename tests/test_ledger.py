@@ -1,8 +1,8 @@
-import pytest
 import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill import rules

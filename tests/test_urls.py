@@ -1,5 +1,9 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from pagemill.functions.hosts import encoded_label
 from pagemill.operators.policy import classify_addresses, resolve_policy
 from pagemill.operators.urls import (
     canonicalize_urls, classify_sources, dedupe_by_fingerprint, fingerprint_groups,
@@ -108,3 +112,37 @@ def test_one_blocked_answer_blocks_the_lookup(spark):
         "ok": ("allow", None), "mixed": ("policy", "loopback"), "none": ("empty", None),
         "down": ("dns", None),
     }
+
+
+def test_label_codes_equal_the_standard_library(spark):
+    draw = random.Random(3)
+    letters = "abcxyz019-äöüßéñçøåλдж日本語中文ελ한국어😀ğşıשלום"
+    labels = ["bücher", "правда", "ü" * 30, "x" * 50 + "ü"]
+    labels += ["".join(draw.choices(letters, k=draw.randint(1, 40))) for _ in range(200)]
+    labels = [x for x in labels if not x.isascii()]
+    frame = spark.createDataFrame([(x,) for x in labels], "x string")
+    found = frame.select("x", encoded_label(F.col("x")).alias("code")).collect()
+    assert {r.x: r.code for r in found} == {x: x.encode("punycode").decode() for x in labels}
+
+
+def test_spellings_of_a_host_share_a_fingerprint(spark):
+    same = [
+        "https://bücher.example/a", "https://BÜCHER.example/a", "https://bücher.example/a",
+        "https://ｂücher。example/a", "https://xn--bcher-kva.example/a", "https://b%C3%BCcher.example/a",
+        "https://bü­cher.example/a",
+    ]
+    rows = [*enumerate(same), (90, "https://bucher.example/a"), (91, "https://a.日本語.jp:443")]
+    found = {r.page_id: r for r in canonicalize_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {found[k].normalized for k in range(len(same))} == {"https://xn--bcher-kva.example/a"}
+    assert len({found[k].fingerprint for k in range(len(same))}) == 1
+    assert found[90].fingerprint != found[0].fingerprint
+    assert found[91].host == "a.xn--wgv71a119e.jp" and found[91].reject_reason is None
+
+
+def test_absent_urls_have_no_host_and_long_paths_stay_whole(spark):
+    long_path = "/a/.." * 4000 + "/b" * 9000
+    rows = [(1, None), (2, "https://example.com" + long_path)]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r.page_id: r for r in canonicalize_urls(frame, max_url_bytes=100_000).collect()}
+    assert found[1].reject_reason == "missing_host"
+    assert found[2].path == "/b" * 9000
