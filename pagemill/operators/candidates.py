@@ -236,6 +236,10 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     ).select("page_id", "block_pos", "block.*")
 
 
-def page_metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, language, recovery) per page."""
-    return page_candidates(pages).select("page_id", "title", "language", "recovery")
+def page_metadata(pages: DataFrame, **limits) -> DataFrame:
+    """(page_id, title, language, recovery) per page; no block text is built or exchanged twice."""
+    arrays = token_arrays(pages, **limits)
+    facts = page_plans(arrays).select("page_id", "title", "language", "recovery")
+    return arrays.select("page_id").join(facts, "page_id", "left").select(
+        "page_id", "title", "language", F.coalesce("recovery", F.lit(False)).alias("recovery")
+    )

@@ -11,22 +11,29 @@ from pagemill.functions.plan import kept_on_disk
 GATE_MARKERS = ("sign in", "log in", "cookies", "subscribe", "consent")
 
 
-def host_strategy(observations: DataFrame, ttl_hours: int = 24) -> DataFrame:
+def host_strategy(observations: DataFrame, ttl_hours: int = 24, accuracy: int | None = None) -> DataFrame:
     """One row per host: preferred strategy, success and escalation rates per mille, median
     quality, p50/p95 latency in ms, last failure class and expiry.
 
     Input: (host, at, observation_id, strategy, score, duration_ms, escalated, failure_class).
-    Percentiles keep one counter per distinct integer, at most 1001 scores and 30000 latencies, and
+    Exact percentiles keep one counter per distinct value of a host. Scores are at most 1001 values;
+    latencies are as many as the log holds, which is little where they are whole milliseconds of fetches
+    with a deadline. For any other log give ``accuracy``: percentiles then come from mergeable sketches
+    of about that many entries per host, and their rank is off by at most 1/accuracy of the rows. Both
     combine before the shuffle, so a host with a third of all rows is no special case.
     """
     ok = F.col("failure_class").isNull()
+
+    def quantile(value: Column | str, share: float) -> Column:
+        return F.percentile(value, share) if accuracy is None else F.percentile_approx(value, share, accuracy).cast("double")
+
     totals = observations.groupBy("host").agg(
         F.count("*").alias("n"),
         F.count_if(ok).alias("successes"),
         F.count_if("escalated").alias("escalations"),
-        F.percentile(F.when(ok, F.col("score")), 0.5).alias("median_quality"),
-        F.percentile("duration_ms", 0.5).alias("p50_ms"),
-        F.percentile("duration_ms", 0.95).alias("p95_ms"),
+        quantile(F.when(ok, F.col("score")), 0.5).alias("median_quality"),
+        quantile("duration_ms", 0.5).alias("p50_ms"),
+        quantile("duration_ms", 0.95).alias("p95_ms"),
         F.max(F.when(~ok, F.struct("at", "observation_id", "failure_class")))["failure_class"].alias(
             "last_failure_class"
         ),

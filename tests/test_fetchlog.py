@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import blobs, fetchlog, metrics, redirects
+from pagemill.operators import blobs, derived, fetchlog, metrics, redirects
 
 T0 = datetime(2024, 5, 1)
 
@@ -231,3 +231,35 @@ def test_audit_keeps_fetches_without_host_or_start(spark):
     )
     found = {r["fetch_id"]: (r["in_flight_host"], r["in_flight_all"]) for r in fetchlog.concurrency_audit(log).collect()}
     assert found == {1: (0, 0), 2: (1, 1), 3: (0, 1), 4: (None, None), 5: (0, 1)}
+
+
+def test_sketched_percentiles_stay_within_their_rank_error(spark):
+    n, accuracy = 60_000, 200
+    log = spark.range(n).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('h', id % 7)) as host", "timestamp_seconds(id) as at", "id as observation_id",
+        "'semantic' as strategy", "cast(id % 1001 as int) as score", "(id * 7919) % 1000003 as duration_ms",
+        "false as escalated", "cast(null as string) as failure_class",
+    )
+    rows = {r.host: r for r in derived.host_strategy(log, accuracy=accuracy).collect()}
+    values = {}
+    for r in log.select("host", "duration_ms").collect():
+        values.setdefault(r.host, []).append(r.duration_ms)
+    for host, mine in values.items():
+        for share, found in ((0.5, rows[host].p50_ms), (0.95, rows[host].p95_ms)):
+            rank = sum(v <= found for v in mine) / len(mine)
+            assert abs(rank - share) <= 1 / accuracy + 2 / len(mine)
+
+
+def test_captures_and_answers_without_a_key_keep_their_row(spark):
+    captures = spark.createDataFrame(
+        [(None, 1, 10, "a"), (None, 2, 20, "a"), ("s", 3, 10, "a"), ("s", 4, None, "a"), ("", 5, 30, "a")],
+        "source_id string, capture_id int, second int, digest string",
+    ).selectExpr("source_id", "capture_id", "timestamp_seconds(second) as at", "digest")
+    found = {r.capture_id: r.unchanged for r in derived.unchanged_content(captures).collect()}
+    assert found == {1: False, 2: True, 3: False, 4: False, 5: False}
+    columns = "fetch_id long, url string, second long, http_status int, etag string, last_modified string, owner_service string, digest_algorithm string, digest_hex string, media_type string, length_bytes long"
+    rows = [(1, None, 5, 304), (2, "u", None, 304), (3, "u", 9, 304), (4, None, 1, 200)]
+    log = spark.createDataFrame([(*r, None, None, "web-extract", "sha256", "0" * 64, "text/html", 3) for r in rows], columns)
+    stored = spark.createDataFrame([("0" * 64, 3)], "digest_hex string, stored_bytes long")
+    out = fetchlog.revalidate(log.selectExpr("*", "timestamp_seconds(second) as fetched_at"), stored).collect()
+    assert {r.fetch_id: r.outcome for r in out} == {1: "cache_integrity", 2: "cache_integrity", 3: "cache_integrity"}

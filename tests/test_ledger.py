@@ -280,3 +280,18 @@ def test_event_times_are_utc_in_any_session_zone(spark):
             assert [r["t"] for r in shown.collect()] == expected, name
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rules_that_cannot_be_tested_say_so(spark):
+    sources = spark.createDataFrame([("s", "o", "u", "u", "u")], "source_id string, owner_id string, original_url string, normalized_url string, canonical_url string")
+    rows = checks.constraint_violations(sources, "sources").collect()
+    assert [(r.rule, r.key, r.n) for r in rows] == [("host_length", checks.NOT_TESTED, None)]
+    tables = {
+        "runs": spark.createDataFrame([("r", "c")], "run_id string, command_id string"),
+        "inbox": spark.createDataFrame([("c",)], "command_id string"),
+        "fetches": spark.createDataFrame([("r",), ("x",), ("x",), (None,)], "run_id string"),
+    }
+    found = {(r.reference, r.key): r.n for r in checks.dangling_references(tables).collect()}
+    assert found[("fetches_run", "x")] == 2
+    lacking = {name for name, *_ in checks.REFERENCES} - {"runs_command", "fetches_run"}
+    assert {k for k, v in found.items() if v is None} == {(name, checks.NOT_TESTED) for name in lacking}
