@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill import rules
 from pagemill.functions.plan import once
 from pagemill.operators.spans import closed_tags
-from pagemill.operators.tokens import token_arrays, token_text
+from pagemill.operators.tokens import own_tokens, source_of, token_arrays, token_text
 
 _PAGE_END = 1 << 40  # sorts after every token of a page
 _ROOT = -(1 << 41)  # sorts before every token of a page
@@ -191,13 +191,15 @@ def page_candidates(
     partitioned: bool = False,
     max_dom_nodes: int = rules.MAX_DOM_NODES,
 ) -> DataFrame:
-    """(page_id, title, language, recovery, blocks, candidates): the shared page-level row.
+    """(page_id, title, language, recovery, blocks, candidates, source): the shared page-level row.
 
-    Both sides of the join read the same exchange of token arrays, so pages are read, cut and
-    shuffled once; text travels only on the side that does not sort.
+    Both sides of the join read the same exchange of token arrays, so pages are read, cut, hashed and
+    shuffled once; text travels only on the side that does not sort. ``source`` is the digest and
+    length of the page's bytes.
     """
-    arrays = token_arrays(pages, max_input_bytes, partitioned, max_dom_nodes)
-    plans = page_plans(arrays)
+    arrays = token_arrays(pages, max_input_bytes, partitioned, max_dom_nodes, with_source=True)
+    tokens = own_tokens(F.col("tokens"))
+    plans = page_plans(arrays.withColumn("tokens", tokens))
     empty = [
         F.struct(
             F.lit(priority).alias("priority"),
@@ -212,10 +214,11 @@ def page_candidates(
     block = lambda span: F.struct(
         span["kind"].alias("kind"),
         span["level"].alias("level"),
-        _span_text(span, F.col("tokens")).alias("text"),
+        _span_text(span, F.col("own")).alias("text"),
     )
+    texts = arrays.select("page_id", tokens.alias("own"), source_of(F.col("tokens")).alias("source"))
     return once(
-        arrays.join(plans, "page_id", "left"),
+        texts.join(plans, "page_id", "left"),
         ["page_id"],
         [
             F.col("title"),
@@ -225,6 +228,7 @@ def page_candidates(
                 F.transform("spans", block), F.array().cast(f"array<{BLOCK_TYPE}>")
             ).alias("blocks"),
             F.coalesce("candidates", F.array(*empty)).alias("candidates"),
+            F.col("source"),
         ],
     )
 

@@ -137,20 +137,17 @@ def escalation_flags(decisions: DataFrame) -> DataFrame:
     )
 
 
-def page_features(documents: DataFrame, sizes: DataFrame) -> DataFrame:
-    """P5: (page_id, n_blocks, duplicate_share, text_share, gate_markers), shares per mille.
-
-    ``sizes`` has (page_id, length_bytes) of the source, for example ``source_blobs``.
-    """
+def page_features(documents: DataFrame) -> DataFrame:
+    """P5: (page_id, n_blocks, duplicate_share, text_share, gate_markers), shares per mille of the blocks
+    and of the source's bytes; a narrow job."""
     texts = F.transform("blocks", lambda b: b["text"])
     gate = F.filter(
         "texts",
         lambda t: F.lower(t).rlike("|".join(GATE_MARKERS)),
     )
     return (
-        documents.join(sizes.select("page_id", "length_bytes"), "page_id")
-        .select(
-            "page_id", "length_bytes", texts.alias("texts"),
+        documents.select(
+            "page_id", F.col("source.length_bytes").alias("length_bytes"), texts.alias("texts"),
             F.aggregate(
                 "blocks", F.lit(0).cast("bigint"), lambda n, b: n + F.octet_length(b["text"])
             ).alias("text_bytes"),

@@ -20,6 +20,7 @@ def documents_of(decisions: DataFrame) -> DataFrame:
         F.col("chosen.strategy").alias("strategy"),
         F.col("chosen.score").alias("score"),
         candidate_blocks(F.col("chosen"), F.col("blocks")).alias("blocks"),
+        "source",
     ).withColumn("content_digest", F.sha2(F.to_json("blocks"), 256))
 
 
@@ -39,27 +40,33 @@ def source_blobs(pages: DataFrame, owner: str = rules.OWNER_SERVICE) -> DataFram
     )
 
 
-def provenance(documents: DataFrame, blobs: DataFrame) -> DataFrame:
-    """One row per block naming the strategy and the source blob it came from."""
-    return (
-        documents.join(blobs.select("page_id", "digest_hex"), "page_id")
-        .select("page_id", "strategy", "digest_hex", F.posexplode("blocks").alias("block_index", "b"))
-        .select("page_id", "block_index", "strategy", F.col("digest_hex").alias("blob_digest"))
+def blobs_of(decisions: DataFrame, owner: str = rules.OWNER_SERVICE) -> DataFrame:
+    """``source_blobs`` of the parsed pages, from the digests their page rows carry."""
+    return decisions.select(
+        "page_id",
+        F.lit(owner).alias("owner_service"),
+        F.lit("sha256").alias("digest_algorithm"),
+        F.col("source.digest_hex").alias("digest_hex"),
+        F.lit("text/html").alias("media_type"),
+        F.col("source.length_bytes").alias("length_bytes"),
     )
 
 
-def with_provenance(documents: DataFrame, blobs: DataFrame) -> DataFrame:
+def provenance(documents: DataFrame) -> DataFrame:
+    """One row per block naming the strategy and the source blob it came from; a narrow job."""
+    return documents.select(
+        "page_id", "strategy", F.col("source.digest_hex").alias("blob_digest"), F.posexplode("blocks").alias("block_index", "b")
+    ).select("page_id", "block_index", "strategy", "blob_digest")
+
+
+def with_provenance(documents: DataFrame) -> DataFrame:
     """Documents with ``provenance`` as an array beside ``blocks``, one entry per block."""
     entry = lambda block, index: F.struct(
         index.alias("block_index"),
         F.col("strategy").alias("strategy"),
-        F.col("digest_hex").alias("blob_digest"),
-    )
-    return (
-        documents.join(blobs.select("page_id", "digest_hex"), "page_id")
-        .withColumn("provenance", F.transform("blocks", entry))
-        .drop("digest_hex")
+        F.col("source.digest_hex").alias("blob_digest"),
     )
+    return documents.withColumn("provenance", F.transform("blocks", entry))
 
 
 def canonical_documents(documents: DataFrame) -> DataFrame:

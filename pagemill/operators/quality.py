@@ -124,14 +124,14 @@ def decide(shared: DataFrame) -> DataFrame:
     )
     decisions = once(
         shared.withColumn("candidates", F.transform("candidates", measured)),
-        ["page_id", "title", "language", "recovery", "blocks"],
+        ["page_id", "title", "language", "recovery", "blocks", "source"],
         [F.transform("candidates", scored).alias("candidates")],
     )
     return decisions.withColumn("winner", -best["order"])
 
 
 def page_decisions(pages: DataFrame, **limits) -> DataFrame:
-    """(page_id, title, language, recovery, blocks, candidates, winner); winner null if rejected."""
+    """(page_id, title, language, recovery, blocks, source, candidates, winner); winner null if rejected."""
     return decide(page_candidates(pages, **limits))
 
 

@@ -106,23 +106,41 @@ def token_arrays(
     max_input_bytes: int = rules.MAX_INPUT_BYTES,
     partitioned: bool = False,
     max_dom_nodes: int = rules.MAX_DOM_NODES,
+    with_source: bool = False,
 ) -> DataFrame:
     """(page_id, tokens) hashed on page_id; pages over a limit are refused (see ``refusal``).
 
     ``partitioned=True`` says the input already is clustered on ``page_id`` (a bucketed table); then
-    no shuffle is added.
+    no shuffle is added. ``with_source`` adds digest and length of the page's bytes as one more element
+    at the end, for ``own_tokens`` and ``source_of``: an element travels with the array, where a column
+    that one of the two readers does not need would give them different exchanges.
     """
     html = F.col("html")
+    tokens = F.regexp_extract_all(html, F.lit(TOKEN_RX), F.lit(1))
+    if with_source:
+        tokens = F.array_append(tokens, F.concat_ws(":", F.sha2(html, 256), F.octet_length(html)))
     # The key test is what a join on page_id would infer; stating it here keeps the two readers of
     # this exchange identical, so that it runs once.
     arrays = pages.where(
         F.col("page_id").isNotNull() & refusal(html, max_input_bytes, max_dom_nodes).isNull()
-    ).select(
-        "page_id", F.regexp_extract_all(html, F.lit(TOKEN_RX), F.lit(1)).alias("tokens")
-    )
+    ).select("page_id", tokens.alias("tokens"))
     return arrays if partitioned else arrays.repartition("page_id")
 
 
+def own_tokens(tokens: Column) -> Column:
+    """The tokens of an array that ends with its source."""
+    return F.slice(tokens, F.lit(1), F.size(tokens) - 1)
+
+
+def source_of(tokens: Column) -> Column:
+    """Digest and length of the page's bytes, from an array that ends with them."""
+    last = F.element_at(tokens, -1)
+    return F.struct(
+        F.substring_index(last, ":", 1).alias("digest_hex"),
+        F.substring_index(last, ":", -1).cast("bigint").alias("length_bytes"),
+    )
+
+
 def explode_tokens(arrays: DataFrame) -> DataFrame:
     """(page_id, pos, token) in page order; a narrow step that keeps the clustering."""
     # The outer form keeps Catalyst from inferring size(tokens) > 0, which it would push below the

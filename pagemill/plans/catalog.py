@@ -346,8 +346,7 @@ def build_documents(spark, sf):
 
 
 def provenance(spark, sf):
-    pages = _pages(spark, sf)
-    return documents.provenance(documents.build_documents(pages), documents.source_blobs(pages))
+    return documents.provenance(documents.build_documents(_pages(spark, sf)))
 
 
 def source_blobs(spark, sf):
@@ -934,8 +933,7 @@ def escalation_flags(spark, sf):
 
 
 def page_features(spark, sf):
-    pages = _pages(spark, sf)
-    return derived.page_features(documents.build_documents(pages), documents.source_blobs(pages))
+    return derived.page_features(documents.build_documents(_pages(spark, sf)))
 
 
 def shadow_comparison(spark, sf):

@@ -9,7 +9,7 @@ filters of ``streaming.membership``, so a commit does not reread the runs before
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.documents import documents_of, source_blobs
+from pagemill.operators.documents import blobs_of, documents_of
 from pagemill.operators.ledger import run_outcomes, terminal_facts
 from pagemill.operators.quality import candidate_rows, page_decisions, refused_pages
 from pagemill.streaming.commits import commit_batch, read_batch, write_batch
@@ -73,7 +73,7 @@ def terminal_tables(applied: DataFrame, pages: DataFrame, decisions: DataFrame)
     ``pages`` the stored bodies by page_id and ``decisions`` their page-level rows.
     """
     finished = ended_work(applied, decisions, refused_pages(pages))
-    facts = terminal_facts(finished, candidate_rows(decisions), documents_of(decisions), source_blobs(pages))
+    facts = terminal_facts(finished, candidate_rows(decisions), documents_of(decisions), blobs_of(decisions))
     return {"runs": ended_runs(finished), **facts}
 
 

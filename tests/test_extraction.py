@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import quality
 from pagemill.operators.candidates import container_stats, page_blocks
+from pagemill.operators.derived import page_features
 from pagemill.operators.documents import (
-    build_documents, canonical_documents, provenance, source_blobs, with_provenance,
+    blobs_of, build_documents, canonical_documents, provenance, source_blobs, with_provenance,
 )
 from pagemill.operators.quality import (
     candidate_rows, low_quality, page_decisions, select_winner,
@@ -139,10 +140,25 @@ def test_document_digest_covers_blocks_not_title(spark):
     assert one.content_digest == two.content_digest and (one.title, two.title) == ("A", "B")
     bodies = canonical_documents(docs).orderBy("page_id").collect()
     assert bodies[0].digest != bodies[1].digest and len(bodies[0].prefix) == 2
-    rows = provenance(docs, source_blobs(pages)).collect()
+    rows = provenance(docs).collect()
     assert len(rows) == 2 and {r.block_index for r in rows} == {0}
-    nested = with_provenance(docs, source_blobs(pages)).first()
+    nested = with_provenance(docs).first()
     assert len(nested.provenance) == len(nested.blocks)
+    # The digest in the page row is that of the page's bytes.
+    stored = {r.page_id: (r.digest_hex, r.length_bytes) for r in source_blobs(pages).collect()}
+    decisions = page_decisions(pages)
+    assert {r.page_id: (r.digest_hex, r.length_bytes) for r in blobs_of(decisions).collect()} == stored
+    assert {r.page_id: r.blob_digest for r in rows} == {k: v[0] for k, v in stored.items()}
+
+
+def test_provenance_and_features_read_the_pages_once(spark, sf):
+    for job in (provenance, page_features):
+        found = job(build_documents(table(spark, sf, "pages")))
+        assert found.count() > 0
+        frame = found.groupBy().count()
+        frame.collect()
+        final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
 
 
 def test_same_result_under_any_partitioning(spark, sf):
