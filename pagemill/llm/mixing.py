@@ -2,8 +2,9 @@
 
 Each document has an exponential key -ln(u) / quality, u drawn from a hash of its id, so reruns
 agree. A source whose target is e whole epochs and a rest takes every document e times, then the
-documents of smallest key until the rest is met. Prefix sums need no full sort: keys fall into bins,
-sums per bin find the one bin where the rest ends, and only that bin is ordered.
+documents of smallest key until the rest is met. Prefix sums need no full sort: keys fall into bins of
+their own range, sums per bin find the one bin where the rest ends, that bin is cut again until it is
+small, and only then is it ordered.
 
 Defined results: null text has size 0 and quality 1; a null source is a source of its own, last in
 order; a source of no words has target 0; rows with one id and equal text move together; an empty
@@ -12,6 +13,8 @@ table gives an empty table; other columns are carried, whatever their names.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 SEED = "mix-1"
-ROWS_PER_BIN = 100_000
+ROWS_PER_BIN = 20_000
+BINS = 256
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -70,35 +74,49 @@ def targets(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return groups.select("none", "source", "source_size", target.alias("target"))
 
 
-def _bin(bins: int) -> Column:
-    return F.least(F.lit(bins - 1), F.floor((1.0 - F.exp(-F.col("key"))) * bins).cast("int"))
-
+def edges(thin: DataFrame, plan: DataFrame, folder: str, rows: int = ROWS_PER_BIN) -> DataFrame:
+    """For each source with a rest the range of keys in which it ends: lo, hi, words before it, rows in it.
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    A range of more than ``rows`` rows is cut into ``BINS`` by its own least and greatest key, and the
+    one bin where the rest ends is the next range, so ranges follow the keys however they are spread.
+    Each round is one aggregation; one number a round reaches the driver. Rows of one key stay together.
+    """
+    by_source = ["none", "source"]
+    spans = thin.groupBy(*by_source).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+    found = plan.filter("rest > 0").join(spans, by_source).select(*by_source, "rest", "lo", "hi", "n", F.lit(0).cast("long").alias("before"))
+    for turn in itertools.count():
+        found = written(found, f"{folder}/edges{turn}")
+        wide = (F.col("n") > rows) & (F.col("lo") < F.col("hi"))
+        if found.filter(wide).isEmpty():
+            return found
+        inside = thin.join(found.filter(wide).drop("n"), by_source).filter(F.col("key").between(F.col("lo"), F.col("hi")))
+        place = F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
+        sums = inside.groupBy(*by_source, "rest", "before", F.least(F.lit(BINS - 1), place).alias("bin")).agg(
+            F.sum("size").alias("in_bin"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")
+        )
+        upto = F.sum("in_bin").over(Window.partitionBy(*by_source).orderBy("bin"))
+        sums = sums.withColumn("before", F.col("before") + upto - F.col("in_bin"))
+        here = sums.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("in_bin")))
+        found = here.select(*found.columns).unionByName(found.filter(~wide))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, rows: int = ROWS_PER_BIN) -> DataFrame:
     """Every row as ``row`` with ``size``, ``source_size``, ``target`` and ``times`` it is taken."""
     frame = sized(docs, seed)
     folder = work_folder(docs.sparkSession)
     thin = written(frame.drop("row"), f"{folder}/sizes")
-    bins = max(256, -(-thin.count() // ROWS_PER_BIN))
     plan = written(targets(thin, weights, share, cap), f"{folder}/targets")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     by_source = ["none", "source"]
-    sums = thin.groupBy(*by_source, _bin(bins).alias("bin")).agg(F.sum("size").alias("in_bin"))
-    upto = F.sum("in_bin").over(Window.partitionBy(*by_source).orderBy("bin"))
-    edge = (
-        sums.withColumn("before", upto - F.col("in_bin"))
-        .join(plan, by_source)
-        .filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("in_bin")))
-        .select(*by_source, "bin", "before", "rest")
-    )
+    edge = edges(thin, plan, folder, rows)
     run = F.sum("size").over(Window.partitionBy(*by_source).orderBy("key", "id"))
-    ordered = thin.withColumn("bin", _bin(bins)).join(edge, [*by_source, "bin"]).withColumn("run", run)
+    ordered = thin.join(edge, by_source).filter(F.col("key").between(F.col("lo"), F.col("hi"))).withColumn("run", run)
     inside = ordered.filter(F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("rest"))
     last = inside.groupBy(*by_source).agg(F.max(F.struct("key", "id")).alias("last"))
-    plan = plan.join(edge.select(*by_source, "bin"), by_source, "left").join(last, by_source, "left")
-    plan = written(plan.select(*by_source, "source_size", "target", "epochs", F.col("bin").alias("edge"), "last"), f"{folder}/plan")
-    drawn = F.coalesce((_bin(bins) < F.col("edge")) | ((_bin(bins) == F.col("edge")) & (F.struct("key", "id") <= F.col("last"))), F.lit(False))
+    plan = plan.join(edge.select(*by_source, "lo", "hi"), by_source, "left").join(last, by_source, "left")
+    plan = written(plan.select(*by_source, "source_size", "target", "epochs", "lo", "hi", "last"), f"{folder}/plan")
+    drawn = F.coalesce((F.col("key") < F.col("lo")) | ((F.col("key") <= F.col("hi")) & (F.struct("key", "id") <= F.col("last"))), F.lit(False))
     return frame.join(plan, by_source).select("row", "size", "source_size", "target", (F.col("epochs") + drawn.cast("int")).alias("times"))
 
 
