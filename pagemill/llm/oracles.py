@@ -71,7 +71,7 @@ prefixes as (
   from hashed),
 ends as (select f, min(conv_id) as conv_id, count(*) as n_logged from prefixes where whole group by f),
 kept as (select conv_id, n_logged from ends where f not in (select f from prefixes where not whole))
-select conv_id, floor(turn / {PART}.0)::bigint as part, count(*)::bigint as n_turns, n_logged,
+select conv_id, floor(turn / {PART}.0)::bigint as part, null::bigint as turn, null::varchar as role, 0::bigint as slice, count(*)::bigint as n_turns, n_logged,
   string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by turn, role, text) as chat
 from turns join kept using (conv_id) group by conv_id, part, n_logged
 """
