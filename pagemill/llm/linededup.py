@@ -19,6 +19,7 @@ from pagemill.llm.text import LOWER, UPPER, boxed, text_of
 
 MIN_CHARS = 1
 MIN_DOCUMENTS = 10
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -43,7 +44,10 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", min_chars: int = MIN_CHARS,
     """Every row as ``row`` with ``kept_text``, ``n_lines`` and ``n_dropped``."""
     hashes = written(line_hashes(docs, key, min_chars), f"{work_folder(docs.sparkSession)}/lines")
     frequent = hashes.groupBy("h1", "h2").agg(F.count_distinct("k1", "k2").alias("n")).filter(F.col("n") >= min_documents).select("h1", "h2")
-    places = hashes.join(frequent, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("cut"))
+    # The places of a line that very many documents hold are dealt over salts; the few frequent lines stand in each.
+    salted = hashes.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(SALTS)).cast("int"))
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = salted.join(frequent, ["h1", "h2", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("cut"))
     frame = _keyed(docs, key).join(places, ["k1", "k2"], "left").withColumn("lines", F.split("text", "\n"))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     stay = F.array_except(every, F.coalesce("cut", F.array().cast("array<int>")))
