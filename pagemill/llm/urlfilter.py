@@ -1,6 +1,7 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams.
 
-The model is trained with Spark ML on a small labelled URL table and becomes a literal array of
+The model is trained with Spark ML on a small labelled URL table, a file beside the package or one that is
+named, and becomes a literal array of
 weights, so scoring is one expression per row: no join, no shuffle.
 
 Defined results: a null url, or one without ``://``, has empty host and path; no rule fits it and the
@@ -10,6 +11,9 @@ an empty table; other columns are carried.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,29 +31,9 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: The labelled table: hosts and paths as they stand in public web lists; 1 is unwanted.
-LABELLED = (
-    *((h, 1) for h in (
-        "casino-royal.example/bonus", "best-casino.example/play", "online-casino-win.example/slots", "casino-win.example/jackpot",
-        "cheap-pills.example/order", "pills-online.example/buy", "cheap-meds.example/pharmacy", "discount-pills.example/shop",
-        "spam-farm.example/links", "link-spam.example/page", "seo-farm.example/articles", "content-farm.example/post",
-        "adult-x.example/videos", "adult-chat.example/live", "xxx-adult.example/free", "adult-cams.example/room",
-        "free-bets.example/odds", "sports-bets.example/today", "bets-bonus.example/signup", "poker-bets.example/free",
-        "ads-track.example/click", "track-ads.example/pixel", "adserver.example/track", "ads-tracker.example/banner",
-        "free-money.example/win", "win-prize.example/claim", "replica-watches.example/sale", "payday-loans.example/apply",
-        "free-slots.example/spin", "cheap-viagra.example/order", "torrent-crack.example/keygen", "free-download-crack.example/serial",
-    )),
-    *((h, 0) for h in (
-        "en.wikipedia.example/wiki", "news.example/2020/politics", "blog.example/post/12", "www.library.example/catalog",
-        "docs.example/guide/start", "university.example/research", "museum.example/visit", "weather.example/forecast",
-        "m.recipes.example/soup", "www.gardening.example/roses", "science.example/article/33", "history.example/en/100",
-        "forum.example/topic/9", "www.city.example/services", "travel.example/fr/paris", "sport.example/de/match",
-        "music.example/es/concert", "shop.example/books/12", "health.example/advice", "school.example/lessons",
-        "blog.thorough.example/en/25", "m.nation.example/en/685", "www.thinking.example/de/47", "thermal.example/en/533",
-        "code.example/repo/readme", "maps.example/route", "film.example/review/7", "www.parliament.example/debates",
-        "thereby.example/es/320", "thought.example/fr/960", "dictionary.example/word", "www.another.example/en/676",
-    )),
-)
+#: The labelled table that is used unless another is named: family, label (1 is unwanted), url. Made up for
+#: this library after the kinds of hosts that public lists of unwanted sites name.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,8 +65,11 @@ def _grams(mark: str, part: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substr(text, i, F.lit(n))), F.lit(SLOTS)).cast("int"))
 
 
-def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"http://{u}", float(y)) for u, y in LABELLED], "url string, label double")
+def labelled(spark: SparkSession, path: str | Path = LABELLED) -> DataFrame:
+    """The small labelled table (family, label, url), read on the driver from a CSV file."""
+    with open(path, encoding="utf-8", newline="") as file:
+        rows = [(r["family"], float(r["label"]), r["url"]) for r in csv.DictReader(file)]
+    return spark.createDataFrame(rows, "family string, label double, url string")
 
 
 def train(examples: DataFrame, regularisation: float = 0.01) -> tuple[list[float], float]:
