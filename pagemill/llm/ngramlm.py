@@ -6,9 +6,9 @@ the successors of the middle word (context-relative). A level is a sorted list o
 pointers to their ranges, and one monotone sequence of children. Probabilities and the mass left for
 shorter contexts are stored as 16-bit logarithms.
 
-Smoothing is absolute discounting with interpolation. ``score(..., least=1)``, as the query calls it,
-stores all pairs and triples; by default those seen once are left out. What is discounted or not stored stays with the shorter context, so every level is estimated from
-what the longer one left over and the marginals of the counts are kept.
+Smoothing is absolute discounting with interpolation. All pairs and triples are stored unless ``least``
+asks for fewer. What is discounted or not stored stays with the shorter context, so every level is
+estimated from what the longer one left over and the marginals of the counts are kept.
 
 The corpus is tokenised once for word counts and once into word numbers. Pair and triple counts are
 combined inside a task, dealt by hash of the whole n-gram so that no frequent word gathers in one
@@ -42,7 +42,6 @@ from pagemill.llm.text import boxed, chunks, text_of
 END = b"\n"
 UNKNOWN = 0xFFFFFFFF
 DISCOUNT = 0.75
-MIN_COUNT = 2
 NGRAMS_PER_BUCKET = 3_000_000
 CHUNK = 12_000_000
 #: One step of a 16-bit logarithm.
@@ -492,7 +491,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(each, f"{kinds}, score double")
 
 
-def score(docs: DataFrame, key: str = "doc_id", least: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", least: int = 1) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score; the model holds
     pairs and triples seen ``least`` times or more."""
     folder = work_folder(docs.sparkSession)
@@ -503,6 +502,8 @@ def score(docs: DataFrame, key: str = "doc_id", least: int = MIN_COUNT) -> DataF
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(4, -(-tokens // NGRAMS_PER_BUCKET))
     words = Words(folder, build_words(counts, folder, parts), parts)
+    if words.n >= UNKNOWN:
+        raise ValueError(f"{words.n} distinct words; their numbers have 32 bits")
     rows = numbered(frame.select(F.struct("id", "held_out").alias("rest"), "text"), words, tokens, kind.simpleString(), to_arrow_type(kind))
     rows.write.option("compression", "zstd").parquet(f"{folder}/ids")
     rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/ids")
