@@ -10,7 +10,7 @@ That needs a radius of two. No pairs of a bucket are listed.
 ``classes(..., similar=0.8)`` reaches further than the radius: it also joins texts whose sets of
 five-word shingles have that Jaccard similarity. Each distinct text has ``BANDS`` MinHash bands of
 ``DEPTH`` values; a pair of similarity 0.8 meets in one of them but for 3 in a million. Buckets of up to
-``SMALL`` texts compare all; fuller ones are held against ``TURNS`` leaders drawn by hash, then members of
+``SMALL`` texts compare all; members of fuller ones are held against up to ``LEADERS`` leaders, then members of
 buckets that still hold several classes meet by a prefix filter on their rarest shingles, which loses
 no pair and lets texts of one template that differ too much meet nowhere. Low bytes of the MinHash
 values tell which pairs can be as similar as asked (but for about 1 in 100 000), and the shingles
@@ -41,8 +41,8 @@ SHINGLE = 3
 SEED = 42
 GRAM = 5
 BANDS, DEPTH = 32, 5
-SMALL = 16
-TURNS = 2
+SMALL = 6
+LEADERS = 8
 SIMILAR = 0.8
 #: Equal MinHash values of 160 that a pair of similarity 0.8 has at least: 4.4 deviations below its mean.
 ALIKE = 106
@@ -231,6 +231,18 @@ def _rooted(full: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     return written(root, f"{folder}/rooted")
 
 
+def _led(rooted: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of members and leaders of their buckets in other classes. A bucket's leader is
+    its member of smallest hash, and a member keeps the ``LEADERS`` of smallest hash over its buckets, so
+    members of many common buckets meet the same few leaders."""
+    drawn = F.xxhash64("code", F.lit(SEED))
+    heads = rooted.groupBy("slot").agg(F.min(F.struct(drawn.alias("draw"), "code", "root")).alias("head"))
+    apart = rooted.join(heads, "slot").filter(F.col("root") != F.col("head.root"))
+    led = apart.groupBy("code").agg(F.slice(F.sort_array(F.collect_set("head")), 1, LEADERS).alias("heads"))
+    led = led.select("code", F.explode("heads").alias("head"))
+    return led.select(F.least("code", "head.code").alias("src"), F.greatest("code", "head.code").alias("dst"))
+
+
 def _split(rooted: DataFrame) -> DataFrame:
     """Members, one row per code, of the buckets that still hold several classes."""
     counts = rooted.groupBy("slot", "root").agg(F.count("*").alias("n"))
@@ -277,12 +289,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, key: str, similar: float, e
     if full.isEmpty():
         return found
     full = written(full.select("slot", "code", "fp"), f"{folder}/full")
-    for turn in range(TURNS):
-        root = _rooted(full, found, f"{folder}/turn{turn}")
-        heads = root.groupBy("slot").agg(F.min(F.struct(F.xxhash64("code", F.lit(turn)), "code", "root")).alias("head"))
-        pairs = root.join(heads, "slot").filter(F.col("root") != F.col("head.root"))
-        pairs = pairs.select(F.least("code", "head.code").alias("src"), F.greatest("code", "head.code").alias("dst"))
-        found = found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/turn{turn}"))
+    root = _rooted(full, found, f"{folder}/first")
+    pairs = written(_led(root), f"{folder}/led")
+    found = found.union(_verified(pairs, nodes, docs, key, similar, f"{folder}/first"))
     members = written(_split(_rooted(full, found, f"{folder}/rest")), f"{folder}/members")
     chosen = nodes.select("code", "tie").join(members, "code", "left_semi")
     sets = written(_grams(docs, key, chosen), f"{folder}/sets")
