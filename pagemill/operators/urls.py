@@ -82,7 +82,10 @@ def canonicalize_urls(
             "lower(case when instr(_rawhost, '%') > 0 then try_url_decode(replace(_rawhost, '+', '%2B'))"
             " else _rawhost end)"
         ),
-    ).withColumn("_host", ascii_host(F.col("_unicode_host")))
+    )
+    # A one-row generator, so that no filter above repeats the whole host mapping.
+    mapped = ascii_host(F.col("_unicode_host"))
+    parts = parts.select("*", F.inline(F.array(F.struct(mapped.alias("_host")))))
     number = "(?:0x[0-9a-f]*|[0-9]+)"
     labels = "split(regexp_replace(_host, '[.]$', ''), '[.]')"
     value = (
