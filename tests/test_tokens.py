@@ -48,6 +48,13 @@ def test_unicode_whitespace_and_legacy_references(spark):
     assert _tokens(spark, html) == [("text", None, "a b c ©2 &unknown; € �")]
 
 
+def test_a_reference_cut_before_its_semicolon_is_decoded(spark):
+    assert _tokens(spark, "<title>a&amp;&amp</title><h1>a&amp;&amp</h1>b &am") == [
+        ("raw", "title", "a&&"), ("end", "title", None),
+        ("start", "h1", None), ("text", None, "a&&"), ("end", "h1", None), ("text", None, "b &am"),
+    ]
+
+
 def test_spans_follow_the_recovery_rules(spark):
     html = "<div><h1>T<p>one<p>two<ul><li>x</ul></div><footer>f"
     rows = element_spans(token_arrays(_pages(spark, html))).orderBy("start").collect()
