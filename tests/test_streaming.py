@@ -1,4 +1,5 @@
 import json
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -274,3 +275,24 @@ def test_batch_and_stream_forms_drop_the_same_repeats(spark, tmp_path):
     query.awaitTermination()
     streamed = sorted(r.message_id for r in spark.table("kept_forms").collect())
     assert streamed == sorted(r.message_id for r in derived.distinct_messages(frame, "n").collect())
+
+
+def test_rounds_of_distinct_messages_shrink_where_paths_meet(spark, monkeypatch):
+    draw = random.Random(3)
+    times = sorted(draw.sample(range(100_000), 3000))
+    sizes, write = [], derived.kept_on_disk
+
+    def counted(frame):
+        found = write(frame)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(derived, "kept_on_disk", counted)
+    frame = spark.createDataFrame(list(enumerate(times)), "n long, s long").select("n", F.lit("a").alias("message_id"), F.timestamp_seconds("s").alias("at"))
+    got = sorted(r.n for r in derived.distinct_messages(frame, "n", 500).collect())
+    want, free = [], 0
+    for n, at in enumerate(times):
+        if at >= free:
+            want, free = [*want, n], at + 500
+    assert got == want and len(want) > 128
+    assert sum(sizes) < 7 * len(times)
