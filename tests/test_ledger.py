@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.operators import checks, derived, ledger, outbox
+from pagemill.plans import catalog
 from pagemill.schemas import FACTS, FORBIDDEN_FACT_COLUMNS
 from pagemill.sources.commands import decode_commands
 from pagemill.sources.facts import conform, scan_facts, upsert_facts, write_facts
@@ -295,3 +296,16 @@ def test_rules_that_cannot_be_tested_say_so(spark):
     assert found[("fetches_run", "x")] == 2
     lacking = {name for name, *_ in checks.REFERENCES} - {"runs_command", "fetches_run"}
     assert {k for k, v in found.items() if v is None} == {(name, checks.NOT_TESTED) for name in lacking}
+
+
+def test_facts_are_made_only_for_the_runs_asked_for(spark, sf, monkeypatch):
+    made, given = ledger.terminal_facts, []
+
+    def watched(finished, *others):
+        given.append(finished)
+        return made(finished, *others)
+
+    monkeypatch.setattr(ledger, "terminal_facts", watched)
+    rows = catalog.queries()["reject_runs"](spark, sf).collect()
+    assert {(r.status, r.error_class) for r in given[0].collect()} == {("failed", "quality")}
+    assert sorted(r.run_id for r in given[0].collect()) == sorted(r.run_id for r in rows)
