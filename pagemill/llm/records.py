@@ -36,7 +36,7 @@ from pagemill.llm.text import boxed, chunks, text_of
 END_ID = 0
 MASK_DELTA = 0xA282EAD8
 #: Bytes of remembered units and words in each worker, per generation, and the cost of an entry besides its text.
-UNIT_BYTES, WORD_BYTES, ENTRY, LONGEST = 90_000_000, 30_000_000, 180, 64
+UNIT_BYTES, WORD_BYTES, ENTRY, LONGEST = 30_000_000, 90_000_000, 180, 64
 #: Python's \s holds every Unicode white space.
 NEIGHBOURS = re.compile(r"\s\s").search
 UNITS = re.compile(r"\n| ?[^ \n]+| ").findall
@@ -92,8 +92,9 @@ class Encoder:
     A byte-level vocabulary without normalizer is cut before it is encoded, where that is proven safe:
     in a text without neighbouring white space, before every space and around every line end, since
     both have a non-space on each side there. Units of ASCII and Latin letters are cut again by that
-    part of the library's own split rule. Units are remembered within a bound of bytes. Any other text
-    or unit goes to the library whole.
+    part of the library's own split rule; a text of such letters alone is cut so at once, as no part of
+    that rule spans a place where units meet. Units and parts are remembered within a bound of bytes. Any
+    other text or unit goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -119,16 +120,21 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, text: str) -> bytes:
-        got = self.words.young.get(text) or self.words.old.get(text)
+        got = self.words.old.get(text)
         if got is None:
             mapped = "".join([self.letters[b] for b in text.encode()])
-            got = np.array([t.id for t in self.whole.model.tokenize(mapped)], "<u4").tobytes()
-        return got if text in self.words.young else self.words.put(text, got)
+            ids = [t.id for t in self.whole.model.tokenize(mapped)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        return self.words.put(text, got)
+
+    def _parts(self, text: str) -> bytes:
+        get, word = self.words.young.get, self._word
+        return b"".join([get(p) or word(p) for p in PARTS(text)])
 
     def _unit(self, text: str) -> bytes:
         got = self.units.old.get(text)
         if got is None:
-            got = b"".join(map(self._word, PARTS(text))) if KNOWN(text) else self._library(text)
+            got = self._parts(text) if KNOWN(text) else self._library(text)
         return self.units.put(text, got)
 
     def __call__(self, text: str) -> bytes:
@@ -136,6 +142,8 @@ class Encoder:
             return b""
         if not self.safe or NEIGHBOURS(text) or self.special(text):
             return self._library(text)
+        if KNOWN(text):
+            return self._parts(text)
         get, unit = self.units.young.get, self._unit
         return b"".join([get(u) or unit(u) for u in UNITS(text)])
 

@@ -70,6 +70,13 @@ def test_encoder_equals_the_library_on_random_white_space():
         assert np.frombuffer(encode(text), "<u4").tolist() == made.ids, repr(text)
 
 
+def test_a_text_of_known_letters_is_cut_into_parts_at_once():
+    encode = records.Encoder(public_tokenizers.path(queries.VOCABULARY))
+    for text in ("one, two. two, one! don't\nÜber 12a\t(two)\n", " two one", "two\n"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == encode.whole.encode(text, add_special_tokens=False).ids
+    assert not encode.units.young and {" two", ","} < set(encode.words.young)
+
+
 def test_memo_is_bounded_by_bytes():
     memo = records.Memo(10_000)
     for k in range(1000):
