@@ -38,6 +38,20 @@ def encode(keys: np.ndarray, name: str) -> dict[str, np.ndarray]:
     return {f"{name}.head": np.array([n, low], np.int64), f"{name}.upper": upper, f"{name}.ones": ones, f"{name}.lower": lower}
 
 
+def small(counts: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Arrays for counts that are mostly small: a byte each, those over 254 beside them."""
+    large = np.flatnonzero(counts >= 255)
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}.at": large, f"{name}.large": counts[large].astype(np.int64)}
+
+
+def counts(arrays: dict[str, np.ndarray], name: str, at: np.ndarray | None = None) -> np.ndarray:
+    """The counts at these places, or all."""
+    out = (arrays[name] if at is None else arrays[name][at]).astype(np.int64)
+    rows = np.flatnonzero(out == 255)
+    out[rows] = arrays[f"{name}.large"][np.searchsorted(arrays[f"{name}.at"], rows if at is None else at[rows])]
+    return out
+
+
 class Sequence:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low = (int(x) for x in arrays[f"{name}.head"])

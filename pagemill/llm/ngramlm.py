@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from pagemill.llm import eliasfano as ef
-from pagemill.llm.store import work_folder, written
+from pagemill.llm.store import dropped, freed, work_folder, written
 from pagemill.llm.text import boxed, chunks, text_of
 
 END = b"\n"
@@ -44,6 +44,8 @@ UNKNOWN = 0xFFFFFFFF
 DISCOUNT = 0.75
 NGRAMS_PER_BUCKET = 3_000_000
 CHUNK = 12_000_000
+#: Tokens scored at once; a task holds some thirty numbers of each.
+SCORED = 500_000
 #: One step of a 16-bit logarithm.
 STEP = 1 / 4096
 #: Amounts of mass are whole numbers of 1 / SCALE.
@@ -104,6 +106,12 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _collected(frame: DataFrame) -> list[tuple]:
+    """Rows as tuples. Spark takes the setting when a frame is made, hence the select."""
+    with freed(frame.sparkSession):
+        return [tuple(r) for r in frame.select("*").collect()]
+
+
 # Words
 
 
@@ -146,13 +154,13 @@ class Words:
         out, part = np.zeros(len(ids), np.int64), self.part(ids)
         for number in np.unique(part[part >= 0]):
             rows = np.flatnonzero(part == number)
-            out[rows] = self.shard(int(number))[0]["count"][ids[rows] - self.base[int(number)]]
+            out[rows] = ef.counts(self.shard(int(number))[0], "count", ids[rows] - self.base[int(number)])
         return out
 
-    def lookup(self, hashes: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """Word numbers (UNKNOWN if absent) and the named arrays' values (0 if absent)."""
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers (UNKNOWN if absent) and counts (0 if absent)."""
         keys = hashes >> np.uint64(1)
-        out = [np.full(len(keys), UNKNOWN, np.int64), *(np.zeros(len(keys), np.int64) for _ in columns)]
+        out = np.full(len(keys), UNKNOWN, np.int64), np.zeros(len(keys), np.int64)
         by = (keys >> np.uint64(31)).astype(np.int64) * self.parts >> 32
         for number in np.unique(by):
             if number in self.files:
@@ -161,8 +169,7 @@ class Words:
                 place = sequence.find(keys[rows])
                 rows, place = rows[place >= 0], place[place >= 0]
                 out[0][rows] = place + self.base[number]
-                for k, name in enumerate(columns, 1):
-                    out[k][rows] = arrays[name][place]
+                out[1][rows] = ef.counts(arrays, "count", place)
         return out
 
 
@@ -174,11 +181,11 @@ def build_words(counts: DataFrame, folder: str, parts: int) -> list[tuple[int, i
     def build(table: pa.Table) -> pa.Table:
         keys, n = summed(table["key"].to_numpy().astype(np.uint64), table["n"].to_numpy())
         name = f"words-{uuid.uuid4().hex}"
-        ef.save(folder, name, ef.encode(keys, "hash") | {"count": n.astype(np.uint64)})
+        ef.save(folder, name, ef.encode(keys, "hash") | ef.small(n, "count"))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [len(keys)], "file": [name]})
 
     built = counts.select(shard.alias("part"), key.alias("key"), "n").groupBy("part").applyInArrow(build, "part int, n long, file string")
-    return [tuple(r) for r in built.collect()]
+    return _collected(built)
 
 
 # Pairs and triples
@@ -239,7 +246,7 @@ class Level:
             arrays, level = self.shard(int(number))
             context = level["pointer"].successor(local[rows] + 1) - 1
             rank[rows] = local[rows] - level["pointer"].access(context).astype(np.int64)
-            count[rows] = arrays["count"][local[rows]]
+            count[rows] = ef.counts(arrays, "count", local[rows])
         return part, local, rank, count
 
 
@@ -299,10 +306,10 @@ def build_level(rows: DataFrame, folder: str, kind: str, split: Callable[[np.nda
         name = f"{kind}-{uuid.uuid4().hex}"
         arrays = ef.encode(distinct, "context") | ef.encode(np.append(start, len(keys)), "pointer")
         arrays |= ef.encode(index.astype(np.uint64) * np.uint64(width) + children, "child")
-        ef.save(folder, name, arrays | {"width": np.array([width], np.int64), "count": counts.astype(np.uint64)})
+        ef.save(folder, name, arrays | {"width": np.array([width], np.int64)} | ef.small(counts, "count"))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [len(keys)], "file": [name]})
 
-    return [tuple(r) for r in rows.groupBy("part").applyInArrow(build, "part int, n long, file string").collect()]
+    return _collected(rows.groupBy("part").applyInArrow(build, "part int, n long, file string"))
 
 
 FINISHED = "part int, file string, total long, by int, keys binary, counts binary"
@@ -319,7 +326,7 @@ def finish(level: Level, folder: str, taken: DataFrame, totals: Callable[[np.nda
     def close(table: pa.Table) -> pa.Table:
         number = table["part"][0].as_py()
         arrays, sequences = level.shard(number)
-        count = arrays["count"].astype(np.int64) * SCALE
+        count = ef.counts(arrays, "count") * SCALE
         gone = np.zeros(len(count), np.int64)
         places, amounts = _gathered(table)
         gone[places.astype(np.int64)] = amounts
@@ -354,14 +361,14 @@ def finish_words(words: Words, folder: str, taken: DataFrame, rest: float) -> di
 
     def close(table: pa.Table) -> pa.Table:
         number = table["part"][0].as_py()
-        left = words.shard(number)[0]["count"].astype(np.float64)
+        left = ef.counts(words.shard(number)[0], "count").astype(np.float64)
         keys, amounts = _gathered(table)
         left[keys.astype(np.int64) - words.base[number]] -= amounts / SCALE
         name = f"codes-{uuid.uuid4().hex}"
         ef.save(folder, name, {"code": coded((np.maximum(left, 0) + 1) / rest)})
         return pa.table({"part": pa.array([number], pa.int32()), "file": [name]})
 
-    return {r[0]: r[1] for r in taken.union(every).groupBy("part").applyInArrow(close, "part int, file string").collect()}
+    return dict(_collected(taken.union(every).groupBy("part").applyInArrow(close, "part int, file string")))
 
 
 # The whole
@@ -378,7 +385,7 @@ def numbered(docs: DataFrame, words: Words, tokens: int, kind: str, arrow: pa.Da
             hashes = np.array([xxh64_intdigest(w, 42) for w in local], np.uint64)
             order = np.argsort(hashes)
             found = [np.empty_like(x) for x in (order, order)]
-            for out, got in zip(found, words.lookup(hashes[order], "count"), strict=True):
+            for out, got in zip(found, words.lookup(hashes[order]), strict=True):
                 out[order] = got
             log = np.log10(found[1] + 1.0) - scale
             at = np.concatenate(runs)
@@ -438,6 +445,7 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
 
     found = written(counted(train_rows, pairs_of, parts, 32, parts, least), f"{folder}/pairs")
     second = Level(folder, build_level(found, folder, "pairs", lambda k: (k >> low, k & np.uint64(0xFFFFFFFF))), parts)
+    dropped(f"{folder}/pairs")
     if second.n > UNKNOWN:
         raise ValueError(f"{second.n} distinct pairs; their places have 32 bits")
 
@@ -464,6 +472,7 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
     nothing = train_rows.sparkSession.createDataFrame([], PARTS)
     of_third = code_files(written(finish(third, folder, nothing, lambda c: second.located(c)[3], None), f"{folder}/third"))
     done = written(finish(second, folder, found.mapInArrow(take, PARTS), lambda c: words.counts(c), words), f"{folder}/second")
+    dropped(f"{folder}/triples")
     removed = done.agg(F.sum("total")).first()[0] or 0
     rest = tokens - removed / SCALE + words.n + 1
     of_words = finish_words(words, folder, done.filter("keys is not null").select(F.col("by").alias("part"), "keys", "counts"), rest)
@@ -480,7 +489,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             scores, at = [], 0
             while at < len(runs):
                 upto, total = at, 0
-                while upto < len(runs) and (upto == at or total + len(runs[upto]) <= 1_500_000):
+                while upto < len(runs) and (upto == at or total + len(runs[upto]) <= SCORED):
                     total, upto = total + len(runs[upto]), upto + 1
                 begin = np.cumsum([0, *map(len, runs[at : upto - 1])])
                 scores.append(np.add.reduceat(model.logs(np.concatenate(runs[at:upto])), begin))
@@ -502,10 +511,10 @@ def score(docs: DataFrame, key: str = "doc_id", least: int = 1) -> DataFrame:
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     parts = max(4, -(-tokens // NGRAMS_PER_BUCKET))
     words = Words(folder, build_words(counts, folder, parts), parts)
+    dropped(f"{folder}/words")
     if words.n >= UNKNOWN:
         raise ValueError(f"{words.n} distinct words; their numbers have 32 bits")
     rows = numbered(frame.select(F.struct("id", "held_out").alias("rest"), "text"), words, tokens, kind.simpleString(), to_arrow_type(kind))
-    rows.write.option("compression", "zstd").parquet(f"{folder}/ids")
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/ids")
+    rows = written(rows, f"{folder}/ids", compression="zstd")
     model = train(rows.filter(~F.col("held_out")).select("ids"), words, tokens, folder, parts, least)
     return scored(rows, model).withColumn("train_tokens", F.lit(tokens).cast("long"))
