@@ -47,6 +47,8 @@ SIMILAR = 0.8
 #: Equal MinHash values of 160 that a pair of similarity 0.8 has at least: 4.4 deviations below its mean.
 ALIKE = 106
 FILTER_BITS = 1 << 26
+#: Longs of the bitmap that tells how many shingles of a text another one lacks.
+MAP_LONGS = 16
 MIX = np.array([xxh64_intdigest(str(k), SEED) | 1 for k in range(BANDS * DEPTH)], np.uint64)
 
 
@@ -250,13 +252,30 @@ def _split(rooted: DataFrame) -> DataFrame:
     return rooted.join(several, "slot", "left_semi").select("code", "root").distinct()
 
 
+def _maps(sets: DataFrame) -> DataFrame:
+    """Per code a bitmap of its shingles, one bit of 64 * ``MAP_LONGS`` each, and how many bits it has."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams_ = batch.column(1)
+            hashes = grams_.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), grams_.value_lengths().to_numpy(zero_copy_only=False))
+            out = np.zeros((batch.num_rows, MAP_LONGS), np.uint64)
+            np.bitwise_or.at(out, (row, (hashes >> np.uint64(6)).astype(np.int64) % MAP_LONGS), np.uint64(1) << (hashes & np.uint64(63)))
+            bits = np.bitwise_count(out).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out.view(np.int64)), pa.list_(pa.int64())), pa.array(bits)], ["code", "map", "bits"])
+
+    return sets.select("code", "grams").mapInArrow(each, "code long, map array<long>, bits int")
+
+
 def _apart(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Pairs (src, dst) of members in different classes that may be similar, by a prefix filter.
 
     The shingles of a text are ordered rarest first. Two texts as similar as asked share one among the
     first of the shorter's ``1 - 2t / (1 + t)`` and of the longer's ``1 - t`` shingles, and at the first
     one they share, what is left of both suffices for the overlap. So nothing is lost, and texts of one
-    template that differ too much meet nowhere: what they share comes after what is their own.
+    template that differ too much meet nowhere: what they share comes after what is their own. That
+    counts what one of them has of its own; bitmaps of all shingles bound what each lacks of the other.
     """
     both = 2 * similar / (1 + similar)
     grams_ = sets.join(members, "code").select("code", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
@@ -265,12 +284,17 @@ def _apart(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     placed = grams_.join(rarity, "gram", "left").withColumn("at", F.row_number().over(order) - 1)
     # A shingle of one text takes a place and meets nothing.
     placed = placed.filter(F.col("seen").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar - 1e-9)))
+    placed = placed.join(_maps(sets), "code")
     short = placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * both - 1e-9))
-    short = short.select("gram", F.col("code").alias("src"), F.col("root").alias("own"), F.col("n").alias("k"), F.col("at").alias("i"))
-    long_ = placed.select("gram", F.col("code").alias("dst"), "root", "n", "at")
+    short = short.select("gram", F.col("code").alias("src"), F.col("root").alias("own"), F.col("n").alias("k"), F.col("at").alias("i"), F.col("map").alias("held"), F.col("bits").alias("b"))
+    long_ = placed.select("gram", F.col("code").alias("dst"), "root", "n", "at", "map", "bits")
     ordered = (F.col("k") < F.col("n")) | ((F.col("k") == F.col("n")) & (F.col("src") < F.col("dst")))
     left = F.least(F.col("k") - F.col("i"), F.col("n") - F.col("at"))
-    may = ordered & (F.col("k") >= F.col("n") * similar - 1e-9) & (left >= (F.col("k") + F.col("n")) * (both / 2) - 1e-9)
+    least = (F.col("k") + F.col("n")) * (both / 2) - 1e-9
+    may = ordered & (F.col("k") >= F.col("n") * similar - 1e-9) & (left >= least)
+    # Each bit that only one of the two has is a shingle that only this one has.
+    common = sum((F.bit_count(F.get("held", F.lit(k)).bitwiseAND(F.get("map", F.lit(k)))) for k in range(MAP_LONGS)), F.lit(0))
+    may = may & (common >= least + F.greatest(F.col("b") - F.col("k"), F.col("bits") - F.col("n")))
     pairs = short.join(long_, "gram").filter((F.col("own") != F.col("root")) & may)
     return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 

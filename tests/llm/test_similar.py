@@ -91,6 +91,20 @@ def test_texts_of_one_template_below_the_similarity_meet_nowhere(spark):
     assert simhash._apart(members, frame, 0.8).count() == 0
 
 
+def test_texts_a_little_below_the_similarity_seldom_meet(spark):
+    """Each of 200 texts lacks 12 shingles of its template and has 12 of its own, so pairs have a
+    similarity of about 0.73; what only one of the two lacks would allow 0.8."""
+    draw = np.random.default_rng(4)
+    template = draw.integers(-(2**62), 2**62, 150)
+    sets = [[*draw.permutation(template)[12:].tolist(), *draw.integers(-(2**62), 2**62, 12).tolist()] for _ in range(200)]
+    frame = spark.createDataFrame([*enumerate(sets)], "code long, grams array<long>")
+    members = spark.createDataFrame([(k, k) for k in range(200)], "code long, root long")
+    pairs = [(a, b) for a, b in itertools.combinations(range(200), 2)]
+    similar = {(a, b) for a, b in pairs if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    found = {tuple(r) for r in simhash._apart(members, frame, 0.8).collect()}
+    assert similar <= found and len(found) < len(pairs) / 10
+
+
 def test_a_template_group_gives_pairs_in_proportion(spark, monkeypatch):
     """All candidate pairs of a whole run, counted where they are written."""
     counts, verified = [], simhash._verified
