@@ -1,9 +1,10 @@
 """One key with a third of all rows: what one row, range or salt holds stays bounded."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, linededup, mixing
+from pagemill.llm import chat, linededup, mixing, oracles, queries
 
 CHATS = "conv_id long, turn long, role string, text string"
 
@@ -31,6 +32,17 @@ def test_a_long_turn_counts_by_its_bytes(spark):
     assert [(r["turn"], r["n_turns"]) for r in whole] == [(None, 6)]
 
 
+def test_the_query_gives_a_part_of_many_rows_in_one_row_and_in_order(spark, tmp_path):
+    rows = [(5, t, "user" if k % 2 else "assistant", f"text {t} {k}") for t in (3, 9, 260) for k in range(1500)]
+    spark.createDataFrame(rows, CHATS).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(r) for r in queries.op9_chats(spark, str(tmp_path)).select("part", "n_turns", "n_logged", "chat").orderBy("part").collect()]
+    connection = duckdb.connect()
+    connection.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = oracles.oracle_sql()["op9_chats"]
+    assert got == connection.execute(f"select part, n_turns, n_logged, chat from ({sql}) order by part").fetchall()
+    assert [r[:3] for r in got] == [(0, 3000, 1), (1, 1500, 1)]
+
+
 def test_null_turns_and_clashing_columns_of_chats(spark):
     schema = CHATS + ", part long, slice string, n long, c string"
     rows = [(None,) * 8, (1, None, None, "a", 1, "s", 1, "c"), (1, None, None, "a", 2, "s", 1, "c"), (1, 0, "user", None, 1, "s", 1, "c")]
