@@ -23,12 +23,12 @@ training rows every probability is uniform over one unknown word.
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +43,14 @@ END = b"\n"
 UNKNOWN = 0xFFFFFFFF
 DISCOUNT = 0.75
 NGRAMS_PER_BUCKET = 3_000_000
-CHUNK = 12_000_000
-#: Tokens scored at once; a task holds some thirty numbers of each.
-SCORED = 500_000
+CHUNK = 6_000_000
+#: Tokens scored at once, at least and at most, and for each shard, since each shard is asked in turn; a task
+#: holds some thirty numbers of each.
+SCORED, SCORED_MOST, SCORED_A_SHARD = 300_000, 1_000_000, 5_000
 #: One step of a 16-bit logarithm.
 STEP = 1 / 4096
+#: What each 16-bit logarithm stands for.
+AMOUNTS = 10.0 ** (-STEP * np.arange(1 << 16))
 #: Amounts of mass are whole numbers of 1 / SCALE.
 SCALE = 1024
 
@@ -66,28 +69,61 @@ def spread(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Sorted or small numbers as compressed planes of their bytes."""
+    """Sorted or small numbers as a count of byte planes and these planes compressed, without those that
+    are zero throughout."""
     data = np.ascontiguousarray(numbers.astype("<u8"))
-    return zstandard.ZstdCompressor(1).compress(data.view(np.uint8).reshape(-1, 8).T.tobytes())
+    planes = max(1, (int(data.max(initial=0)).bit_length() + 7) // 8)
+    out = np.empty((planes, len(data)), np.uint8)
+    for k in range(planes):
+        out[k] = data.view(np.uint8)[k::8]
+    return bytes([planes]) + zstandard.ZstdCompressor(1).compress(out)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.uint64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros(planes.shape[1], np.uint64)
+    for k in range(data[0]):
+        out.view(np.uint8)[k::8] = planes[k]
+    return out
+
+
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], np.int64)
+    first = firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, none negative, and the place of each key among them. Where both fit into a word, a key is
+    sorted together with its place, which takes a third of the time of an indirect sort."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - bits):
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys)))
+    keys, at = both >> bits, both & ((1 << bits) - 1)
+    first = firsts(keys)
+    back = np.empty(len(keys), np.int64)
+    back[at] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    return keys[first], back
+
+
+def grouped(by: np.ndarray) -> list[np.ndarray]:
+    """The places of each number of a small range, in their order."""
+    if not len(by):
+        return []
+    order = np.argsort(by.astype(np.uint16) if int(by.max()) < 1 << 16 else by, kind="stable")
+    return np.split(order, firsts(by[order])[1:])
+
+
 def dealt(keys: np.ndarray, counts: np.ndarray, by: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """Sorted keys and their counts as one packed row for each part."""
-    order = np.argsort(by, kind="stable")
-    cuts = np.flatnonzero(np.diff(by[order])) + 1
-    for part in np.split(order, cuts) if len(order) else ():
+    for part in grouped(by):
         yield int(by[part[0]]), packed(np.diff(keys[part], prepend=np.uint64(0))), packed(counts[part])
 
 
@@ -100,10 +136,10 @@ def _rows(parts: Iterable[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and summed counts of the packed rows of one part."""
+    """Keys and counts of the packed rows of one part, one row after the other."""
     keys = [np.cumsum(unpacked(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
     counts = [unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
-    return summed(np.concatenate(keys), np.concatenate(counts))
+    return np.concatenate(keys), np.concatenate(counts)
 
 
 def _collected(frame: DataFrame) -> list[tuple]:
@@ -115,16 +151,36 @@ def _collected(frame: DataFrame) -> list[tuple]:
 # Words
 
 
+def tokenized(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of these texts, the end token last, the tokens as places among them, and the end of
+    each text's tokens."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+    # White space at either end of a text, or a text without words, leaves an empty piece.
+    real = pc.not_equal(found.values, "")
+    before = np.concatenate([np.zeros(1, np.int32), np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int32)])
+    sizes = np.diff(before[found.offsets.to_numpy()]).astype(np.int64)
+    pieces = found.values.filter(real)
+    del found, real, before
+    coded = pieces.dictionary_encode()
+    del pieces
+    words = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), END]
+    ends = np.cumsum(sizes + 1)
+    at = np.full(int(ends[-1]), len(words) - 1, np.int64)
+    inside = np.ones(len(at), bool)
+    inside[ends - 1] = False
+    at[inside] = coded.indices.to_numpy()
+    del coded
+    pa.default_memory_pool().release_unused()
+    return words, at, ends
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of ``docs`` (text), one end token per row."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in chunks(batches, "text", "text", CHUNK):
-            found: Counter = Counter()
-            for text in texts:
-                found.update(text.lower().split())
-            found[END] = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "n"])
+        for _, texts in chunks(batches, "text", "text", CHUNK):
+            words, at, _ = tokenized(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(at, minlength=len(words)))], ["word", "n"])
 
     return docs.mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -209,45 +265,62 @@ class Level:
             self._open[number] = arrays, {k: ef.Sequence(arrays, k) for k in ("context", "pointer", "child")}
         return self._open[number]
 
-    def lookup(self, contexts: np.ndarray, children: np.ndarray, codes: Codes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per query the place in the level (-1: not held) and, with codes, the discounted
-        probability and the mass left for the shorter context. Negative numbers are unknown."""
-        n = len(contexts)
-        places, gain, left = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
-        by = np.where(contexts >= 0, spread(np.maximum(contexts, 0), self.parts), -1)
-        order = np.argsort(by, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(by[order])) + 1) if n else ():
-            number = int(by[rows[0]])
+    def lookup(self, contexts: np.ndarray, children: np.ndarray, codes: Codes | None = None, ranked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per query the place in the level (-1: not held), if ``ranked`` its rank among the children of
+        the context and, with codes, the discounted probability and the mass left for the shorter context.
+        Negative numbers are unknown. Equal contexts best stand together: each run is looked up once."""
+        n, first = len(contexts), firsts(contexts)
+        places, ranks, gain, left = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.ones(len(first))
+        heads, sizes = contexts[first], np.diff(first, append=n)
+        by = np.where(heads >= 0, spread(np.maximum(heads, 0), self.parts), self.parts)
+        for runs in grouped(by):
+            number = int(by[runs[0]])
             if number not in self.files:
                 continue
             arrays, level = self.shard(number)
-            here = level["context"].find(contexts[rows])
-            rows, here = rows[here >= 0], here[here >= 0]
+            here = level["context"].find(heads[runs])
+            runs, here = runs[here >= 0], here[here >= 0]
             if codes is not None:
-                left[rows] = 10.0 ** (-STEP * codes[number]["left"][here])
+                left[runs] = AMOUNTS[codes[number]["left"][here]]
+            size = sizes[runs]
+            rows = np.repeat(first[runs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
             width = int(arrays["width"][0])
             known = (children[rows] >= 0) & (children[rows] < width)
-            rows, here = rows[known], here[known]
-            place = level["child"].find(here.astype(np.uint64) * np.uint64(width) + children[rows].astype(np.uint64))
-            rows, place = rows[place >= 0], place[place >= 0]
+            rows, run = rows[known], np.repeat(np.arange(len(here)), size)[known]
+            context = here[run]
+            place = level["child"].find(context.astype(np.uint64) * np.uint64(width) + children[rows].astype(np.uint64))
+            held = place >= 0
+            rows, place = rows[held], place[held]
             places[rows] = place + self.base[number]
+            if ranked:
+                ranks[rows] = place - level["pointer"].access(here).astype(np.int64)[run[held]]
             if codes is not None:
-                gain[rows] = 10.0 ** (-STEP * codes[number]["gain"][place])
-        return places, gain, left
+                gain[rows] = AMOUNTS[codes[number]["gain"][place]]
+        return places, ranks, gain, np.repeat(left, sizes)
 
-    def located(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shard, place in it, rank among the context's children, and count of each place."""
+    def local(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard, and place in it, of each place."""
         shards = sorted(self.base, key=self.base.get)
         bases = np.array([self.base[s] for s in shards], np.int64)
         at = np.searchsorted(bases, places, side="right") - 1
-        part, local, rank, count = np.array(shards, np.int64)[at], places - bases[at], np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-        for number in np.unique(part):
-            rows = np.flatnonzero(part == number)
-            arrays, level = self.shard(int(number))
-            context = level["pointer"].successor(local[rows] + 1) - 1
-            rank[rows] = local[rows] - level["pointer"].access(context).astype(np.int64)
-            count[rows] = ef.counts(arrays, "count", local[rows])
-        return part, local, rank, count
+        return np.array(shards, np.int64)[at], places - bases[at]
+
+    def ranks(self, places: np.ndarray) -> np.ndarray:
+        """Rank of each place among the children of its context."""
+        part, local = self.local(places)
+        out = np.zeros(len(places), np.int64)
+        for rows in grouped(part):
+            pointer = self.shard(int(part[rows[0]]))[1]["pointer"]
+            context = pointer.successor(local[rows] + 1) - 1
+            out[rows] = local[rows] - pointer.access(context).astype(np.int64)
+        return out
+
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        part, local = self.local(places)
+        out = np.zeros(len(places), np.int64)
+        for rows in grouped(part):
+            out[rows] = ef.counts(self.shard(int(part[rows[0]]))[0], "count", local[rows])
+        return out
 
 
 class Codes:
@@ -268,19 +341,20 @@ def counted(sequences: DataFrame, keys_of: Callable[[np.ndarray], Iterator[np.nd
 
     def combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids in joined(batches):
-            keys = keys_of(ids)
-            keys, counts = summed(keys, np.ones(len(keys), np.int64))
+            keys = np.sort(keys_of(ids))
+            first = firsts(keys)
+            keys, counts = keys[first], np.diff(first, append=len(keys))
             yield _rows(dealt(keys, counts, spread(keys ^ (keys >> np.uint64(29)), buckets)))
 
     def prune(table: pa.Table) -> pa.Table:
-        keys, counts = _gathered(table)
+        keys, counts = summed(*_gathered(table))
         keys, counts = keys[counts >= least], counts[counts >= least]
         return pa.Table.from_batches([_rows(dealt(keys, counts, spread(keys >> np.uint64(context_bits), shards)))])
 
     return sequences.mapInArrow(combine, PARTS).groupBy("part").applyInArrow(prune, PARTS)
 
 
-def joined(batches: Iterable[pa.RecordBatch], most: int = 1_500_000) -> Iterator[np.ndarray]:
+def joined(batches: Iterable[pa.RecordBatch], most: int = 1_000_000) -> Iterator[np.ndarray]:
     """Word numbers of whole documents in a row, each document opened by the end token's number of
     the one before; runs of about ``most`` tokens."""
     parts, total = [], 0
@@ -299,12 +373,13 @@ def build_level(rows: DataFrame, folder: str, kind: str, split: Callable[[np.nda
     """Write one level; ``split`` parts keys into contexts and children, in key order."""
 
     def build(table: pa.Table) -> pa.Table:
-        keys, counts = _gathered(table)
+        keys, counts = summed(*_gathered(table))
         contexts, children = split(keys)
-        distinct, start, index = np.unique(contexts, return_index=True, return_inverse=True)
+        start = firsts(contexts)
+        index = np.repeat(np.arange(len(start)), np.diff(start, append=len(keys)))
         width = int(children.max()) + 1
         name = f"{kind}-{uuid.uuid4().hex}"
-        arrays = ef.encode(distinct, "context") | ef.encode(np.append(start, len(keys)), "pointer")
+        arrays = ef.encode(contexts[start], "context") | ef.encode(np.append(start, len(keys)), "pointer")
         arrays |= ef.encode(index.astype(np.uint64) * np.uint64(width) + children, "child")
         ef.save(folder, name, arrays | {"width": np.array([width], np.int64)} | ef.small(counts, "count"))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [len(keys)], "file": [name]})
@@ -329,9 +404,9 @@ def finish(level: Level, folder: str, taken: DataFrame, totals: Callable[[np.nda
         count = ef.counts(arrays, "count") * SCALE
         gone = np.zeros(len(count), np.int64)
         places, amounts = _gathered(table)
-        gone[places.astype(np.int64)] = amounts
-        contexts = sequences["context"].access(np.arange(sequences["context"].n)).astype(np.int64)
-        start = sequences["pointer"].access(np.arange(len(contexts))).astype(np.int64)
+        np.add.at(gone, places.astype(np.int64), amounts)
+        contexts = sequences["context"].every().astype(np.int64)
+        start = sequences["pointer"].every()[:-1].astype(np.int64)
         rest = np.maximum(count - gone - round(DISCOUNT * SCALE), 0)
         whole = totals(contexts) * SCALE - np.add.reduceat(gone, start)
         sizes = np.diff(np.append(start, len(count)))
@@ -342,7 +417,7 @@ def finish(level: Level, folder: str, taken: DataFrame, totals: Callable[[np.nda
         rows = [(number, name, 0, None, None, None)]
         if words is not None:
             width = int(arrays["width"][0])
-            child = sequences["child"].access(np.arange(len(count))) % np.uint64(width)
+            child = sequences["child"].every() % np.uint64(width)
             keys, amounts = summed(child, gone + rest)
             rows += [(number, None, int(amounts.sum()) if not k else 0, *r) for k, r in enumerate(dealt(keys, amounts, words.part(keys.astype(np.int64))))]
         return pa.Table.from_pylist([dict(zip(("part", "file", "total", "by", "keys", "counts"), r, strict=True)) for r in rows], pa.schema([("part", pa.int32()), ("file", pa.string()), ("total", pa.int64()), ("by", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
@@ -363,7 +438,7 @@ def finish_words(words: Words, folder: str, taken: DataFrame, rest: float) -> di
         number = table["part"][0].as_py()
         left = ef.counts(words.shard(number)[0], "count").astype(np.float64)
         keys, amounts = _gathered(table)
-        left[keys.astype(np.int64) - words.base[number]] -= amounts / SCALE
+        np.subtract.at(left, keys.astype(np.int64) - words.base[number], amounts / SCALE)
         name = f"codes-{uuid.uuid4().hex}"
         ef.save(folder, name, {"code": coded((np.maximum(left, 0) + 1) / rest)})
         return pa.table({"part": pa.array([number], pa.int32()), "file": [name]})
@@ -380,20 +455,20 @@ def numbered(docs: DataFrame, words: Words, tokens: int, kind: str, arrow: pa.Da
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in chunks(batches, "rest", "text", CHUNK):
-            local: defaultdict = defaultdict(count().__next__)
-            runs = [np.fromiter(map(local.__getitem__, [*t.lower().split(), END]), np.int64) for t in texts]
-            hashes = np.array([xxh64_intdigest(w, 42) for w in local], np.uint64)
+            local, at, ends = tokenized(texts)
+            hashes = np.fromiter(map(xxh64_intdigest, local, repeat(42)), np.uint64, len(local))
             order = np.argsort(hashes)
+            del local
             found = [np.empty_like(x) for x in (order, order)]
             for out, got in zip(found, words.lookup(hashes[order]), strict=True):
                 out[order] = got
             log = np.log10(found[1] + 1.0) - scale
-            at = np.concatenate(runs)
-            begin = np.cumsum([0, *map(len, runs[:-1])])
+            sizes = np.diff(ends, prepend=0)
+            begin = ends - sizes
             base, known = np.add.reduceat(log[at], begin), np.add.reduceat((found[1] > 0)[at].astype(np.int64), begin)
-            ids = [found[0][r].astype("<u4").tobytes() for r in runs]
+            ids = [x.tobytes() for x in np.split(found[0].astype("<u4")[at], ends[:-1])]
             rest = pa.array(keys, pa.struct([("id", arrow), ("held_out", pa.bool_())]))
-            columns = [rest.field(0), rest.field(1), pa.array(map(len, runs), pa.int64()), pa.array(known), pa.array(base), pa.array(ids, pa.binary())]
+            columns = [rest.field(0), rest.field(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "base_score", "ids"])
 
     return docs.mapInArrow(each, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary")
@@ -404,7 +479,8 @@ class Model:
 
     def __init__(self, words: Words, word_codes: Codes, levels: list[Level], codes: list[Codes], rest: float):
         self.words, self.word_codes, self.levels, self.codes, self.rest = words, word_codes, levels, codes, rest
-        self.end = int(words.lookup(np.array([xxh64_intdigest(END, 42)], np.uint64))[0][0])
+        end = int(words.lookup(np.array([xxh64_intdigest(END, 42)], np.uint64))[0][0])
+        self.end = -1 if end == UNKNOWN else end
 
     def first(self, ids: np.ndarray) -> np.ndarray:
         """Probability of each word number without context."""
@@ -412,26 +488,25 @@ class Model:
         part = self.words.part(ids)
         for number in np.unique(part[part >= 0]):
             rows = np.flatnonzero(part == number)
-            out[rows] = 10.0 ** (-STEP * self.word_codes[int(number)]["code"][ids[rows] - self.words.base[int(number)]])
+            out[rows] = AMOUNTS[self.word_codes[int(number)]["code"][ids[rows] - self.words.base[int(number)]]]
         return out
 
     def logs(self, ids: np.ndarray) -> np.ndarray:
         """log10 of each token's probability given the two before it; ``ids`` are whole documents."""
         now = np.where(ids == UNKNOWN, -1, ids)
-        before = np.concatenate([[self.end], now[:-1]])
-        words, back = np.unique(now, return_inverse=True)
-        single = self.first(words)[back]
-        pairs, back = np.unique((before + 1) << 32 | (now + 1), return_inverse=True)
-        places, gain, left = (x[back] for x in self.levels[0].lookup((pairs >> 32) - 1, (pairs & 0xFFFFFFFF) - 1, self.codes[0]))
-        double = gain + left * single
-        context = np.concatenate([[-1], places[:-1]])
-        context[before == self.end] = -1
-        rank = np.full(len(ids), -1, np.int64)
-        held = np.flatnonzero((places >= 0) & (context >= 0))
-        rank[held] = self.levels[0].located(places[held])[2]
-        triples, back = np.unique((context + 1) << 32 | (rank + 1), return_inverse=True)
-        _, gain, left = (x[back] for x in self.levels[1].lookup((triples >> 32) - 1, (triples & 0xFFFFFFFF) - 1, self.codes[1]))
-        return np.log10(gain + left * double)
+        words, now = distinct(now + 1)
+        before = np.concatenate([np.searchsorted(words, [self.end + 1]), now[:-1]])
+        single = self.first(words - 1)[now]
+        pairs, pair = distinct(before * len(words) + now)
+        first, second = words[pairs // len(words)] - 1, words[pairs % len(words)] - 1
+        places, ranks, gain, left = self.levels[0].lookup(first, second, self.codes[0], ranked=True)
+        double = gain[pair] + left[pair] * single
+        # A triple is told by its two pairs; the first word of a document has none before it.
+        none = len(pairs)
+        context = np.where(first[pair] == self.end, none, np.concatenate([[none], pair[:-1]]))
+        triples, back = distinct(context * none + pair)
+        _, _, gain, left = self.levels[1].lookup(np.append(places, -1)[triples // none], ranks[triples % none], self.codes[1])
+        return np.log10(gain[back] + left[back] * double)
 
 
 def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts: int, least: int) -> Model:
@@ -450,13 +525,14 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
         raise ValueError(f"{second.n} distinct pairs; their places have 32 bits")
 
     def triples_of(ids: np.ndarray) -> np.ndarray:
-        pairs, back = np.unique(pairs_of(ids), return_inverse=True)
-        places = second.lookup((pairs >> low).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))[0][back]
+        numbers, now = distinct(np.concatenate([[end], ids]).astype(np.int64))
+        pairs, back = distinct(now[:-1] * len(numbers) + now[1:])
+        places = second.lookup(numbers[pairs // len(numbers)], numbers[pairs % len(numbers)])[0][back]
         held = (places[:-1] >= 0) & (places[1:] >= 0) & (ids[:-1] != end)
         return (places[:-1][held].astype(np.uint64) << low) | places[1:][held].astype(np.uint64)
 
     def relative(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return keys >> low, second.located((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))[2].astype(np.uint64)
+        return keys >> low, second.ranks((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)).astype(np.uint64)
 
     found = written(counted(train_rows, triples_of, parts, 32, parts, least), f"{folder}/triples")
     third = Level(folder, build_level(found, folder, "triples", relative), parts)
@@ -466,12 +542,12 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
             for row in batch.to_pylist():
                 keys, counts = np.cumsum(unpacked(row["keys"]), dtype=np.uint64), unpacked(row["counts"]).astype(np.int64)
                 places, amounts = summed(keys & np.uint64(0xFFFFFFFF), counts * SCALE - round(DISCOUNT * SCALE))
-                part, local, _, _ = second.located(places.astype(np.int64))
+                part, local = second.local(places.astype(np.int64))
                 yield _rows(dealt(local.astype(np.uint64), amounts, part))
 
     nothing = train_rows.sparkSession.createDataFrame([], PARTS)
-    of_third = code_files(written(finish(third, folder, nothing, lambda c: second.located(c)[3], None), f"{folder}/third"))
-    done = written(finish(second, folder, found.mapInArrow(take, PARTS), lambda c: words.counts(c), words), f"{folder}/second")
+    of_third = code_files(written(finish(third, folder, nothing, second.counts, None), f"{folder}/third"))
+    done = written(finish(second, folder, found.mapInArrow(take, PARTS), words.counts, words), f"{folder}/second")
     dropped(f"{folder}/triples")
     removed = done.agg(F.sum("total")).first()[0] or 0
     rest = tokens - removed / SCALE + words.n + 1
@@ -482,17 +558,18 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """The numbered rows with the model's log10 probability of each."""
     names = rows.columns[:-1]
+    most = min(SCORED_MOST, max(SCORED, SCORED_A_SHARD * model.words.parts))
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in batch.column(len(names))]
+            runs = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(len(names))]
             scores, at = [], 0
             while at < len(runs):
                 upto, total = at, 0
-                while upto < len(runs) and (upto == at or total + len(runs[upto]) <= SCORED):
+                while upto < len(runs) and (upto == at or total + len(runs[upto]) <= most):
                     total, upto = total + len(runs[upto]), upto + 1
                 begin = np.cumsum([0, *map(len, runs[at : upto - 1])])
-                scores.append(np.add.reduceat(model.logs(np.concatenate(runs[at:upto])), begin))
+                scores.append(np.add.reduceat(model.logs(np.concatenate(runs[at:upto]).astype(np.int64)), begin))
                 at = upto
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "score"])
 
