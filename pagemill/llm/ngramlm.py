@@ -44,6 +44,8 @@ UNKNOWN = 0xFFFFFFFF
 DISCOUNT = 0.75
 NGRAMS_PER_BUCKET = 3_000_000
 CHUNK = 6_000_000
+#: N-grams whose shares are dealt at once.
+TAKEN = 1_000_000
 #: Tokens scored at once, at least and at most, and for each shard, since each shard is asked in turn; a task
 #: holds some thirty numbers of each.
 SCORED, SCORED_MOST, SCORED_A_SHARD = 300_000, 1_000_000, 5_000
@@ -387,6 +389,28 @@ def build_level(rows: DataFrame, folder: str, kind: str, split: Callable[[np.nda
     return _collected(rows.groupBy("part").applyInArrow(build, "part int, n long, file string"))
 
 
+def taken(batches: Iterable[pa.RecordBatch], level: Level, most: int = TAKEN) -> Iterator[pa.RecordBatch]:
+    """What packed rows of the longer level take from this one, dealt by shard. Rows are gathered first: there is
+    one for each bucket and shard, and each of them dealt by itself would give the third power of their number."""
+
+    def dealt_out(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        places, amounts = summed(*map(np.concatenate, zip(*rows, strict=True)))
+        part, local = level.local(places.astype(np.int64))
+        return _rows(dealt(local.astype(np.uint64), amounts, part))
+
+    rows, total = [], 0
+    for batch in batches:
+        for keys, counts in zip(batch["keys"], batch["counts"], strict=True):
+            keys = np.cumsum(unpacked(keys.as_py()), dtype=np.uint64) & np.uint64(0xFFFFFFFF)
+            rows.append((keys, unpacked(counts.as_py()).astype(np.int64) * SCALE - round(DISCOUNT * SCALE)))
+            total += len(keys)
+            if total >= most:
+                yield dealt_out(rows)
+                rows, total = [], 0
+    if rows:
+        yield dealt_out(rows)
+
+
 FINISHED = "part int, file string, total long, by int, keys binary, counts binary"
 
 
@@ -537,17 +561,9 @@ def train(train_rows: DataFrame, words: Words, tokens: int, folder: str, parts:
     found = written(counted(train_rows, triples_of, parts, 32, parts, least), f"{folder}/triples")
     third = Level(folder, build_level(found, folder, "triples", relative), parts)
 
-    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.cumsum(unpacked(row["keys"]), dtype=np.uint64), unpacked(row["counts"]).astype(np.int64)
-                places, amounts = summed(keys & np.uint64(0xFFFFFFFF), counts * SCALE - round(DISCOUNT * SCALE))
-                part, local = second.local(places.astype(np.int64))
-                yield _rows(dealt(local.astype(np.uint64), amounts, part))
-
     nothing = train_rows.sparkSession.createDataFrame([], PARTS)
     of_third = code_files(written(finish(third, folder, nothing, second.counts, None), f"{folder}/third"))
-    done = written(finish(second, folder, found.mapInArrow(take, PARTS), words.counts, words), f"{folder}/second")
+    done = written(finish(second, folder, found.mapInArrow(lambda batches: taken(batches, second), PARTS), words.counts, words), f"{folder}/second")
     dropped(f"{folder}/triples")
     removed = done.agg(F.sum("total")).first()[0] or 0
     rest = tokens - removed / SCALE + words.n + 1

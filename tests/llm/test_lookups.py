@@ -74,3 +74,18 @@ def test_tokens_are_words_between_ascii_white_space():
     words, at, ends = ngramlm.tokenized(texts)
     runs = [[words[k] for k in part] for part in np.split(at, ends[:-1])]
     assert runs == [[*t.lower().split(), b"\n"] for t in texts]
+
+
+def test_shares_are_gathered_before_they_are_dealt(level):
+    rng = np.random.default_rng(2)
+    keys = [np.unique(rng.integers(0, len(PAIRS), 40).astype(np.uint64) | np.uint64(k << 32)) for k in range(60)]
+    parts = [(k, ngramlm.packed(np.diff(x, prepend=np.uint64(0))), ngramlm.packed(np.full(len(x), 3))) for k, x in enumerate(keys)]
+    batches = [ngramlm._rows(parts[:25]), ngramlm._rows([]), ngramlm._rows(parts[25:])]
+    out = [r for b in ngramlm.taken(iter(batches), level) for r in b.to_pylist()]
+    assert len(out) == 3 < len([r for b in ngramlm.taken(iter(batches), level, most=1) for r in b.to_pylist()])
+    got = {(r["part"], int(p)): int(n) for r in out for p, n in zip(np.cumsum(ngramlm.unpacked(r["keys"])), ngramlm.unpacked(r["counts"]), strict=True)}
+    places, times = np.unique(np.concatenate(keys) & np.uint64(0xFFFFFFFF), return_counts=True)
+    part, local = level.local(places.astype(np.int64))
+    share = 3 * ngramlm.SCALE - round(ngramlm.DISCOUNT * ngramlm.SCALE)
+    assert got == {(p, x): n * share for p, x, n in zip(part.tolist(), local.tolist(), times.tolist(), strict=True)}
+    assert list(ngramlm.taken(iter([]), level)) == []
